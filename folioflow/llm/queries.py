@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import minhash, mixing, packing, simhash, token_store, toxicity
+from folioflow.llm import ann, minhash, mixing, packing, sharding, simhash, token_store, toxicity
 from folioflow.llm.tokens import default_path
 
 
@@ -30,6 +30,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_next(_table(spark, sf_dir, "documents"))
 
@@ -38,13 +42,17 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(*token_store.write(_table(spark, sf_dir, "documents"), default_path()))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mixing, op6_minhash, op8_token_store, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mixing, op5_ann, op6_minhash, op8_token_store, op9_sharding, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
