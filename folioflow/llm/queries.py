@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, minhash, mixing, packing, sharding, simhash, token_store, toxicity
+from folioflow.llm import ann, licenses, minhash, mixing, packing, sharding, simhash, token_store, toxicity
 from folioflow.llm.tokens import default_path
 
 
@@ -30,6 +30,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs.select("doc_id", licenses.document_path().alias("path"), "text"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -52,8 +57,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mixing, op5_ann, op6_minhash, op8_token_store, op9_sharding, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mixing, op4_licenses, op5_ann, op6_minhash, op8_token_store, op9_sharding, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_licenses": licenses.oracle_sql()}
