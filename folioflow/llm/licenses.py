@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
 Every line of every text is a possible header. Lines and templates are sparse vectors of terms,
-weighted by count times inverse template frequency (a term that no template has weighs most).
+weighted by count times inverse template frequency (a term that no template has weighs most,
+common words nothing).
 A line whose cosine to a template reaches THRESHOLD declares its license; a file's own license
 is its best line's. A file of which at least half of the terms stand in such lines is a licence
 file: it covers its directory and what is below. A file without an own license takes that of the
@@ -30,7 +31,7 @@ from folioflow.llm.common import store
 THRESHOLD = 0.75
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
-# Words too common to look lines up by.
+# Words too common to tell licenses apart; they weigh nothing.
 COMMON = {"a", "all", "and", "any", "are", "by", "for", "free", "in", "into", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without", "work"}
 
 # The statements by which works name their licenses.
@@ -68,11 +69,11 @@ class Index:
         self.names = [name for name, _ in templates]
         self.threshold = threshold
         self.unknown = math.log(1 + n) + 1
-        self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in held.items()}
+        self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in held.items() if t not in COMMON} | dict.fromkeys(sorted(COMMON), 0.0)
         self.vectors = []
         for c in counts:
             norm = math.sqrt(sum((k * self.idf[t]) ** 2 for t, k in c.items()))
-            self.vectors.append({t: k * self.idf[t] / norm for t, k in c.items()})
+            self.vectors.append({t: k * self.idf[t] / norm for t, k in c.items() if self.idf[t]})
         self.keys = self._keys(threshold)
 
     def _keys(self, threshold: float) -> list[str]:
@@ -88,10 +89,6 @@ class Index:
                 for t, w in v.items():
                     if t not in keys and t not in COMMON:
                         gain[t] += w * w
-            if not gain:
-                for v in lacking:
-                    keys |= set(v)
-                break
             keys.add(max(sorted(gain), key=gain.__getitem__))
         return sorted(keys)
 
@@ -123,7 +120,7 @@ def scan(files: DataFrame, index: Index | None = None, path: str = "path", text:
     weight = F.col("tf") * F.coalesce("idf", F.lit(index.unknown))
     n = len(index.names)
     sums = counted.groupBy("row", "words", "line").agg(F.sum("tf").alias("terms"), F.sqrt(F.sum(weight * weight)).alias("norm"), *(F.coalesce(F.sum(weight * F.col("w")[k]), F.lit(0.0)).alias(f"d{k}") for k in range(n)))
-    best = F.array_max(F.array(*(F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 4).alias("score"), F.lit(-k).alias("k")) for k in range(n))))
+    best = F.array_max(F.array(*(F.struct(F.round(F.try_divide(F.col(f"d{k}"), F.col("norm")), 4).alias("score"), F.lit(-k).alias("k")) for k in range(n))))
     declared = sums.withColumn("best", best).where(F.col("best.score") >= index.threshold)
     declared = declared.groupBy("row", "words").agg(F.max(F.struct("best.score", "best.k", (-F.col("line")).alias("line"))).alias("best"), F.sum("terms").alias("inside"))
     names = F.array(*(F.lit(x) for x in index.names))
@@ -177,8 +174,8 @@ t AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnes
 v AS (SELECT doc_id, line, term, tf, tf * coalesce(idf, CAST({index.unknown!r} AS DOUBLE)) AS x FROM t LEFT JOIN idf USING (term)),
 norms AS (SELECT doc_id, line, sum(tf) AS terms, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
 dots AS (SELECT doc_id, line, k, sum(x * w) AS dot FROM v JOIN weights USING (term) GROUP BY ALL),
-lines AS (SELECT doc_id, line, terms, k, round(dot / norm, 4) AS score FROM dots JOIN norms USING (doc_id, line)
-    QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY round(dot / norm, 4) DESC, k) = 1),
+lines AS (SELECT doc_id, line, terms, k, round(dot / nullif(norm, 0), 4) AS score FROM dots JOIN norms USING (doc_id, line)
+    QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY round(dot / nullif(norm, 0), 4) DESC NULLS LAST, k) = 1),
 hits AS (SELECT *, sum(terms) OVER (PARTITION BY doc_id) AS inside FROM lines WHERE score >= {index.threshold}),
 own AS (SELECT doc_id, name AS own_license, score AS own_score, inside FROM hits JOIN names USING (k)
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k, line) = 1),
