@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, licenses, minhash, mixing, packing, sharding, simhash, token_store, toxicity
+from folioflow.llm import ann, licenses, minhash, mixing, packing, sharding, simhash, suffix_dedup, token_store, toxicity
 from folioflow.llm.tokens import default_path
 
 
@@ -43,6 +43,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_next(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(*token_store.write(_table(spark, sf_dir, "documents"), default_path()))
 
@@ -57,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mixing, op4_licenses, op5_ann, op6_minhash, op8_token_store, op9_sharding, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mixing, op4_licenses, op5_ann, op6_minhash, op7_suffix_dedup, op8_token_store, op9_sharding, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
