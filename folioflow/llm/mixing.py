@@ -153,6 +153,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, share:
     return rows.select("doc_id", "members", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more").cast("long"))).alias("taken"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """Documents as often as the mix takes them, with their columns; doc_ids must be distinct.
+
+    Documents without words have nothing to repeat and stay as they are.
+    """
+    passes = mix(docs, **options).select("doc_id", F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("passes")).where("passes > 0")
+    return docs.join(passes, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+
+
 def _fill(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     """Mark documents, in seeded order, as long as their sizes stay within their pattern's gap; added is what that adds."""
     rows = rows.join(F.broadcast(gaps), "members", "left").withColumn("range", F.shiftrightunsigned("place", 64 - RANGE_BITS))

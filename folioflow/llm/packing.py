@@ -38,6 +38,8 @@ END_ID = 2
 #: Windows in a block, at least; blocks grow when there would be more than MAX_BLOCKS.
 BLOCK_WINDOWS = 256
 MAX_BLOCKS = 1 << 16
+#: Rows (a partition and source each) up to which their queue positions are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 PIECES = "doc_id long, queue int, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -81,9 +83,9 @@ def plan(totals: np.ndarray, weights: np.ndarray, window: int = SEQUENCE, block_
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Adds the partition, and the tokens of the same queue that the partition holds before."""
     part, before = TaskContext.get().partitionId(), {}
-    encode_text, end = encoder(path).ids16, np.array([end_id], dtype="<u2").tobytes()
+    encode, end = encoder(path).all16, np.array([end_id], dtype="<u2").tobytes()
     for batch in rows_of(batches):
-        ids = [encode_text(t) + end for t in batch.column(2).to_pylist()]
+        ids = [x + end for x in encode(batch.column(2).to_pylist())]
         at = []
         for queue, x in zip(batch.column(1).to_pylist(), ids, strict=True):
             at.append(before.get(queue, 0))
@@ -177,6 +179,8 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, float] | Non
     block_windows, starts, credits = plan(sizes, shares, window, block_windows)
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    if parts.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     placed = rows.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "ids")
     cut = placed.mapInArrow(partial(_cut, starts=starts, numbers={q: k for k, q in enumerate(names)}), "block int, queue int, at long, doc_id long, start long, doc_tokens long, ids binary")
     cut = cut.repartition("block").sortWithinPartitions("block", "queue", "at")

@@ -44,7 +44,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n < WINDOW:
                 continue
             if n > AT_ONCE:
+                if small:
+                    jobs.append((small, [0] * len(small), None))
+                    small, room = [], 0
                 jobs += [([k], [at], [min(at + AT_ONCE + WINDOW - 1, n)]) for at in range(0, n - WINDOW + 1, AT_ONCE)]
             else:
                 if room + n > AT_ONCE:
@@ -293,9 +296,6 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from meet(held)
 
 
-_CUT = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans joined where they overlap or touch."""
     out: list[tuple[int, int]] = []
@@ -345,16 +345,21 @@ def spans(rows: DataFrame) -> DataFrame:
     return whole.unionByName(buckets.mapInArrow(_sorted, "key long, start long, end long"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; kept is its remaining bytes."""
+def _joined(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text, spans) of every document."""
     rows = keyed(docs)
     lists = spans(rows).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(lists, "key", "left").select("doc_id", "text", "spans")
-    kind = rows.schema["doc_id"].dataType
+    return rows.join(lists, "key", "left")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+    joined = _joined(docs).select("doc_id", "text", "spans")
+    kind = joined.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
+            n_bytes, n_removed, n_spans, sha = [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = merged([(x["start"], x["end"]) for x in found or ()])
                 rest = cut(text, own)
@@ -363,7 +368,35 @@ def dedup(docs: DataFrame) -> DataFrame:
                 n_removed.append(removed)
                 n_spans.append(len(own))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if own else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """Documents of integer, distinct doc_ids without what repeats: all columns, n_chars counted anew.
+
+    Where a cut parts a character, what is left of the character goes too. Documents of which a
+    cut leaves only white space go.
+    """
+    lists = spans(docs.select(F.col("doc_id").cast("long").alias("key"), whole_text().alias("text"))).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = docs.withColumn("key", F.col("doc_id").cast("long")).join(lists, "key", "left").select(*docs.columns, "spans")
+    at, n_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            columns, spans_ = batch.columns[:-1], batch.column(len(batch.columns) - 1).to_pylist()
+            texts = columns[at].to_pylist()
+            keep, counts = [], columns[n_chars].to_pylist() if n_chars is not None else None
+            for k, found in enumerate(spans_):
+                if found:
+                    texts[k] = cut(texts[k], merged([(x["start"], x["end"]) for x in found])).decode(errors="ignore")
+                    if counts is not None:
+                        counts[k] = len(texts[k])
+                keep.append(not found or bool(texts[k].strip()))
+            columns[at] = pa.array(texts, columns[at].type)
+            if counts is not None:
+                columns[n_chars] = pa.array(counts, columns[n_chars].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)

@@ -45,7 +45,7 @@ CHUNK_BITS = 8
 BLOCK = 512
 END_ID = 1
 #: Documents aimed at in a file; a range's bounds are sketched, so it may hold some more.
-FILE_ROWS = 8_000
+FILE_ROWS = 4_000
 
 
 def encode(ids: np.ndarray, firsts: np.ndarray) -> bytes:
@@ -136,9 +136,9 @@ class Reader:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode_text, end = encoder(path).ids16, np.array([end_id], dtype="<u2").tobytes()
+    ids_of, end = encoder(path).all16, np.array([end_id], dtype="<u2").tobytes()
     for batch in rows_of(batches):
-        ids = [encode_text(t) + end for t in batch.column(2).to_pylist()]
+        ids = [x + end for x in ids_of(batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), batch.column(3)], ["bucket", "doc_id", "ids", "tie"])
 
 
@@ -208,7 +208,7 @@ def _read(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
 
 def read(path: str, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    rows = files.select("name", "start", "doc_ids").repartition(F.col("name"))
+    rows = files.select("name", "start", "doc_ids").repartition(max(1, files.count()), "name")  # a task for each file
     return rows.mapInArrow(partial(_read, path=path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

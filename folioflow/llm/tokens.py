@@ -1,21 +1,29 @@
 """Token ids of whole texts, by a public tokenizer whose path is a parameter.
 
 The tokenizer drops white space and never joins across it, so a text's ids are the ids of
-its white-space separated pieces, in order. Each worker keeps the ids of pieces it has seen
-(a bounded table that only saves time), encoded by the tokenizers library when first met.
+its white-space separated pieces, in order; and within a piece of plain Latin characters those of
+its runs of letters, single digits and runs of other signs. Each worker keeps the ids of what
+it has met (a bounded table that only saves time). What a batch of texts adds is encoded by the
+tokenizers library in one call, in which each run ends with a token that closes a word.
 """
 
 from __future__ import annotations
 
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 LONGEST = 48
+#: Pieces that may be taken apart: no white space of any kind, no combining marks, no
+#: apostrophes (they begin suffixes) and no signs of which special tokens are made.
+PLAIN = regex.compile(r"[!-&(-;=?-~\u00a1-\u012f\u0131-\u024f]+")
+RUNS = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 
 
 def default_path() -> str:
@@ -30,20 +38,53 @@ class Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
+        self.closes = np.zeros(1 << 16, dtype=bool)
+        self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def alone(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of each of many runs, from one call."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u2")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(runs) or (len(ends) and ends[-1] != len(ids)):
+            return [self.alone(r) for r in runs]  # a vocabulary without closing tokens
+        data, ends = ids.tobytes(), (2 * ends).tolist()
+        return [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """Add pieces that are not known yet."""
+        if len(self) + len(pieces) > REMEMBERED:
+            self.clear()
+        apart, new = {}, {}
+        for piece in pieces:
+            text = piece.decode()
+            if PLAIN.fullmatch(text):
+                apart[piece] = found = RUNS.findall(text.lower())
+                for run in found:
+                    if (key := run.encode()) not in self:
+                        new[key] = run
+            else:
+                self[piece] = self.alone(text)
+        if new:
+            self.update(zip(new, self.runs(list(new.values())), strict=True))
+        for piece, found in apart.items():
+            if piece not in self:
+                self[piece] = b"".join([self[r.encode()] for r in found])
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def ids16(self, text: str) -> bytes:
-        """The ids of a whole text, two bytes each."""
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        return self.alone(piece.decode())
+
+    def all16(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, two bytes each."""
+        pieces = [t.encode().split() for t in texts]
+        fresh = set(chain.from_iterable(pieces)).difference(self)
+        self.learn({p for p in fresh if len(p) <= LONGEST})
+        return [b"".join(map(self.__getitem__, p)) for p in pieces]
 
 
 @cache

@@ -188,7 +188,12 @@ def sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     return rows.mapInArrow(run, "doc_id long, sentence int, text string, p double")
 
 
-def rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Model]:
-    """(doc_id, score) of the documents whose score reaches the threshold, and the model."""
-    model = train(docs, labels)
-    return score(docs, model).where(F.col("score") >= threshold), model
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score stays under the threshold, with all their columns and without a join."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
