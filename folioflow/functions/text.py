@@ -190,8 +190,9 @@ def excerpt(text: Column | str, tokens: Column, near: int = 260, around: int = 4
     low = F.lower(text)
     places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
     hits = F.flatten(F.transform(tokens, lambda t: F.filter(places, lambda k: F.substring(low, k, F.length(t)) == t)))
-    scored = F.transform(hits, lambda h: F.struct(F.size(F.filter(hits, lambda o: F.abs(o - h) <= near)).alias("n"), (-h).alias("at")))
-    center = F.coalesce(-F.array_max(scored)["at"] - 1, F.lit(0))
+    # bound once: an expression inside a lambda is computed anew for each element
+    best = F.transform(F.array(hits), lambda hs: F.array_max(F.transform(hs, lambda h: F.struct(F.size(F.filter(hs, lambda o: F.abs(o - h) <= near)).alias("n"), (-h).alias("at")))))
+    center = F.coalesce(-best[0]["at"] - 1, F.lit(0))
     start, end = F.greatest(F.lit(0), center - around), F.least(F.length(text), center + around)
     body = compact(F.substring(text, start + 1, end - start))
     return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))

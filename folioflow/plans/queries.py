@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import text_queries
+from folioflow.plans import catalog_queries, chat_queries, text_queries
 
-PARTS = [text_queries.R]
+PARTS = [text_queries.R, catalog_queries.R, chat_queries.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_queries.chunk_index(spark, sf_dir)
+    return chat_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
