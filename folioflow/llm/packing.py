@@ -77,7 +77,7 @@ def plan(totals: np.ndarray, weights: np.ndarray, window: int = SEQUENCE, block_
         take, credit = round_robin(credit, weights, left, block_windows * window)
         left = left - take
         starts.append(starts[-1] + take)
-    return block_windows, np.array(starts), np.array(credits).reshape(-1, len(totals))
+    return block_windows, np.array(starts), np.array(credits).reshape(len(credits), len(totals))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
