@@ -17,8 +17,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers (frequent ones are met early), and the longest that it remembers.
+REMEMBERED = 1_500_000
 LONGEST = 48
 #: Pieces that may be taken apart: no white space of any kind, no combining marks, no
 #: apostrophes (they begin suffixes) and no signs of which special tokens are made.
@@ -56,35 +56,42 @@ class Encoder(dict):
         data, ends = ids.tobytes(), (2 * ends).tolist()
         return [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Add pieces that are not known yet."""
-        if len(self) + len(pieces) > REMEMBERED:
-            self.clear()
-        apart, new = {}, {}
-        for piece in pieces:
-            text = piece.decode()
-            if PLAIN.fullmatch(text):
-                apart[piece] = found = RUNS.findall(text.lower())
-                for run in found:
-                    if (key := run.encode()) not in self:
-                        new[key] = run
-            else:
-                self[piece] = self.alone(text)
-        if new:
-            self.update(zip(new, self.runs(list(new.values())), strict=True))
-        for piece, found in apart.items():
-            if piece not in self:
-                self[piece] = b"".join([self[r.encode()] for r in found])
-
-    def __missing__(self, piece: bytes) -> bytes:
-        return self.alone(piece.decode())
+    def parts(self, piece: bytes) -> list[bytes] | None:
+        """The lower-cased runs of a piece that may be taken apart."""
+        core = piece.rstrip(b".,;:!?|")
+        if core.isalpha():  # on bytes: A-Z and a-z only
+            return [core.lower(), piece[len(core) :]] if len(core) < len(piece) else [core.lower()]
+        text = piece.decode()
+        return [r.encode() for r in RUNS.findall(text.lower())] if PLAIN.fullmatch(text) else None
+
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces that are not known yet; they are remembered while there is room."""
+        apart = {p: self.parts(p) for p in pieces}
+        new = list({r for runs in apart.values() if runs for r in runs if r not in self})
+        found = dict(zip(new, self.runs([r.decode() for r in new]), strict=True)) if new else {}
+        for piece, runs in apart.items():
+            if runs is None:
+                found[piece] = self.alone(piece.decode())
+            elif len(runs) > 1 or runs[0] != piece:
+                found[piece] = b"".join([found[r] if r in found else self[r] for r in runs])
+        if len(self) < REMEMBERED:
+            self.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
+        return found
 
     def all16(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, two bytes each."""
-        pieces = [t.encode().split() for t in texts]
-        fresh = set(chain.from_iterable(pieces)).difference(self)
-        self.learn({p for p in fresh if len(p) <= LONGEST})
-        return [b"".join(map(self.__getitem__, p)) for p in pieces]
+        get, out, lacking, fresh = self.get, [], [], set()
+        for text in texts:
+            pieces = text.encode().split()
+            ids = list(map(get, pieces))
+            if None in ids:
+                fresh.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+                lacking.append((len(out), pieces))
+            out.append(ids)
+        found = self.learn(fresh) if fresh else {}
+        for k, pieces in lacking:
+            out[k] = [found[p] if x is None else x for p, x in zip(pieces, out[k], strict=True)]
+        return [b"".join(ids) for ids in out]
 
 
 @cache
