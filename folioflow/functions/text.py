@@ -6,6 +6,8 @@ generated code or as a higher-order function on the JVM. Lengths count code poin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,32 +30,38 @@ TOKEN_PATTERN = r"[a-z0-9]+(?:['-][a-z0-9]+)?"
 SENTENCE_PATTERN = r"""[^.!?]+[.!?]+["')\]]?|[^.!?]+$"""
 LIST_PATTERN = r"^\s*(?:[-*•▪]|\d+[.)])\s+"
 
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Characters that count as white space at the ends of a text.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column | str, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: inside lambdas and conditions an expression is otherwise computed anew at each mention."""
+    return F.transform(F.array(_col(x)), use)[0]
+
+
 def _sub(x: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(x, F.lit(pattern), F.lit(by))
 
 
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return _sub(_col(x), _EDGES, "")
+    return F.btrim(_col(x), F.lit(SPACES))
 
 
 def normalize_text(x: Column | str) -> Column:
     """No NUL, runs of blanks to one space (one tab stays), at most one empty line, no edges."""
-    x = _sub(_col(x), r"\x00", "")
+    x = F.replace(_col(x), F.lit("\0"), F.lit(""))
     return strip(_sub(_sub(x, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
 
 
 def normalize_extracted(x: Column | str) -> Column:
     """normalize_text for extracted pages: line ends unified, every run of blanks to a space, lines trimmed at the right."""
-    x = _sub(_sub(_col(x), r"\x00", ""), r"\r\n?", "\n")
-    x = _sub(_sub(x, r"[ \t]+", " "), r"(?m)[ \t]+$", "")
+    x = _sub(F.replace(_col(x), F.lit("\0"), F.lit("")), r"\r\n?", "\n")
+    x = F.replace(_sub(x, r"[ \t]+", " "), F.lit(" \n"), F.lit("\n"))
     return strip(_sub(x, r"\n{3,}", "\n\n"))
 
 
@@ -81,15 +89,21 @@ def is_list_line(x: Column | str) -> Column:
 
 def is_heading(x: Column | str) -> Column:
     """A short line that looks like a heading: numbered, in capitals, or mostly capitalised words."""
-    line = strip(x)
-    parts = F.split(line, r"\s+")
-    bare = F.transform(parts, lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", ""))
-    capital = F.filter(bare, lambda w: (w != "") & (F.lower(w).isin(HEADING_WORDS) | w.rlike("^[A-Z]")))
-    letters = F.regexp_replace(line, r"\P{L}", "")
-    loud = (F.length(letters) > 0) & (F.upper(line) == line) & (F.lower(letters) != letters)
-    numbered = line.rlike(r"(?i)^(?:chapter|section)\s+\d+")
-    fits = (F.length(line) > 0) & (F.length(line) <= 90) & ~is_list_line(line) & ~line.rlike("[.,;:]$") & (F.size(parts) <= 10)
-    return F.coalesce(fits & (loud | numbered | (F.size(capital) >= F.size(parts) * 0.75)), F.lit(False))
+
+    def capitalised(parts: Column) -> Column:
+        bare = F.transform(parts, lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", ""))
+        capital = F.filter(bare, lambda w: (w != "") & (F.lower(w).isin(HEADING_WORDS) | w.rlike("^[A-Z]")))
+        return (F.size(parts) <= 10) & (F.size(capital) >= F.size(parts) * 0.75)
+
+    def test(line: Column) -> Column:
+        letters = F.regexp_replace(line, r"\P{L}", "")
+        loud = (F.length(letters) > 0) & (F.upper(line) == line) & (F.lower(letters) != letters)
+        numbered = line.rlike(r"(?i)^(?:chapter|section)\s+\d+")
+        fits = (F.length(line) > 0) & (F.length(line) <= 90) & ~line.rlike("[.,;:]$") & ~is_list_line(line)
+        parts = F.split(line, r"\s+")
+        return fits & (let(parts, capitalised) | ((F.size(parts) <= 10) & (loud | numbered)))
+
+    return F.coalesce(let(strip(x), test), F.lit(False))
 
 
 def section_header(x: Column | str, article: bool | Column = False, chapter: bool | Column = False) -> Column:
@@ -132,8 +146,9 @@ def distinct_tokens(x: Column | str) -> Column:
 
 
 def split_sentences(x: Column | str) -> Column:
-    found = F.regexp_extract_all(_col(x), F.lit(SENTENCE_PATTERN), F.lit(0))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(_col(x)))
+    x = _col(x)
+    found = F.regexp_extract_all(x, F.lit(SENTENCE_PATTERN), F.lit(0))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(x)))
 
 
 def _empty() -> Column:
@@ -147,7 +162,8 @@ def _fold(items: Column, joint: str, limit: int, slices: bool) -> Column:
         done, cur = acc["done"], acc["cur"]
         flushed = F.when(cur != "", F.concat(done, F.array(cur))).otherwise(done)
         joined = F.when(cur == "", item).otherwise(F.concat(cur, F.lit(joint), item))
-        packed = F.when((cur != "") & (F.length(joined) > limit), F.struct(flushed.alias("done"), item.alias("cur"))).otherwise(F.struct(done.alias("done"), joined.alias("cur")))
+        fits = (cur == "") | (F.length(cur) + len(joint) + F.length(item) <= limit)
+        packed = F.when(fits, F.struct(done.alias("done"), joined.alias("cur"))).otherwise(F.struct(flushed.alias("done"), item.alias("cur")))
         if not slices:
             return packed
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(item) - 1) / limit).cast("int")), lambda k: strip(F.substring(item, k * limit + 1, F.lit(limit))))
@@ -180,22 +196,35 @@ def truncate_preview(x: Column | str, limit: int) -> Column:
 
 
 def truncate_text(x: Column | str, limit: int) -> Column:
-    x = compact(x)
-    return F.when(F.length(x) > limit, F.concat(strip(F.substring(x, 1, max(0, limit - 1))), F.lit("…"))).otherwise(x)
+    return let(compact(x), lambda c: F.when(F.length(c) > limit, F.concat(strip(F.substring(c, 1, max(0, limit - 1))), F.lit("…"))).otherwise(c))
+
+
+def find_all(text: Column, token: Column) -> Column:
+    """The places (from 0, ascending, overlaps too) where a token starts: a split in front of each, and its running length."""
+    start = F.struct(F.array().cast("array<int>").alias("places"), F.lit(0).alias("at"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        places = F.when(piece.startswith(token), F.concat(acc["places"], F.array(acc["at"]))).otherwise(acc["places"])
+        return F.struct(places.alias("places"), (acc["at"] + F.length(piece)).alias("at"))
+
+    pieces = F.split(text, F.concat(F.lit(r"(?=\Q"), token, F.lit(r"\E)")))
+    return F.when(text.contains(token), F.aggregate(pieces, start, add, lambda acc: acc["places"])).otherwise(F.array().cast("array<int>"))
 
 
 def excerpt(text: Column | str, tokens: Column, near: int = 260, around: int = 420) -> Column:
     """The stretch around the hit with most hits near it (the first such), compact, with dots where it is cut."""
     text = _col(text)
-    low = F.lower(text)
-    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    hits = F.flatten(F.transform(tokens, lambda t: F.filter(places, lambda k: F.substring(low, k, F.length(t)) == t)))
-    # bound once: an expression inside a lambda is computed anew for each element
-    best = F.transform(F.array(hits), lambda hs: F.array_max(F.transform(hs, lambda h: F.struct(F.size(F.filter(hs, lambda o: F.abs(o - h) <= near)).alias("n"), (-h).alias("at")))))
-    center = F.coalesce(-best[0]["at"] - 1, F.lit(0))
-    start, end = F.greatest(F.lit(0), center - around), F.least(F.length(text), center + around)
-    body = compact(F.substring(text, start + 1, end - start))
-    return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))
+
+    def most(hits: Column) -> Column:
+        return F.array_max(F.transform(hits, lambda h: F.struct(F.size(F.filter(hits, lambda o: F.abs(o - h) <= near)).alias("n"), (-h).alias("at"))))["at"]
+
+    def cut(center: Column) -> Column:
+        start, end = F.greatest(F.lit(0), center - around), F.least(F.length(text), center + around)
+        body = compact(F.substring(text, start + 1, end - start))
+        return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))
+
+    hits = let(F.lower(text), lambda low: F.flatten(F.transform(tokens, lambda t: find_all(low, t))))
+    return let(F.coalesce(-let(hits, most), F.lit(0)), cut)
 
 
 def locator(page_start: Column, page_end: Column, chunk_index: Column) -> Column:

@@ -10,14 +10,22 @@ from folioflow.functions import text as T
 BATCH = 50
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than that (one large file); as they are otherwise, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = T.MIN_DOCUMENT_WORDS) -> DataFrame:
     """(key, chunk_index, chunk_text, words): chunks of more than four words of documents with enough words.
 
-    One row in, an array out, exploded: no shuffle. Repartition first where few scan partitions hold much text.
+    One row in, an array out, exploded: no shuffle. ``spread`` the rows first where few scan partitions hold much text.
     """
-    rows = docs.where(T.count_words(text) >= min_words).select(key, F.filter(T.chunk_text(text), lambda c: T.count_words(c) > T.MIN_CHUNK_WORDS).alias("chunks"))
-    rows = rows.select(key, F.posexplode("chunks").alias("k", "chunk_text"))
-    return rows.select(key, (F.col("k") + 1).alias("chunk_index"), "chunk_text", T.count_words("chunk_text").alias("words"))
+    counted = F.transform(T.chunk_text(text), lambda c: F.struct(c.alias("chunk_text"), T.count_words(c).alias("words")))
+    # exploded as an expression: of a column Catalyst would filter on its size first and compute the chunks twice
+    long_enough = F.filter(counted, lambda c: c["words"] > T.MIN_CHUNK_WORDS)
+    rows = docs.where(T.count_words(text) >= min_words).select(key, F.posexplode(long_enough).alias("k", "c"))
+    return rows.select(key, (F.col("k") + 1).alias("chunk_index"), "c.chunk_text", "c.words")
 
 
 def with_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,8 +40,8 @@ def with_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         end = F.least(F.length("clean"), place + F.length(chunk)).cast("int")
         return F.struct(F.concat(acc["done"], F.array(F.struct(place.alias("s"), end.alias("e"), chunk.alias("c")))).alias("done"), end.alias("at"))
 
-    rows = rows.select(key, F.aggregate("chunks", start, add, lambda acc: F.filter(acc["done"], lambda c: T.count_words(c["c"]) > T.MIN_CHUNK_WORDS)).alias("chunks"))
-    rows = rows.select(key, F.posexplode("chunks").alias("k", "c"))
+    placed = F.aggregate("chunks", start, add, lambda acc: F.filter(acc["done"], lambda c: T.count_words(c["c"]) > T.MIN_CHUNK_WORDS))
+    rows = rows.select(key, F.posexplode(placed).alias("k", "c"))
     return rows.select(key, (F.col("k") + 1).alias("chunk_index"), F.col("c.s").alias("start_offset"), F.col("c.e").alias("end_offset"))
 
 

@@ -33,7 +33,7 @@ def resolve_rules(profile: str | None = None, rules: list[str] | str | None = No
 def edge_lines(pages: DataFrame, edge: int = EDGE) -> DataFrame:
     """(document_id, page, line): the first and last non-blank lines of each page, each once."""
     found = F.filter(F.transform(T.lines("text"), T.strip), lambda x: x != "")
-    ends = F.array_distinct(F.concat(F.slice(found, 1, edge), F.slice(found, F.greatest(F.size(found) - edge + 1, F.lit(1)), F.lit(edge))))
+    ends = T.let(found, lambda f: F.array_distinct(F.concat(F.slice(f, 1, edge), F.slice(f, F.greatest(F.size(f) - edge + 1, F.lit(1)), F.lit(edge)))))
     return pages.select("document_id", "page", F.explode(ends).alias("line"))
 
 
@@ -47,7 +47,7 @@ def repeated_edge_lines(pages: DataFrame, edge: int = EDGE, share: float = SHARE
 
 def remove_lines(text: Column | str, keys: Column) -> Column:
     """A text without the lines whose keys are in an array."""
-    kept = F.filter(T.lines(text), lambda x: ~(F.array_contains(keys, T.line_key(x)) & (T.line_key(x) != "")))
+    kept = F.filter(T.lines(text), lambda x: T.let(T.line_key(x), lambda k: (k == "") | ~F.array_contains(keys, k)))
     return F.array_join(kept, "\n")
 
 
@@ -79,4 +79,6 @@ def clean_pages(pages: DataFrame, profile: str | None = None, rules: list[str] |
         out = out.withColumn("text", T.repair_hyphens("text"))
     if "merge_wrapped_lines" in chosen:
         out = out.withColumn("text", paragraphs("text"))
-    return out.withColumn("text", T.normalize_extracted("text")).where("text != ''").drop("raw")
+    # exploded, not filtered: a filter on the cleaned text would clean every page twice
+    clean = F.explode(F.filter(F.array(T.normalize_extracted("text")), lambda t: t != "")).alias("text")
+    return out.select(*(clean if c == "text" else F.col(f"`{c}`") for c in out.columns if c != "raw"))

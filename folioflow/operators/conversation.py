@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import embedding
-from folioflow.operators.chunking import chunk_documents
+from folioflow.operators.chunking import chunk_documents, spread
 
 RECENT = 12
 
@@ -58,8 +58,8 @@ def answer_sources(spark: SparkSession, sf_dir: str, questions: int = 5, limit:
 
     Questions are a request's few rows, so they are broadcast; chunks are never collected.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    chunks = chunk_documents(docs).withColumn("v", embedding.hashed_embedding("chunk_text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    chunks = chunk_documents(spread(docs, "doc_id")).withColumn("v", embedding.hashed_embedding("chunk_text"))
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(questions).select("item_id", T.distinct_tokens("text").alias("tokens"), embedding.hashed_embedding("text").alias("q"))
     hits = chunks.crossJoin(F.broadcast(asked)).withColumn("score", F.round(embedding.dot("q", "v"), 4))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "chunk_index")

@@ -30,22 +30,19 @@ def norm(v: Column | str) -> Column:
 
 def normalize(v: Column | str, least: float = 1e-12) -> Column:
     """A vector of unit length; zeros where the norm is at most ``least`` (as a query is embedded)."""
-    v = F.col(v) if isinstance(v, str) else v
-    n = norm(v)
-    return F.when(n <= least, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x.cast("double") / n))
+    scaled = lambda x, n: F.when(n <= least, F.transform(x, lambda _: F.lit(0.0))).otherwise(F.transform(x, lambda y: y.cast("double") / n))
+    return T.let(v, lambda x: T.let(norm(x), lambda n: scaled(x, n)))
 
 
 def normalize_rows(v: Column | str) -> Column:
     """A vector of unit length; a zero vector stays (as an index is built)."""
-    v = F.col(v) if isinstance(v, str) else v
-    n = F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return T.let(v, lambda x: T.let(norm(x), lambda n: F.transform(x, lambda y: y.cast("double") / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def hashed_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
     """A bag of tokens hashed by md5 into ``dimensions`` counts, of unit length; JVM only."""
     places = F.transform(T.tokenize(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
+    counts = T.let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: (F.size(ps) - F.size(F.array_remove(ps, d))).cast("double")))
     return normalize(counts)
 
 

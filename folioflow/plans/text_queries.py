@@ -92,9 +92,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents; the scan's few partitions are spread over the cores before the folds."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return chunking.chunk_documents(docs.repartition(spark.sparkContext.defaultParallelism, "doc_id"))
+    """Chunks of all documents."""
+    return chunking.chunk_documents(chunking.spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id"))
 
 
 def _scalar(name: str, column, sql: str):
@@ -193,7 +192,7 @@ def paragraphize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the pages of their source."""
-    return documents(spark, sf_dir).select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text")
+    return chunking.spread(documents(spark, sf_dir).select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text"), "page")
 
 
 _EDGE = rf"""{_LINES}, s AS (SELECT doc_id, pos, {strip_sql('line')} AS l FROM lines),
