@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import compact, strip, truncate_text
+from folioflow.functions.text import compact, let, strip, truncate_text
 
 # Prompts that only make sense after another turn.
 FOLLOW_UPS = [
@@ -73,8 +73,7 @@ def source_key(*parts: Column) -> Column:
 
 
 def conversation_title(x: Column | str, longest: int = 28) -> Column:
-    text = compact(x)
-    return F.when(F.length(text) > longest, F.concat(strip(F.substring(text, 1, longest)), F.lit("..."))).otherwise(text)
+    return let(compact(x), lambda text: F.when(F.length(text) > longest, F.concat(strip(F.substring(text, 1, longest)), F.lit("..."))).when(text == "", "New Study Chat").otherwise(text))
 
 
 def follow_up_count(mode: Column, n: Column) -> Column:

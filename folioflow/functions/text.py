@@ -243,12 +243,34 @@ def format_bytes(x: Column | str) -> Column:
     return F.when(x < 1 << 20, F.concat(F.greatest(F.lit(1), F.bround(x / 1024)).cast("long").cast("string"), F.lit(" KB"))).when(x < 1 << 30, F.format_string("%.1f MB", x / (1 << 20))).otherwise(F.format_string("%.2f GB", x / (1 << 30)))
 
 
+# Entities by name.
+ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"'}
+ENTITY_PATTERN = r"&(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,9}|[a-zA-Z]+);"
+
+
+def decode_entities(x: Column | str) -> Column:
+    """Named and numeric entities as characters, each once; unknown names and numbers that are no character stay."""
+
+    def character(entity: Column) -> Column:
+        name = F.lower(F.regexp_replace(entity, "[&;]", ""))
+        number = F.when(name.startswith("#x"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9)).cast("long")
+        code = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        valid = number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        out = F.when(valid, code)
+        for known, by in ENTITIES.items():
+            out = out.when(name == known, by)
+        return out.otherwise(entity)
+
+    def joined(text: Column) -> Column:
+        parts, entities = F.split(text, ENTITY_PATTERN), F.regexp_extract_all(text, F.lit(ENTITY_PATTERN), F.lit(0))
+        return F.array_join(F.zip_with(parts, entities, lambda p, e: F.when(e.isNull(), p).otherwise(F.concat(p, character(e)))), "")
+
+    return let(_col(x), lambda text: F.when(text.contains("&"), joined(text)).otherwise(text))
+
+
 def html_text(x: Column | str) -> Column:
-    """Tags to spaces, the named entities of text, compact."""
-    x = _sub(_col(x), r"<[^>]*>", " ")
-    for name, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(by))
-    return compact(x)
+    """Tags to spaces, entities decoded, compact."""
+    return compact(decode_entities(_sub(_col(x), r"<[^>]*>", " ")))
 
 
 def first_paragraph(x: Column | str) -> Column:

@@ -49,10 +49,6 @@ def pick_unused(pool: DataFrame, used: DataFrame, key: str, order: str, n: int =
     return chosen.orderBy(F.md5(F.col(order).cast("string").cast("binary"))).limit(n)
 
 
-def cycle(items: Column, n: Column) -> Column:
-    return F.element_at(items, F.pmod(n - 1, F.size(items)) + 1)
-
-
 def answer_sources(spark: SparkSession, sf_dir: str, questions: int = 5, limit: int = 4) -> DataFrame:
     """Documents to chunks to hashed vectors to each question's best sources: (item_id, rank, doc_id, chunk_index, score, locator, excerpt).
 

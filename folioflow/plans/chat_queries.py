@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions import chat
+from folioflow.functions import chat, study
 from folioflow.functions import settings as S
 from folioflow.functions import text as T
 from folioflow.operators import chunking, conversation, embedding, retrieval
-from folioflow.plans.registry import Registry, table
+from folioflow.plans.registry import Registry, table, values_sql
 from folioflow.plans.text_queries import compact_sql, strip_sql
 from folioflow.streaming import progress
 
@@ -128,7 +128,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", F.size("messages").alias("n"), F.md5(F.array_join(F.transform(inner, lambda m: F.concat_ws(":", m["role"], m["content"])), "|").cast("binary")).alias("body"))
 
 
-@R.add("conversation_title", f"SELECT conv_id, turn, CASE WHEN len({compact_sql('text')}) > 28 THEN {strip_sql('substr(' + compact_sql('text') + ', 1, 28)')} || '...' ELSE {compact_sql('text')} END AS title FROM conversations")
+@R.add("conversation_title", f"SELECT conv_id, turn, CASE WHEN len({compact_sql('text')}) > 28 THEN {strip_sql('substr(' + compact_sql('text') + ', 1, 28)')} || '...' WHEN {compact_sql('text')} = '' THEN 'New Study Chat' ELSE {compact_sql('text')} END AS title FROM conversations")
 def conversation_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.conversation_title("text").alias("title"))
 
@@ -186,18 +186,11 @@ def index_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- functions on inline rows ---------------------------------------------------------------------
 
 
-def _values(rows: list[tuple]) -> str:
-    def lit(x) -> str:
-        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
-
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
-
-
 _PROMPTS = [(1, "Why?"), (2, "explain that"), (3, "What about RAID 5?"), (4, "Describe the history of storage systems in detail"), (5, "is this the same"), (6, "  More   details!! "), (7, ""), (8, "be more specific.")]
 _FOLLOW = " OR ".join(f"regexp_matches(p, '{x}')" for x in chat.FOLLOW_UPS)
 
 
-@R.add("is_followup", f"SELECT id, p <> '' AND ({_FOLLOW} OR (len(regexp_split_to_array(p, '\\s+')) <= 6 AND regexp_matches(p, '{chat.POINTERS}'))) AS flag FROM (SELECT id, regexp_replace(lower({compact_sql('t')}), '[?.!]+$', '') AS p FROM {_values(_PROMPTS)} v(id, t))")
+@R.add("is_followup", f"SELECT id, p <> '' AND ({_FOLLOW} OR (len(regexp_split_to_array(p, '\\s+')) <= 6 AND regexp_matches(p, '{chat.POINTERS}'))) AS flag FROM (SELECT id, regexp_replace(lower({compact_sql('t')}), '[?.!]+$', '') AS p FROM {values_sql(_PROMPTS)} v(id, t))")
 def is_followup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_PROMPTS, "id int, t string").select("id", chat.is_follow_up("t").alias("flag"))
 
@@ -212,7 +205,7 @@ def _strip_sql(x: str) -> str:
     return strip_sql(rf"regexp_replace({x}, '\s{{2,}}', ' ', 'g')")
 
 
-@R.add("strip_citations", f"SELECT id, {_strip_sql('t')} AS text FROM {_values(_ANSWERS)} v(id, t)")
+@R.add("strip_citations", f"SELECT id, {_strip_sql('t')} AS text FROM {values_sql(_ANSWERS)} v(id, t)")
 def strip_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_ANSWERS, "id int, t string").select("id", chat.strip_citations("t").alias("text"))
 
@@ -231,7 +224,7 @@ def reorder_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BYTES = [(0,), (500,), (1536,), (2560,), (1048576,), (5347738,), (3221225472,)]
 
 
-@R.add("format_bytes", f"SELECT n, CASE WHEN n < 1048576 THEN CAST(greatest(1, round_even(n / 1024, 0)) AS BIGINT) || ' KB' WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.2f GB', n / 1073741824) END AS text FROM {_values(_BYTES)} v(n)")
+@R.add("format_bytes", f"SELECT n, CASE WHEN n < 1048576 THEN CAST(greatest(1, round_even(n / 1024, 0)) AS BIGINT) || ' KB' WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.2f GB', n / 1073741824) END AS text FROM {values_sql(_BYTES)} v(n)")
 def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_BYTES, "n long").select("n", T.format_bytes("n").alias("text"))
 
@@ -239,7 +232,7 @@ def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNTS = [("off", "3"), ("on", "1"), ("on", "2"), ("on", "3"), ("on", "9"), ("on", None)]
 
 
-@R.add("followup_count", f"SELECT mode, n, CASE WHEN mode = 'off' THEN 0 WHEN n IS NULL THEN 4 WHEN CAST(n AS DOUBLE) <= 2 THEN 2 ELSE 4 END AS count FROM {_values(_COUNTS)} v(mode, n)")
+@R.add("followup_count", f"SELECT mode, n, CASE WHEN mode = 'off' THEN 0 WHEN n IS NULL THEN 4 WHEN CAST(n AS DOUBLE) <= 2 THEN 2 ELSE 4 END AS count FROM {values_sql(_COUNTS)} v(mode, n)")
 def followup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_COUNTS, "mode string, n string").select("mode", "n", chat.follow_up_count(F.col("mode"), F.col("n")).alias("count"))
 
@@ -247,7 +240,7 @@ def followup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SETTINGS = [(1, "0.5"), (2, "-4"), (3, "99999"), (4, "x"), (5, None), (6, "NaN"), (7, "7.5")]
 
 
-@R.add("settings_clamp", f"SELECT id, CAST(CASE WHEN try_cast(t AS DOUBLE) IS NULL OR isnan(try_cast(t AS DOUBLE)) THEN 4 ELSE greatest(1, least(64, floor(try_cast(t AS DOUBLE) + 0.5))) END AS DOUBLE) AS threads, CAST(CASE WHEN try_cast(t AS DOUBLE) IS NULL OR isnan(try_cast(t AS DOUBLE)) THEN 0.7 ELSE greatest(0, least(2, try_cast(t AS DOUBLE))) END AS DOUBLE) AS temperature FROM {_values(_SETTINGS)} v(id, t)")
+@R.add("settings_clamp", f"SELECT id, CAST(CASE WHEN try_cast(t AS DOUBLE) IS NULL OR isnan(try_cast(t AS DOUBLE)) THEN 4 ELSE greatest(1, least(64, floor(try_cast(t AS DOUBLE) + 0.5))) END AS DOUBLE) AS threads, CAST(CASE WHEN try_cast(t AS DOUBLE) IS NULL OR isnan(try_cast(t AS DOUBLE)) THEN 0.7 ELSE greatest(0, least(2, try_cast(t AS DOUBLE))) END AS DOUBLE) AS temperature FROM {values_sql(_SETTINGS)} v(id, t)")
 def settings_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_SETTINGS, "id int, t string").select("id", S.clamp("t", "cpuThreads").alias("threads"), S.clamp("t", "temperature").alias("temperature"))
 
@@ -266,10 +259,9 @@ def sort_model_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sorted_models(spark.createDataFrame(_MODELS, "id string"), "gpt-")
 
 
-@R.add("quiz_focus_cycle", "SELECT n, ['definition', 'mechanism', 'comparison', 'application', 'consequence'][(n - 1) % 5 + 1] AS area FROM (VALUES (1), (5), (6), (13)) v(n)")
+@R.add("quiz_focus_cycle", "SELECT n, [" + ", ".join(f"'{a}'" for a in study.QUIZ_AREAS) + "][greatest(n - 1, 0) % 5 + 1] AS area FROM (VALUES (0), (1), (5), (6), (13)) v(n)")
 def quiz_focus_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = F.array(*map(F.lit, ["definition", "mechanism", "comparison", "application", "consequence"]))
-    return spark.createDataFrame([(1,), (5,), (6,), (13,)], "n int").select("n", conversation.cycle(areas, F.col("n")).alias("area"))
+    return spark.createDataFrame([(0,), (1,), (5,), (6,), (13,)], "n int").select("n", study.quiz_area(F.col("n")).alias("area"))
 
 
 _LISTS = [(1, '["What is RAID?", "Why?", "no"]'), (2, "1. What is a disk?\n2) How fast?\n- What is a disk?"), (3, "Here are some:\n* Is it so?"), (4, "none")]
@@ -283,7 +275,7 @@ def parse_followups_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATHS = [("/a/b", "/a/b"), ("/a/b", "/a/b/c.pdf"), ("/a/b", "/a/bc"), ("/a/b", "/a")]
 
 
-@R.add("path_containment", f"SELECT parent, child, child = parent OR starts_with(child, parent || '/') AS inside FROM {_values(_PATHS)} v(parent, child)")
+@R.add("path_containment", f"SELECT parent, child, child = parent OR starts_with(child, parent || '/') AS inside FROM {values_sql(_PATHS)} v(parent, child)")
 def path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_PATHS, "parent string, child string").select("parent", "child", S.inside(F.col("parent"), F.col("child")).alias("inside"))
 
@@ -291,7 +283,7 @@ def path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADERS = [(1, "Chapter 3: Disks"), (2, "12.1 Magnetic Disks"), (3, "chapter one"), (4, "- 1.2 item"), (5, "Section 4")]
 
 
-@R.add("section_header", rf"SELECT id, CASE WHEN NOT regexp_matches(t, '^\s*(?:[-*•▪]|\d+[.)])\s+') AND (regexp_matches(t, '(?i)^(?:chapter|section)\s+\d+\b(?:\s*[:.-]\s*\S.*)?$') OR regexp_matches(t, '^\d+(?:\.\d+)+\s+\S.{{0,100}}$')) THEN t END AS header FROM {_values(_HEADERS)} v(id, t)")
+@R.add("section_header", rf"SELECT id, CASE WHEN NOT regexp_matches(t, '^\s*(?:[-*•▪]|\d+[.)])\s+') AND (regexp_matches(t, '(?i)^(?:chapter|section)\s+\d+\b(?:\s*[:.-]\s*\S.*)?$') OR regexp_matches(t, '^\d+(?:\.\d+)+\s+\S.{{0,100}}$')) THEN t END AS header FROM {values_sql(_HEADERS)} v(id, t)")
 def section_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_HEADERS, "id int, t string").select("id", T.section_header("t", chapter=True).alias("header"))
 

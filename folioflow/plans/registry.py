@@ -24,5 +24,14 @@ class Registry:
         return keep
 
 
+def values_sql(rows: list[tuple]) -> str:
+    """Inline rows as a SQL table."""
+
+    def lit(x) -> str:
+        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from folioflow.functions import chat, study
 from folioflow.functions import text as T
 from folioflow.operators import chunking, cleaning
 from folioflow.operators.catalog import Catalog
@@ -14,7 +15,7 @@ from folioflow.sources import files
 from folioflow.streaming import index
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["normalize_text", "count_words", "tokenize", "pack_sentences", "chunk_index", "paragraphize", "repeated_edge_lines", "vector_topk_ref", "source_rows", "incremental_anti", "resolve_source", "completed_turns", "html_strip", "pull_progress", "strip_citations", "settings_clamp"]
+QUICK = ["normalize_text", "count_words", "tokenize", "pack_sentences", "chunk_index", "paragraphize", "repeated_edge_lines", "vector_topk_ref", "source_rows", "incremental_anti", "resolve_source", "completed_turns", "html_strip", "pull_progress", "strip_citations", "settings_clamp", "excerpt", "conversation_title", "md_normalize", "normalize_urls", "unique_name", "search_term_for_source", "parse_followups_py", "clean_quiz_question", "quiz_prompts", "source_context", "scrape_library", "list_remote_models", "pdf_text_search"]
 
 
 def rows(df):
@@ -56,6 +57,28 @@ def test_pages_lose_repeated_edges_and_carry_headings(spark):
     assert [r["section_header"] for r in chunks] == ["Chapter 12: Magnetic Disks"] * 2 and [r["chunk_index"] for r in chunks] == [1, 2]
 
 
+def test_entities_decode_once(spark):
+    assert one(spark, T.html_text, "<p>&amp;lt; &#65;&#x1F600;&#X41; &bogus; &#55296; &NBSP;x&</p>") == "&lt; A😀A &bogus; &#55296; x&"
+    assert one(spark, T.html_text, "") == "" and one(spark, T.html_text, None) is None
+
+
+def test_places_of_a_token(spark):
+    assert one(spark, lambda t: T.find_all(t, F.lit("aa")), "aaa é aa") == [0, 1, 6]
+    assert one(spark, lambda t: T.find_all(t, F.lit("x")), "aaa") == []
+
+
+def test_page_search_runs_across_pieces(spark):
+    pages = [("d", 1, 0, "Magnetic"), ("d", 1, 1, " "), ("d", 1, 2, "DISKS spin"), ("d", 1, 3, "fast"), ("d", 2, 0, "magnetic  disks"), ("d", 2, 1, "magnetic"), ("d", 2, 2, "disks")]
+    items = spark.createDataFrame(pages, "document_id string, page int, item int, text string")
+    found = lambda q: sorted((r["page"], r["item"]) for r in study.page_matches(items, q).collect())
+    assert found("Magnetic disks") == [(1, 0), (1, 2), (2, 0)]
+    assert found("  ") == [] and found("none such") == []
+
+
+def test_empty_conversation_has_a_title(spark):
+    assert one(spark, chat.conversation_title, "  ") == "New Study Chat"
+
+
 def test_batches(spark):
     got = spark.range(1, 9).select(chunking.batch_ids(F.col("id"), True, 3).alias("b")).groupBy("b").count().orderBy("b").collect()
     assert [r["count"] for r in got] == [1, 3, 3, 1]
