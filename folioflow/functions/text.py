@@ -199,8 +199,9 @@ def truncate_text(x: Column | str, limit: int) -> Column:
     return let(compact(x), lambda c: F.when(F.length(c) > limit, F.concat(strip(F.substring(c, 1, max(0, limit - 1))), F.lit("…"))).otherwise(c))
 
 
-def find_all(text: Column, token: Column) -> Column:
+def find_all(text: Column | str, token: Column) -> Column:
     """The places (from 0, ascending, overlaps too) where a token starts: a split in front of each, and its running length."""
+    text = _col(text)
     start = F.struct(F.array().cast("array<int>").alias("places"), F.lit(0).alias("at"))
 
     def add(acc: Column, piece: Column) -> Column:
