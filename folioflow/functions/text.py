@@ -205,7 +205,7 @@ def find_all(text: Column | str, token: Column) -> Column:
     start = F.struct(F.array().cast("array<int>").alias("places"), F.lit(0).alias("at"))
 
     def add(acc: Column, piece: Column) -> Column:
-        places = F.when(piece.startswith(token), F.concat(acc["places"], F.array(acc["at"]))).otherwise(acc["places"])
+        places = F.when((acc["at"] > 0) | text.startswith(token), F.concat(acc["places"], F.array(acc["at"]))).otherwise(acc["places"])
         return F.struct(places.alias("places"), (acc["at"] + F.length(piece)).alias("at"))
 
     pieces = F.split(text, F.concat(F.lit(r"(?=\Q"), token, F.lit(r"\E)")))
