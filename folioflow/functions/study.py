@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.names import without_marks
 from folioflow.functions.text import compact, let, locator, normalize_text, strip
 
 # What leads the sources of a prompt, with the library's own model and with a remote one.
@@ -110,7 +111,7 @@ def quiz_question(x: Column | str) -> Column:
 
 def suggestions(x: Column | str, limit: int = 4, longest: int = 180) -> Column:
     """Suggested questions of a reply: a JSON array's items, else every question in it; long ones cut, repeats (in any case) dropped."""
-    text = strip(x)
+    text = without_marks(F.col(x) if isinstance(x, str) else x)
 
     def question(item: Column) -> Column:
         item = F.regexp_replace(item, r"^\s*(?:[-*•]+|\d+[\).\:-])\s*", "")

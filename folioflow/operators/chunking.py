@@ -51,6 +51,11 @@ def last_header(chunk: Column | str, article: bool = False, chapter: bool = True
     return F.get(found, F.size(found) - 1)
 
 
+def carried(header: Column | str, by: list[str], order: list[str]) -> Column:
+    """The last heading so far, over rows of the same ``by`` in ``order``."""
+    return F.last(header, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def chunk_pages(pages: DataFrame, article: bool = False, chapter: bool = True) -> DataFrame:
     """(document_id, page, chunk_index, chunk_text, words, section_header) of cleaned pages.
 
@@ -59,10 +64,8 @@ def chunk_pages(pages: DataFrame, article: bool = False, chapter: bool = True) -
     """
     rows = pages.select("document_id", "page", F.posexplode(T.chunk_text("text")).alias("k", "chunk_text"))
     rows = rows.withColumn("words", T.count_words("chunk_text")).withColumn("own", last_header("chunk_text", article, chapter))
-    within = Window.partitionBy("document_id", "page").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("own", F.last("own", ignorenulls=True).over(within)).where(F.col("words") > T.MIN_CHUNK_WORDS)
-    across = Window.partitionBy("document_id").orderBy("page", "k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section_header", F.last("own", ignorenulls=True).over(across))
+    rows = rows.withColumn("own", carried("own", ["document_id", "page"], ["k"])).where(F.col("words") > T.MIN_CHUNK_WORDS)
+    rows = rows.withColumn("section_header", carried("own", ["document_id"], ["page", "k"]))
     rows = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy("page", "k")))
     return rows.select("document_id", "page", "chunk_index", "chunk_text", "words", "section_header")
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions import study
+from folioflow.functions import names, study
 from folioflow.functions import text as T
+from folioflow.operators import chunking, cleaning, materials
 from folioflow.plans.registry import Registry, values_sql
-from folioflow.plans.text_queries import compact_sql, documents, strip_sql
+from folioflow.plans.text_queries import HEADING_SQL, KEPT, compact_sql, documents, extracted_sql, strip_sql
 from folioflow.sources import listings
 
 R = Registry()
@@ -171,3 +172,119 @@ def list_remote_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = documents(spark, sf_dir).select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), F.posexplode(T.lines("text")).alias("item", "text"))
     return study.page_matches(items, "Data  is")
+
+
+# -- names, materials and previews ---------------------------------------------------------------
+
+_OUTPUT = [(1, "<<<ANSWER>>> So it is. <<<END>>>"), (2, "plain")]
+
+
+@R.add("answer_markers", f"SELECT id, {strip_sql(chr(114) + 'eplace(replace(t, ' + text_sql('<<<ANSWER>>>') + ', ' + chr(39) * 2 + '), ' + text_sql('<<<END>>>') + ', ' + chr(39) * 2 + ')')} AS text FROM {values_sql(_OUTPUT)} v(id, t)")
+def answer_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_OUTPUT, "id int, t string").select("id", names.without_marks(F.col("t")).alias("text"))
+
+
+_SECRETS = [(1, "key k-1 is bad, k-1!", "k-1"), (2, "no key", ""), (3, "x" * 600, None)]
+
+
+@R.add("redact_secret", f"SELECT id, substr(CASE WHEN coalesce(s, '') <> '' THEN replace(t, s, '[redacted]') ELSE t END, 1, 500) AS text FROM {values_sql(_SECRETS)} v(id, t, s)")
+def redact_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_SECRETS, "id int, t string, s string").select("id", names.redacted(F.col("t"), F.col("s")).alias("text"))
+
+
+_FILES = [("/a/b.PDF", False), ("/a/c.markdown", False), ("/d.txt", False), ("/a/e", True), ("x/y.docx", False)]
+
+
+@R.add("file_type_label", rf"SELECT path, CASE WHEN regexp_matches(lower(path), '\.pdf$') THEN 'PDF' WHEN regexp_matches(lower(path), '\.(md|markdown)$') THEN 'Markdown' WHEN regexp_matches(lower(path), '\.txt$') THEN 'Text file' ELSE 'Document' END AS label FROM {values_sql(_FILES)} v(path, is_folder)")
+def file_type_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_FILES, "path string, is_folder boolean").select("path", names.file_type(F.col("path")).alias("label"))
+
+
+@R.add("folder_for_import", f"SELECT path, CASE WHEN is_folder THEN path ELSE coalesce(nullif(regexp_replace(path, '/[^/]*$', ''), ''), '/') END AS folder FROM {values_sql(_FILES)} v(path, is_folder)")
+def folder_for_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_FILES, "path string, is_folder boolean").select("path", names.import_folder(F.col("path"), F.col("is_folder")).alias("folder"))
+
+
+@R.add("safe_filename", r"SELECT t, trim(t) <> '' AND NOT regexp_matches(t, '[/\\]') AND t NOT IN ('.', '..') AS safe FROM (VALUES ('a.gguf'), (' '), ('../a'), ('a\b'), ('..')) v(t)")
+def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([("a.gguf",), (" ",), ("../a",), ("a\\b",), ("..",)], "t string").select("t", names.safe_filename(F.col("t")).alias("safe"))
+
+
+_NAMES = [("Llama3:latest", "llama3"), ("llama3:8b", "llama3"), ("llama3", "llama3:8b"), ("llama31", "llama3")]
+
+
+@R.add("model_name_match", f"WITH n AS (SELECT a, b, regexp_replace(lower(trim(a)), ':latest$', '') AS x, regexp_replace(lower(trim(b)), ':latest$', '') AS y FROM {values_sql(_NAMES)} v(a, b)) SELECT a, b, x = y OR starts_with(x, y || ':') AS same FROM n")
+def model_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_NAMES, "a string, b string").select("a", "b", names.same_model(F.col("a"), F.col("b")).alias("same"))
+
+
+@R.add("display_model_name", "SELECT * FROM (VALUES (1, 'Own'), (2, 'remote-1'), (3, 'model.q4'), (4, 'Local Model')) v(id, name)")
+def display_model_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, " Own ", "r", "/p"), (2, "", "remote-1", None), (3, None, " ", "/m/model.q4.gguf"), (4, None, None, "")], "id int, n string, r string, p string")
+    return rows.select("id", names.model_name(F.col("n"), F.col("r"), F.col("p")).alias("name"))
+
+
+_BUDGETS = [(1, 4096, 0.7), (2, 64, 0.0), (3, 160, 2.0)]
+
+
+@R.add("followup_budget", f"SELECT id, least(n, 160) AS tokens, CAST(greatest(0.2, least(0.8, t)) AS DOUBLE) AS temperature FROM {values_sql(_BUDGETS)} v(id, n, t)")
+def followup_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_BUDGETS, "id int, n int, t double")
+    return rows.select("id", names.follow_up_budget(F.col("n"), F.col("t")).alias("b")).select("id", "b.tokens", "b.temperature")
+
+
+@R.add("preview_first_file", "SELECT min_by(source, lower(source)) AS path FROM documents")
+def preview_first_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materials.first_file(documents(spark, sf_dir).select(F.col("source").alias("path")))
+
+
+def _cut_sql(x: str, n: int) -> str:
+    return rf"CASE WHEN len({x}) > {n} THEN regexp_replace(substr({x}, 1, {n - 1}), '\s+$', '') || '…' ELSE {x} END"
+
+
+@R.add(
+    "preview_projection",
+    f"""WITH {KEPT}, f AS (SELECT min_by(source, lower(source)) AS source FROM documents), p AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents JOIN f USING (source)),
+    n AS (SELECT doc_id, {extracted_sql('text')} AS t FROM p), z AS (SELECT t, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM n WHERE t <> ''),
+    c AS (SELECT chunk_text, row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS pos FROM kept WHERE doc_id IN (SELECT doc_id FROM p))
+    SELECT 'raw' AS kind, CAST(pos AS INTEGER) AS pos, md5({_cut_sql('text', 6000)}) AS text FROM p WHERE pos < 2
+    UNION ALL SELECT 'cleaned', CAST(pos AS INTEGER), md5({_cut_sql('t', 6000)}) FROM z WHERE pos < 2
+    UNION ALL SELECT 'chunk', CAST(pos AS INTEGER), md5({_cut_sql('chunk_text', 1500)}) FROM c WHERE pos < 6""",
+)
+def preview_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("source").alias("path"), F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text")
+    own = docs.join(F.broadcast(materials.first_file(docs)), "path", "left_semi")  # one row
+    chunks = chunking.chunk_documents(chunking.spread(own.select("page", "text"), "page"), key="page")
+    found = materials.preview(own, cleaning.clean_pages(own.drop("path"), "minimal"), chunks)
+    return found.select("kind", "pos", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@R.add("header_carry", f"WITH lines AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), h AS (SELECT doc_id, pos, CASE WHEN coalesce({HEADING_SQL}, false) THEN l END AS own FROM (SELECT *, {strip_sql('line')} AS l FROM lines)) SELECT doc_id, pos, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS header FROM h")
+def header_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.lines("text")).alias("pos", "line"))
+    own = F.when(T.is_heading("line"), T.strip("line"))
+    return rows.withColumn("own", own).select("doc_id", "pos", chunking.carried("own", ["doc_id"], ["pos"]).alias("header"))
+
+
+@R.add("locator", "SELECT doc_id, CASE WHEN doc_id % 4 > doc_id % 3 AND doc_id % 3 > 0 THEN 'Pages ' || doc_id % 3 || '-' || doc_id % 4 WHEN doc_id % 3 > 0 THEN 'Page ' || doc_id % 3 ELSE 'Chunk ' || doc_id END AS locator FROM documents")
+def locator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return documents(spark, sf_dir).select("doc_id", T.locator((d % 3).cast("int"), (d % 4).cast("int"), d).alias("locator"))
+
+
+_OLD = [(0, "/a", "m1"), (1, "/b", "m1")]
+_NEW = [(0, "/b", "m1"), (1, "/b", "m2"), (2, "/c", "m1")]
+
+
+@R.add("new_materials_minus_existing", f"WITH o AS (SELECT * FROM {values_sql(_OLD)} v(pos, path, model)), n AS (SELECT * FROM {values_sql(_NEW)} v(pos, path, model)) SELECT pos, path, model, 0 AS part FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = n.path AND o.model = n.model) UNION ALL SELECT *, 1 FROM o")
+def new_materials_minus_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "pos int, path string, model string"
+    return materials.with_new(spark.createDataFrame(_OLD, kind), spark.createDataFrame(_NEW, kind), ["path", "model"])
+
+
+@R.add("merge_indexed_pending", "SELECT * FROM (VALUES ('p3', '/c', 'indexing', true), ('1', '/a', 'paused', false), ('2', '/b', 'ready', false), ('4', '/d', 'paused', false)) v(id, path, status, pending_first)")
+def merge_indexed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "id string, path string, status string"
+    pending = spark.createDataFrame([("1", "/x", "paused"), ("p2", "/b", "paused"), ("p3", "/c", "indexing"), ("p4", "/d", "paused")], kind)
+    indexed = spark.createDataFrame([("1", "/a", "indexing"), ("2", "/b", "ready"), ("4", "/d", "indexing")], kind)
+    return materials.merge_indexed(pending, indexed)

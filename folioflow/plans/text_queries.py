@@ -177,15 +177,18 @@ def is_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.posexplode(T.lines("text")).alias("pos", "line")).select("doc_id", "pos", T.is_heading("line").alias("flag"))
 
 
-@R.add(
-    "paragraphize",
-    rf"""WITH {_LINES}, s AS (SELECT doc_id, pos, {strip_sql('line')} AS l FROM lines),
-    k AS (SELECT *, l = '' AS blank, regexp_matches(l, '^\s*(?:[-*•▪]|\d+[.)])\s+') OR coalesce({HEADING_SQL}, false) AS alone FROM s),
+def paragraphs_sql(table: str) -> str:
+    """Common table expressions from a table (doc_id, text) to ``paragraphed`` (doc_id, value)."""
+    return rf"""pl AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM {table})),
+    ps AS (SELECT doc_id, pos, {strip_sql('line')} AS l FROM pl),
+    k AS (SELECT *, l = '' AS blank, regexp_matches(l, '^\s*(?:[-*•▪]|\d+[.)])\s+') OR coalesce({HEADING_SQL}, false) AS alone FROM ps),
     b AS (SELECT *, CASE WHEN blank OR alone OR coalesce(lag(blank OR alone) OVER (PARTITION BY doc_id ORDER BY pos), true) THEN 1 ELSE 0 END AS cut FROM k),
     g AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM b),
-    p AS (SELECT doc_id, grp, string_agg(l, ' ' ORDER BY pos) AS para FROM g WHERE NOT blank GROUP BY ALL)
-    SELECT doc_id, md5(coalesce(string_agg(para, chr(10) || chr(10) ORDER BY grp) FILTER (WHERE para IS NOT NULL), '')) AS value FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id""",
-)
+    p AS (SELECT doc_id, grp, string_agg(l, ' ' ORDER BY pos) AS para FROM g WHERE NOT blank GROUP BY ALL),
+    paragraphed AS (SELECT doc_id, coalesce(string_agg(para, chr(10) || chr(10) ORDER BY grp) FILTER (WHERE para IS NOT NULL), '') AS value FROM {table} LEFT JOIN p USING (doc_id) GROUP BY doc_id)"""
+
+
+@R.add("paragraphize", f"WITH {paragraphs_sql('documents')} SELECT doc_id, md5(value) AS value FROM paragraphed")
 def paragraphize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(cleaning.paragraphs("text").cast("binary")).alias("value"))
 
@@ -230,7 +233,15 @@ def remove_repeated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(F.broadcast(keys), "document_id", "left").select(F.col("page").alias("doc_id"), F.length(kept).alias("n_chars"))
 
 
-@R.add("clean_page")
+@R.add(
+    "clean_page",
+    rf"""WITH {_REPEATED}, own AS (SELECT document_id, list(key) AS keys FROM counted JOIN sizes USING (document_id) WHERE len(key) BETWEEN 4 AND 140 AND pages >= 2 AND n >= greatest(2, round_even(pages * 0.6, 0)) GROUP BY ALL),
+    base AS (SELECT source, doc_id, {extracted_sql('text')} AS t FROM documents),
+    cut AS (SELECT doc_id, CASE WHEN keys IS NULL THEN t ELSE array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT list_contains(keys, lower({compact_sql('x')}))), chr(10)) END AS t FROM base LEFT JOIN own ON document_id = source),
+    whole AS (SELECT doc_id, regexp_replace(t, '([A-Za-z])-\n([A-Za-z])', '\1\2', 'g') AS text FROM cut), {paragraphs_sql('whole')},
+    clean AS (SELECT doc_id, {extracted_sql('value')} AS text FROM paragraphed)
+    SELECT source AS document_id, doc_id AS page, clean.text FROM clean JOIN documents USING (doc_id) WHERE clean.text <> ''""",
+)
 def clean_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_pages(source_pages(spark, sf_dir), "course")
 

@@ -15,7 +15,7 @@ from folioflow.sources import files
 from folioflow.streaming import index
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["normalize_text", "count_words", "tokenize", "pack_sentences", "chunk_index", "paragraphize", "repeated_edge_lines", "vector_topk_ref", "source_rows", "incremental_anti", "resolve_source", "completed_turns", "html_strip", "pull_progress", "strip_citations", "settings_clamp", "excerpt", "conversation_title", "md_normalize", "normalize_urls", "unique_name", "search_term_for_source", "parse_followups_py", "clean_quiz_question", "quiz_prompts", "source_context", "scrape_library", "list_remote_models", "pdf_text_search"]
+QUICK = ["normalize_text", "count_words", "tokenize", "pack_sentences", "chunk_index", "paragraphize", "repeated_edge_lines", "vector_topk_ref", "source_rows", "incremental_anti", "resolve_source", "completed_turns", "html_strip", "pull_progress", "strip_citations", "settings_clamp", "excerpt", "conversation_title", "md_normalize", "normalize_urls", "unique_name", "search_term_for_source", "parse_followups_py", "clean_quiz_question", "quiz_prompts", "source_context", "scrape_library", "list_remote_models", "pdf_text_search", "clean_page", "preview_projection", "header_carry", "merge_indexed_pending", "new_materials_minus_existing", "display_model_name", "safe_filename"]
 
 
 def rows(df):
