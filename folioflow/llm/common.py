@@ -41,6 +41,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A number for each row, unlike any column of the tables.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows, stored once with a number each, so that steps may join by it whatever their ids."""
+    return store(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def whole_text(text: str | Column = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -5,9 +5,12 @@ hashed once; a shingle's hash mixes its words' hashes; PERMUTATIONS multiply-add
 the shingles are taken in vectorised numpy, and each one's minimum gives 16 bits of the
 signature. The share of equal places estimates the Jaccard similarity of the shingle sets.
 
-Near-duplicates: signatures are cut into BANDS bands of ROWS places. Documents that share a
-band are linked to the band's first document and to its other distinct signatures by a join,
-and a link holds only if the exact Jaccard similarity of the shingle sets is JACCARD or more.
+Near-duplicates: equal shingle sets collapse, and signatures are cut into BANDS bands of ROWS
+places. Sets that share a band form a bucket, whose members are compared with its first one; a
+link holds only if the exact Jaccard similarity of the shingle sets of the whole texts is JACCARD
+or more. Members that fail are then compared with all others of their bucket which links do not
+reach yet and whose signatures are not far apart. So what a bucket's pairs connect is connected,
+and a bucket of k near copies costs k - 1 comparisons and not k * k.
 
 Defined cases: null and blank texts have no shingle; their signature is that of the empty set
 (all 0xffff), alike only to each other; equal texts have equal fingerprints; a document is
@@ -28,13 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bucket_of, components, order_buckets, rows_of, store, whole_text
+from folioflow.llm.common import ROW, bucket_of, components, numbered, order_buckets, rows_of, store, whole_text
 
 SHINGLE = 5
 PERMUTATIONS = 128
 #: 25 bands of 5: a pair at similarity 0.8 shares none with a chance below 0.0001.
 BANDS, ROWS = 25, 5
 JACCARD = 0.8
+#: A pair whose likeness is this much below the similarity sought is over four standard deviations off.
+MARGIN = 0.15
+#: Texts that one task compares with a bucket's first one.
+PART_ROWS = 2_000
 SEED = 20_240_501
 #: Shingles that are hashed at once: PERMUTATIONS x 8 bytes of each.
 AT_ONCE = 256
@@ -138,40 +145,94 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches):
-        own = [signature(shingle_hashes(t)).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc_id", "sig"])
+        sets = [np.unique(shingle_hashes(t)) for t in batch.column(1).to_pylist()]
+        kinds = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], ["row", "kind", "sig"])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig): the signature of every whole text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(_signed, "doc_id long, sig binary")
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of distinct hashes have a Jaccard similarity of least or more; empty sets are alike."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - common
+    return union == 0 or common >= least * union
 
 
-def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, member, b, text) in order: the text of a, then those to compare with it."""
+    own, held = None, None
+    for batch in rows_of(batches):
+        out = {"a": [], "b": [], "alike": []}
+        for a, member, b, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+            found = np.unique(shingle_hashes(text))
+            if not member:
+                own, held = a, found
+            elif a == own:
+                for c, x in zip(out.values(), (a, b, alike(held, found, least)), strict=True):
+                    c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["alike"], pa.bool_())], list(out))
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, alike) of pairs of rows (a, b), by their whole texts (row, text)."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    asked = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    asked = asked.select("a", "part", F.lit(True).alias("member"), "b")
+    first = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("a").alias("b"))
+    roles = store(asked.unionByName(first), "minhash-roles")  # texts are shuffled once for both
+    dealt = roles.join(texts.withColumnRenamed("row", "b"), "b").select("a", "part", "member", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member")
+    return dealt.mapInArrow(partial(_compared, least=least), "a long, b long, alike boolean")
+
+
+def _near(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) to compare, of rows (key, lost, row, root, sig) in order of key; a bucket's signatures are held."""
+
+    def meet(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        lost, row, root = (np.array([h[k] for h in held]) for k in range(3))
+        sigs = np.frombuffer(b"".join([h[3] for h in held]), dtype="<u2").reshape(-1, PERMUTATIONS)
+        for k in np.flatnonzero(lost):
+            other = np.flatnonzero((root != root[k]) & ~(lost & (row <= row[k])))
+            other = row[other[np.count_nonzero(sigs[other] == sigs[k], axis=1) >= least * PERMUTATIONS]]
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, row[k])), pa.array(np.maximum(other, row[k]))], ["a", "b"])
+
+    key, held = None, []
     for batch in rows_of(batches):
-        hits = []
-        for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            a, b = np.unique(shingle_hashes(x)), np.unique(shingle_hashes(y))
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            union = len(a) + len(b) - common
-            if union == 0 or common >= least * union:
-                hits.append(k)
-        yield batch.select([0, 1]).take(pa.array(hits, pa.int64()))
+        for now, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != key:
+                yield from meet(held) if held else ()
+                key, held = now, []
+            held.append(rest)
+    yield from meet(held) if held else ()
+
+
+def linked(texts: DataFrame, least: float = JACCARD) -> DataFrame:
+    """(row, root) of texts (row, text) with distinct row numbers: root is the smallest row that links reach."""
+    signed = store(texts.mapInArrow(_signed, "row long, kind binary, sig binary"), "minhash")
+    kinds = store(signed.groupBy("kind", "sig").agg(F.min("row").alias("row")), "minhash-kinds")
+    keys = [F.xxhash64(F.lit(k), F.substring("sig", k * 2 * ROWS + 1, 2 * ROWS)) for k in range(BANDS)]
+    bands = kinds.select("row", F.explode(F.array(*keys)).alias("key"))
+    firsts = bands.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = store(bands.join(firsts, "key").where("row != first"), "minhash-bands")
+    tested = store(_compare(members.select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), texts, least), "minhash-tested")
+    links = tested.where("alike").select("a", "b")
+    roots = components(links)
+    lost = tested.where("not alike").select(F.col("a").alias("first"), F.col("b").alias("row"), F.lit(True).alias("lost"))
+    if not lost.isEmpty():
+        met = members.join(lost, ["first", "row"], "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+        met = met.join(met.where("lost").select("key").distinct(), "key", "left_semi")
+        met = met.join(roots.withColumnRenamed("node", "row"), "row", "left").join(kinds.select("row", "sig"), "row")
+        met = met.select("key", "lost", "row", F.coalesce("root", "row").alias("root"), "sig").repartition("key").sortWithinPartitions("key")
+        pairs = store(met.mapInArrow(partial(_near, least=least - MARGIN), "a long, b long").distinct(), "minhash-pairs")
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")  # a bucket's first is its smallest row
+        links = store(links.unionByName(_compare(pairs, texts, least).where("alike").select("a", "b")), "minhash-links")
+        roots = components(links)
+    kinds = kinds.join(roots.withColumnRenamed("node", "row"), "row", "left").select("kind", F.coalesce("root", "row").alias("root"))
+    return signed.join(kinds, "kind").select("row", "root")
 
 
 def near_duplicates(docs: DataFrame, least: float = JACCARD) -> DataFrame:
-    """(doc_id, component_id): documents linked by band and verified similarity, smallest doc_id first.
-
-    Equal signatures collapse before bands are joined, so a group of copies joins as one.
-    """
-    rows = store(signatures(docs), "minhash")
-    kinds = rows.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
-    bands = kinds.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring("sig", k * 2 * ROWS + 1, 2 * ROWS)))).alias("band", "key"))
-    pairs = bands.alias("x").join(bands.alias("y"), ["band", "key"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
-    sought = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    links = sought.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verified, least=least), "a long, b long")
-    roots = components(links).withColumnsRenamed({"node": "id", "root": "component_id"})
-    kinds = kinds.join(roots, "id", "left").select("sig", F.coalesce("component_id", "id").alias("component_id"))
-    return rows.join(kinds, "sig").select("doc_id", "component_id")
+    """(doc_id, component_id) of every row: the smallest doc_id that verified links reach, null where none has one."""
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), "minhash-rows")
+    found = rows.select(ROW, "doc_id").join(linked(rows.select(F.col(ROW).alias("row"), "text"), least).withColumnRenamed("row", ROW), ROW)
+    ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(ids, "root").select("doc_id", "component_id")

@@ -251,6 +251,54 @@ def test_minhash_estimates_and_classes(spark):
     assert classes == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 4}
 
 
+def plain_groups(texts, least=0.8):
+    """The smallest row that links of the exact similarity reach, for each text."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        span = min(5, len(words))
+        sets.append({tuple(words[k : k + span]) for k in range(len(words) - span + 1)} if words else set())
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                union = len(sets[a] | sets[b])
+                if union == 0 or len(sets[a] & sets[b]) >= least * union:
+                    root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_near_copies_are_linked_by_similarity_alone(spark):
+    draw = np.random.default_rng(5)
+
+    def words(n):
+        return [f"w{x}" for x in draw.integers(0, 50_000, n)]
+
+    def changed(own, n):
+        own = list(own)
+        for k in np.linspace(5, len(own) - 6, n).astype(int):
+            own[k] = f"new{draw.integers(1 << 40)}"
+        return own
+
+    texts = []
+    for n, swaps in [(100, 2), (100, 3), (300, 5), (300, 2), (1000, 5), (1000, 20), (1000, 30)] * 3:
+        own = words(n)
+        texts += [own, changed(own, swaps)]
+    base = words(400)  # a chain: each is near the one before, the ends are not near each other
+    for k in range(6):
+        base = base[:60 * k] + words(25) + base[60 * k + 25 :]
+        texts.append(base)
+    texts = [" ".join(t) for t in texts]
+    line = "this one line is repeated over and over again in both texts\n"
+    texts += [line * 60 + " ".join(words(120)) for _ in range(3)]  # clean texts that share one line
+    order = draw.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    root = plain_groups(texts)
+    assert len(set(root)) < len(texts) - 15
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, texts)).collect()} == dict(enumerate(root))
+    assert {r["doc_id"] for r in simhash.keep_first(table(spark, texts)).collect()} == set(root)
+
+
 # -- toxicity -----------------------------------------------------------------------------------------------
 
 
