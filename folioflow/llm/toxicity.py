@@ -114,15 +114,17 @@ def _table(texts: list[str]):
     return (*(np.array(x, dtype=np.int64) for x in (word_of, sentence_of, document_of, bucket_of, owner_of)), len(ids))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, l2: float = L2) -> Model:
-    """Gradient descent (Adam) on the documents' cross-entropy through noisy-or."""
+def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, l2: float = L2, weights: list[float] | None = None) -> Model:
+    """Gradient descent (Adam) on the documents' cross-entropy through noisy-or; a document counts by its weight."""
     y = np.array(labels, dtype=float)
+    share = np.ones(len(y)) if weights is None else np.array(weights, dtype=float)
+    share = share / max(share.sum(), 1e-12)
     size = 1 << BUCKET_BITS
     if len(set(labels)) < 2:
         return Model(-50.0, np.zeros(size))
     word, sentence, document, bucket, owner, n_words = _table(texts)
     n = len(document)
-    theta, bias = np.zeros(size), math.log(max(y.mean(), 1e-6)) - math.log(max(1.0, n / len(texts)))
+    theta, bias = np.zeros(size), math.log(max(float(share @ y), 1e-6)) - math.log(max(1.0, n / len(texts)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
         of_word = np.bincount(owner, theta[bucket], n_words)
@@ -130,7 +132,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float =
         p = 1 / (1 + np.exp(-z))
         log_clean = np.bincount(document, -np.log1p(np.exp(z)), len(y))
         doc = np.clip(-np.expm1(log_clean), 1e-9, 1 - 1e-9)
-        slope = np.where(y > 0, -(1 - doc) / doc, 1.0)[document] * p / len(y)
+        slope = (np.where(y > 0, -(1 - doc) / doc, 1.0) * share)[document] * p
         g_word = np.bincount(word, slope[sentence], n_words)
         g = np.bincount(bucket, g_word[owner], size) + l2 * theta
         gb = float(slope.sum())
@@ -148,14 +150,20 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents outside the held-out part, picked by hash."""
+    """Fit on at most ``sample`` labelled documents outside the held-out part, picked by hash.
+
+    Each class has half of the sample; its documents weigh as much as all of its labels, so the
+    classes have their true shares, and a threshold one meaning, whatever the size of the table.
+    """
     marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     picked = [marks.where(F.col("toxic") == k).orderBy(order).limit(sample // 2) for k in (0, 1)]
     picked = picked[0].unionByName(picked[1])
+    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    weigh = {k: n / min(n, sample // 2) for k, n in counts.items()}
     rows = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], weights=[weigh[r["toxic"]] for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -317,6 +317,16 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.Model(-1.0, np.zeros(1 << toxicity.BUCKET_BITS)).score("") == 0.0
 
 
+def test_toxicity_scores_do_not_depend_on_how_much_is_sampled(spark):
+    docs = table(spark, [prose(3, 12)] * 400)  # texts that tell nothing: the score is the share of toxic labels
+    marks = [(k, int(k % 10 == 0)) for k in range(400)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    trained = [toxic for k, toxic in marks if zlib.crc32(str(k).encode()) % 4 != 2]
+    for sample in (8_000, 100, 40):
+        score = toxicity.train(docs, labels, sample).score(prose(3, 12))
+        assert abs(score - sum(trained) / len(trained)) < 0.03
+
+
 # -- neighbours ------------------------------------------------------------------------------------------------
 
 
