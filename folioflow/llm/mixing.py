@@ -26,7 +26,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, store
+from folioflow.llm.common import ROW, WORD, numbered, store
 
 SEED = 7
 SHARE = Fraction(3, 2)
@@ -108,13 +108,14 @@ def words(text: str = "text") -> Column:
 
 
 def sized(docs: DataFrame, members: Column | None = None) -> DataFrame:
-    """(doc_id, size, members, place): place is a seeded hash that orders the documents of a pattern."""
+    """(doc_id, size, members, place), and the row's number where it has one: place is a seeded hash that orders the documents of a pattern."""
     members = F.array(F.col("source").cast("string")) if members is None else F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
-    return docs.select("doc_id", words().alias("size"), members.alias("members")).withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "size"))
+    row = [ROW] if ROW in docs.columns else []
+    return docs.select("doc_id", *row, words().alias("size"), members.alias("members")).withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "size"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, share: Fraction = SHARE, members: Column | None = None, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, members, size, source_size, target, taken) of every document.
+    """(doc_id, members, size, source_size, target, taken) of every document, and the row's number where it has one.
 
     ``taken`` is a whole number of passes over the document, in words. source_size and target
     are those of the document's first source. Weights default to CYCLE over the sources in
@@ -150,16 +151,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, share:
         taken = rows.where("added > 0").groupBy("members").agg(F.sum("added").alias("n")).collect()
         parts = {p: gap - n for r in taken if (gap := parts.get(p := tuple(r["members"]))) is not None and gap > (n := r["n"])}
         rows = rows.drop("added")
-    return rows.select("doc_id", "members", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more").cast("long"))).alias("taken"))
+    row = [ROW] if ROW in rows.columns else []
+    return rows.select("doc_id", *row, "members", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more").cast("long"))).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """Documents as often as the mix takes them, with their columns; doc_ids must be distinct.
+    """Documents as often as the mix takes them, with their columns.
 
-    Documents without words have nothing to repeat and stay as they are.
+    Each row is a document of its own, whatever its doc_id: rows meet by number. Documents without words have nothing to repeat and stay as they are.
     """
-    passes = mix(docs, **options).select("doc_id", F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("passes")).where("passes > 0")
-    return docs.join(passes, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    rows = numbered(docs, "mixing-rows")
+    passes = mix(rows, **options).select(ROW, F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("passes")).where("passes > 0")
+    return rows.join(passes, ROW).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
 
 
 def _fill(rows: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -171,7 +174,8 @@ def _fill(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     # the first range that does not fit whole; a pattern that fits whole has none
     cut = sums.withColumn("upto", run).where("upto > gap").groupBy("members").agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
     rows = rows.join(F.broadcast(cut), "members", "left")  # a row for each pattern
-    inside = F.sum("size").over(Window.partitionBy("members", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    order = ["place", "doc_id", "size", *([ROW] if ROW in rows.columns else [])]
+    inside = F.sum("size").over(Window.partitionBy("members", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.where("open and range = cut.range").withColumn("fits", F.col("cut.before") + inside <= F.col("gap"))
     rest = rows.where("not open or cut is null or range != cut.range").withColumn("fits", F.expr("open and (cut is null or range < cut.range)"))
     return rest.unionByName(edge).withColumn("added", F.when(F.col("fits"), F.col("size")).otherwise(0)).withColumn("more", F.col("more") | F.col("fits")).drop("gap", "range", "open", "cut", "fits")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import rows_of, store, whole_text
+from folioflow.llm.common import ROW, numbered, rows_of, store, whole_text
 
 WINDOW = 100
 GRAM = 32
@@ -318,11 +318,15 @@ def cut(text: str, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([data[e:s] for e, s in zip(ends, starts, strict=True)])
 
 
+def _distinct_integers(rows: DataFrame) -> bool:
+    integers = rows.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    return integers and rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, doc_id, text): a key for each document in ascending order of doc_id; the doc_id itself where that can be one."""
     rows = docs.select("doc_id", whole_text().alias("text"))
-    integers = rows.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if integers and rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+    if _distinct_integers(rows):
         return rows.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")
     ids = rows.select("doc_id", F.xxhash64("text").alias("th")).distinct().orderBy(F.col("doc_id").asc_nulls_first(), "th")
     kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, key long"
@@ -374,13 +378,21 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Documents of integer, distinct doc_ids without what repeats: all columns, n_chars counted anew.
+    """Documents without what repeats: all columns, n_chars counted anew.
 
-    Where a cut parts a character, what is left of the character goes too. Documents of which a
+    The document of the smallest doc_id keeps what repeats. Null doc_ids come first; rows of one
+    doc_id are documents of their own, in the order in which they are read. Where a cut parts a character, what is left of the character goes too. Documents of which a
     cut leaves only white space go.
     """
-    lists = spans(docs.select(F.col("doc_id").cast("long").alias("key"), whole_text().alias("text"))).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = docs.withColumn("key", F.col("doc_id").cast("long")).join(lists, "key", "left").select(*docs.columns, "spans")
+    if _distinct_integers(docs):
+        rows = docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    else:
+        rows = numbered(docs, "suffix-rows")
+        ids = rows.select("doc_id", ROW).orderBy(F.col("doc_id").asc_nulls_first(), ROW).select(ROW)
+        keys = docs.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), f"{ROW} long, key long")
+        rows = rows.join(store(keys, "suffix-keys").withColumnRenamed("key", "__key"), ROW).drop(ROW).withColumnRenamed("__key", ROW)
+    lists = spans(rows.select(F.col(ROW).alias("key"), whole_text().alias("text"))).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = rows.join(lists.withColumnRenamed("key", ROW), ROW, "left").select(*docs.columns, "spans")
     at, n_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

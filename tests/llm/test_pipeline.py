@@ -1,6 +1,13 @@
 """The pipeline on a small table, stage by stage."""
 
+from collections import Counter
+from fractions import Fraction
+
 import corpus_pipeline
+import numpy as np
+import pytest
+
+from folioflow.llm import mixing, packing, simhash, suffix_dedup, tokens, toxicity
 from folioflow.llm.common import store
 
 
@@ -19,3 +26,61 @@ def test_stages_keep_columns_and_pack_what_is_left(spark):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").distinct().collect()}
     again = corpus_pipeline.run(spark, sf_dir)
     assert again.count() == out.count()
+
+
+def odd_rows():
+    """(doc_id, text, source): null and repeated doc_ids, some with a text of their own and some with a copy."""
+    texts = [" ".join(f"w{x}" for x in np.random.default_rng(k).integers(0, 50_000, 80)) for k in range(7)]
+    return [(None, texts[0], "a"), (None, texts[1], "a"), (3, texts[1], "a"), (5, texts[2], "b"), (5, texts[3], "b"), (5, texts[3], "a"), (None, texts[4], "a"), (None, texts[4], "b"), (1, texts[5], "b"), (2, texts[5], "b"), (9, texts[6], None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), "doc_id long, text string, source string").coalesce(1)
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_near_copies_of_odd_ids(spark, odd):
+    groups = {}
+    for k, (d, t, s) in enumerate(odd_rows()):
+        groups.setdefault(t, []).append((d is None, d or 0, k, (d, t, s)))
+    assert rows_of(simhash.keep_first(odd)) == Counter(min(g)[-1] for g in groups.values())
+
+
+def test_repeats_of_odd_ids(spark, odd):
+    shared = "a passage that two documents of one number share and that is longer than any hundred bytes, so that it goes from the later one. "
+    rows = [(d, f"{t} {shared}{k}", s) for k, (d, t, s) in enumerate(odd_rows()[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = rows_of(suffix_dedup.clean(docs))
+    kept, seen, plain = set(), set(), Counter()
+    for d, t, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        data = t.encode()
+        windows = [data[k : k + 100] for k in range(len(data) - 99)]
+        gone = set()
+        for k, w in enumerate(windows):
+            if w in seen:
+                gone.update(range(k, k + 100))
+            seen.add(w)
+        rest = bytes(b for k, b in enumerate(data) if k not in gone).decode()
+        if rest.strip():
+            plain[(d, rest, s)] += 1
+            kept.add(t)
+    assert got == plain and len(kept) == 5
+
+
+@pytest.mark.parametrize("share", [1, 2])
+def test_mix_of_odd_ids(spark, odd, share):
+    once = odd.withColumn("source", odd["source"].substr(1, 0))  # one source and the null one: whole passes
+    weights = {"": sum(len(t.split()) for _, t, s in odd_rows() if s is not None), None: sum(len(t.split()) for _, t, s in odd_rows() if s is None)}
+    got = rows_of(mixing.mixed(once, share=Fraction(share), weights=weights).select("doc_id", "text"))
+    assert got == Counter({k: n * share for k, n in Counter((d, t) for d, t, _ in odd_rows()).items()})
+
+
+def test_toxicity_and_packing_of_odd_ids(spark, odd):
+    assert rows_of(toxicity.keep_clean(odd, toxicity.Model(-50.0, np.zeros(1 << toxicity.BUCKET_BITS)))) == Counter(odd_rows())
+    pieces = packing.pack(odd, tokens.default_path()).groupBy("doc_id").agg({"length": "sum"}).collect()
+    alone = {d: packing.pack(odd.where(odd["doc_id"].eqNullSafe(d)), tokens.default_path()).agg({"length": "sum"}).first()[0] for d in {d for d, _, _ in odd_rows()}}
+    assert {r[0]: r[1] for r in pieces} == alone
