@@ -1,5 +1,10 @@
 """The document engine: queries against DuckDB, fixtures of branches the tables never reach, catalog, stream."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +40,18 @@ def test_entry_and_names(spark):
     assert set(core.oracle_sql()) <= set(core.queries()) <= set(entry_module.queries())
 
 
+@pytest.mark.parametrize("pipeline_too", [False, True])
+def test_library_lives_without_the_training_data_operators(tmp_path, pipeline_too):
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    shutil.copytree(os.path.join(root, "folioflow"), tmp_path / "folioflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "folioflow" / "llm" / "__pycache__").mkdir(parents=True)  # what is left where files were deleted
+    for name in ("__spark_entry__.py",) if pipeline_too else ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(os.path.join(root, name), tmp_path)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(s) <= set(q) and not any(n.startswith('op1_') or n == 'pipeline' for n in q)"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+
+
 def one(spark, column, text):
     return spark.createDataFrame([(text,)], "t string").select(column("t")).first()[0]
 
