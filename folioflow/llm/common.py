@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,21 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only by a local master whose session names no checkpoint folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/folioflow"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` where it is set."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` where it is set.
+
+    Without it a local session, whose driver is the only executor, uses a local folder; on a cluster that
+    would lose files, so there it is an error.
+    """
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     if spark._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
     return spark._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -34,11 +41,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again; its lineage ends there."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it again; its lineage ends there, and the shuffles that made it go."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what :func:`store` wrote for tables that nothing reads any more: all that used them is stored itself."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: A number for each row, unlike any column of the tables.
@@ -62,29 +86,31 @@ def rows_of(batches: Iterator[pa.RecordBatch], at_most: int = 256) -> Iterator[p
             yield batch.slice(k, at_most)
 
 
-def order_buckets(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most ``n - 1`` ascending bounds that deal the rows of an integer key evenly into ranges.
-
-    Only the key column is read. The sketch is bounded; bounds decide balance, never results.
-    """
-    found = df.select(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000).alias("q")).first() if n > 1 else None
-    return sorted(set(found["q"] or [])) if found else []
+#: Ranges that a table is dealt into, at most: what their bounds take is bounded.
+MAX_RANGES = 1 << 16
+FIRST = -(1 << 63)
 
 
-def bucket_of(key: str | Column, bounds: list[int]) -> Column:
-    """The number of bounds that are below or at the key; null keys come first.
+class Ranges:
+    """Deals rows of an integer key, and a hash of 64 bits that breaks ties, into ranges of about as many rows.
 
-    A balanced tree of comparisons, so that it costs log2(len(bounds)) for a row.
+    Bounds are quantiles of the key (null: the least); a key that takes several of them, as where
+    one key holds a third of all rows, is cut by the hash. They decide balance, never results, and are
+    numbers in an Arrow step, not literals of a plan.
     """
-    key = F.col(key) if isinstance(key, str) else key
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
+    def __init__(self, df: DataFrame, key: str, ranges: int):
+        ranges = max(1, min(ranges, MAX_RANGES))
+        values = df.select(F.coalesce(F.col(key).cast("double"), F.lit(float(FIRST))).alias("k"))
+        found = values.approxQuantile("k", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+        self.bounds = np.sort(np.clip(np.array(found, dtype=np.float64), -(2.0**63), 2.0**63 - 1024)).astype(np.int64)
+        self.n = len(self.bounds) + 1
+        self.split = bool(len(self.bounds) > 1 and (np.diff(self.bounds) == 0).any())
 
-    return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(bounds))).cast("int")
+    def of(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self.bounds, keys, side=s) for s in ("left", "right"))
+        share = ((ties >> 32).astype(np.int64) + (1 << 31)) / 2.0**32
+        return np.where(high > low, low + 1 + np.minimum((share * (high - low)).astype(np.int64), np.maximum(high - low - 1, 0)), low).astype(np.int32)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -106,11 +132,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now["n"] == 0 or (now["n"], now["h"]) == state:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()) if now["n"] else spark.createDataFrame([], e.select(F.col("a").alias("node"), F.col("b").alias("root")).schema)
+            stars = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return stars.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = (now["n"], now["h"])
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = store(small, "links")
+        following = store(small, "links")
+        release(e)
+        e = following

@@ -5,17 +5,18 @@ hashed once; a shingle's hash mixes its words' hashes; PERMUTATIONS multiply-add
 the shingles are taken in vectorised numpy, and each one's minimum gives 16 bits of the
 signature. The share of equal places estimates the Jaccard similarity of the shingle sets.
 
-Near-duplicates: equal shingle sets collapse, and signatures are cut into BANDS bands of ROWS
-places. Sets that share a band form a bucket, whose members are compared with its first one; a
-link holds only if the exact Jaccard similarity of the shingle sets of the whole texts is JACCARD
-or more. Members that fail are then compared with all others of their bucket which links do not
-reach yet and whose signatures are not far apart. So what a bucket's pairs connect is connected,
-and a bucket of k near copies costs k - 1 comparisons and not k * k.
+Near-duplicates: equal shingle sets collapse to one node, and signatures are cut into BANDS bands of ROWS
+places, which Spark joins. Nodes that share a band form a bucket. Its members meet its first one: those whose
+signatures are not far apart are compared on whole texts, and a link holds only if the exact Jaccard
+similarity of the shingle sets is JACCARD or more. Members that are not linked so are then compared with all
+others of their bucket which links do not reach yet, again where signatures are not far apart. So what a
+bucket's pairs connect is connected, and a bucket of k near copies costs k - 1 comparisons and not k * k.
+Large buckets are dealt to several tasks, each with all of the bucket's unlinked members.
 
 Defined cases: null and blank texts have no shingle; their signature is that of the empty set
 (all 0xffff), alike only to each other; equal texts have equal fingerprints; a document is
-followed by the next row in order of (doc_id, text), the last by the first, a single one by
-itself; null doc_ids come first; an empty table gives an empty table; further columns are
+followed by the next row in order of (doc_id, a hash of the text), the last by the first, a single one by
+itself; null doc_ids come first and are smallest to no class; an empty table gives an empty table; further columns are
 ignored.
 """
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import ROW, bucket_of, components, numbered, order_buckets, rows_of, store, whole_text
+from folioflow.llm.common import FIRST, Ranges, components, release, rows_of, store, whole_text
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -40,8 +41,11 @@ BANDS, ROWS = 25, 5
 JACCARD = 0.8
 #: A pair whose likeness is this much below the similarity sought is over four standard deviations off.
 MARGIN = 0.15
-#: Texts that one task compares with a bucket's first one.
+#: Texts that are compared with one in a task, and members of a bucket whose signatures a task holds, about.
 PART_ROWS = 2_000
+HELD_ROWS = 50_000
+#: Rows (two or three integers each) up to which a table is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 500_000
 SEED = 20_240_501
 #: Shingles that are hashed at once: PERMUTATIONS x 8 bytes of each.
 AT_ONCE = 256
@@ -93,17 +97,38 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_NEXT = "doc_id long, kind binary, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def kind_of(hashes: np.ndarray) -> bytes:
+    """128 bits that stand for a set of distinct sorted hashes."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], ranges: Ranges, firsts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tie, text) to their range; the first of a range also goes to the one before, marked as later."""
+    buckets = firsts["bucket"]
+    for batch in rows_of(batches):
+        keys, ties = batch.column(0).fill_null(FIRST).to_numpy(), batch.column(1).to_numpy()
+        own = ranges.of(keys, ties)
+        at = np.searchsorted(buckets, own)
+        leads = np.flatnonzero((firsts["key"][at] == keys) & (firsts["tie"][at] == ties))
+        rows = pa.array(np.concatenate((np.arange(len(own)), leads)))
+        bucket = np.concatenate((own, buckets[at[leads] - 1]))  # before the first of all: the last
+        later = np.arange(len(bucket)) >= len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(later), *(batch.column(k).take(rows) for k in range(3))], ["bucket", "later", "doc_id", "tie", "text"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, later, doc_id, text) in order; those that come later only follow others."""
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = [c.split()[0] for c in _NEXT.split(", ")]
 
     def row(now: tuple, following: tuple) -> tuple:
-        (doc_id, text, own), (_, next_text, next_own) = now, following
+        (doc_id, text, kind, own), (_, next_text, _, next_own) = now, following
         changed = edited(text, next_text)
         after = own if changed == text else signature(shingle_hashes(changed))
-        return (doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.tobytes().hex(), after.tobytes().hex(), likeness(own, after), likeness(own, next_own))
+        return (doc_id, kind, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.tobytes().hex(), after.tobytes().hex(), likeness(own, after), likeness(own, next_own))
 
     held, bucket, out = None, None, []
     for batch in rows_of(batches):
@@ -112,42 +137,47 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bucket, held = b, None
             if later and held is None:
                 continue  # the row after the bucket's last has been met
-            now = (doc_id, text, signature(shingle_hashes(text)))
+            found = np.unique(shingle_hashes(text))
+            now = (doc_id, text, kind_of(found), signature(found))
             if held is not None:
                 out.append(row(held, now))
             held = None if later else now
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
             out = []
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint, its edited text's, and both likenesses: the columns of op6.
+    """Each document's fingerprint, its edited text's, both likenesses, and the kind of its shingle set.
 
     Texts are shuffled once, into ranges of doc_id. The first row of a range also goes to the
-    range before, behind its last row; which rows those are takes a number for each range.
+    range before, behind its last row; which rows those are takes numbers for each range, at most MAX_RANGES.
     """
-    n = max(1, round(docs.count() / RANGE_ROWS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.withColumn("bucket", bucket_of("doc_id", order_buckets(rows, "doc_id", n)))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    firsts = [(r["bucket"], r["first"]) for r in rows.groupBy("bucket").agg(F.min(key).alias("first")).orderBy("bucket").collect()]
-    if not firsts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}  # the first of all follows the last
-    copied = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    own = F.struct("bucket", F.lit(False).alias("later"))
-    copy = F.struct(F.try_element_at(copied, key).alias("bucket"), F.lit(True).alias("later"))
-    dealt = rows.select(F.explode(F.array(own, copy)).alias("to"), "doc_id", "text").where("to.bucket is not null").select("to.*", "doc_id", "text")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "later", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(_neighbours, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    ranges = Ranges(rows, "doc_id", round(docs.count() / RANGE_ROWS))
+    tie = F.xxhash64("text") if ranges.split else F.lit(0).cast("long")  # where no key spans ranges, keys alone tell firsts
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ties = batch.column(0).fill_null(FIRST).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(keys, ties)), pa.array(keys), pa.array(ties)], ["bucket", "key", "tie"])
+
+    rows = rows.withColumn("tie", tie)
+    found = rows.select("doc_id", "tie").mapInArrow(least, "bucket int, key long, tie long").groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("f")).select("bucket", "f.*").collect()
+    if not found:
+        return docs.sparkSession.createDataFrame([], _NEXT)
+    firsts = np.array(sorted(map(tuple, found)), dtype=[("bucket", np.int32), ("key", np.int64), ("tie", np.int64)])
+    dealt = rows.select("doc_id", "tie", "text").mapInArrow(partial(_dealt, ranges=ranges, firsts=firsts), "bucket int, later boolean, doc_id long, tie long, text string")
+    order = F.col("tie") if ranges.split else F.xxhash64("text")
+    dealt = dealt.repartitionById(ranges.n, "bucket").sortWithinPartitions("bucket", "later", F.col("doc_id").asc_nulls_first(), order)
+    return dealt.select("bucket", "later", "doc_id", "text").mapInArrow(_neighbours, _NEXT)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, key, further columns) to (key, further columns, kind, sig)."""
     for batch in rows_of(batches):
-        sets = [np.unique(shingle_hashes(t)) for t in batch.column(1).to_pylist()]
-        kinds = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], ["row", "kind", "sig"])
+        sets = [np.unique(shingle_hashes(t)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([kind_of(x) for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], [*batch.schema.names[1:], "kind", "sig"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -158,12 +188,14 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (a, part, member, b, text) in order: the text of a, then those to compare with it."""
+    """Rows (a, part, member, b, kind, text) in order: the text of a, then those to compare with it."""
     own, held = None, None
     for batch in rows_of(batches):
         out = {"a": [], "b": [], "alike": []}
-        for a, member, b, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+        for a, member, b, kind, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
             found = np.unique(shingle_hashes(text))
+            if kind_of(found) != kind:
+                continue  # another text of the same key
             if not member:
                 own, held = a, found
             elif a == own:
@@ -172,67 +204,127 @@ def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["alike"], pa.bool_())], list(out))
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, alike) of pairs of rows (a, b), by their whole texts (row, text)."""
+def _bounded(table: DataFrame) -> DataFrame:
+    """A stored table of integers, to be broadcast if its rows are few enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _compare(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, alike) of stored pairs of nodes, by the whole texts (key, text) that stand for them, which are shuffled once."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     asked = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
     asked = asked.select("a", "part", F.lit(True).alias("member"), "b")
     first = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("a").alias("b"))
-    roles = store(asked.unionByName(first), "minhash-roles")  # texts are shuffled once for both
-    dealt = roles.join(texts.withColumnRenamed("row", "b"), "b").select("a", "part", "member", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member")
-    return dealt.mapInArrow(partial(_compared, least=least), "a long, b long, alike boolean")
+    roles = store(asked.unionByName(first).join(nodes.select(F.col("node").alias("b"), "key", "kind"), "b"), "minhash-roles")
+    met = texts.select("key", "text").join(_bounded(roles), "key").select("a", "part", "member", "b", "kind", "text")
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part", "member")
+    tested = store(met.mapInArrow(partial(_compared, least=least), "a long, b long, alike boolean").groupBy("a", "b").agg(F.max("alike").alias("alike")), "minhash-tested")
+    release(roles)
+    return tested
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b, close): whether the signatures of pairs (a, b) are at least as alike as ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, PERMUTATIONS) for k in (2, 3))
+            close = np.count_nonzero(x == y, axis=1) >= least * PERMUTATIONS
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(close)], ["a", "b", "close"])
+
+    met = pairs.join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, close boolean")
 
 
 def _near(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) to compare, of rows (key, lost, row, root, sig) in order of key; a bucket's signatures are held."""
-
-    def meet(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        lost, row, root = (np.array([h[k] for h in held]) for k in range(3))
-        sigs = np.frombuffer(b"".join([h[3] for h in held]), dtype="<u2").reshape(-1, PERMUTATIONS)
-        for k in np.flatnonzero(lost):
-            other = np.flatnonzero((root != root[k]) & ~(lost & (row <= row[k])))
-            other = row[other[np.count_nonzero(sigs[other] == sigs[k], axis=1) >= least * PERMUTATIONS]]
+    """Rows (bucket, part, asks, node, root, sig) in order, askers first: pairs (a, b) of different roots to compare."""
+
+    def meet(asked: list[tuple], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not asked or not held:
+            return
+        node, root = (np.array([h[k] for h in held]) for k in range(2))
+        sigs = np.frombuffer(b"".join([h[2] for h in held]), dtype="<u2").reshape(-1, PERMUTATIONS)
+        for own, its, sig in asked:
+            other = np.flatnonzero(root != its)
+            other = node[other[np.count_nonzero(sigs[other] == np.frombuffer(sig, dtype="<u2"), axis=1) >= least * PERMUTATIONS]]
             if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, row[k])), pa.array(np.maximum(other, row[k]))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, own)), pa.array(np.maximum(other, own))], ["a", "b"])
 
-    key, held = None, []
-    for batch in rows_of(batches):
-        for now, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now != key:
-                yield from meet(held) if held else ()
-                key, held = now, []
-            held.append(rest)
-    yield from meet(held) if held else ()
-
-
-def linked(texts: DataFrame, least: float = JACCARD) -> DataFrame:
-    """(row, root) of texts (row, text) with distinct row numbers: root is the smallest row that links reach."""
-    signed = store(texts.mapInArrow(_signed, "row long, kind binary, sig binary"), "minhash")
-    kinds = store(signed.groupBy("kind", "sig").agg(F.min("row").alias("row")), "minhash-kinds")
+    place, asked, held = None, [], []
+    for batch in rows_of(batches, 4_096):
+        for bucket, part, asks, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, part) != place:
+                yield from meet(asked, held)
+                place, asked, held = (bucket, part), [], []
+            (asked if asks else held).append(rest)
+            if len(held) >= 2 * HELD_ROWS:
+                yield from meet(asked, held)
+                held = []
+    yield from meet(asked, held)
+
+
+def signed(texts: DataFrame) -> DataFrame:
+    """Stored (key, further columns, kind, sig) of rows (key, text, further columns); kind stands for the shingle set."""
+    rest = [c for c in texts.columns if c not in ("key", "text")]
+    rows = texts.select("text", "key", *rest)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return store(rows.mapInArrow(_signed, f"{kinds}, kind binary, sig binary"), "minhash")
+
+
+def linked(prints: DataFrame, texts: DataFrame, least: float = JACCARD) -> DataFrame:
+    """(kind, root) of every kind of a table made by :func:`signed`: kinds have one root if verified links connect them.
+
+    ``texts`` has (key, text); a key should stand for one text, and others that share it do no harm.
+    """
+    nodes = store(prints.groupBy("kind", "sig").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     keys = [F.xxhash64(F.lit(k), F.substring("sig", k * 2 * ROWS + 1, 2 * ROWS)) for k in range(BANDS)]
-    bands = kinds.select("row", F.explode(F.array(*keys)).alias("key"))
-    firsts = bands.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = store(bands.join(firsts, "key").where("row != first"), "minhash-bands")
-    tested = store(_compare(members.select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), texts, least), "minhash-tested")
+    bands = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    firsts = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    members = store(bands.join(firsts, "bucket").where("node != first"), "minhash-bands")
+    stars = _likely(members.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), nodes, least - MARGIN)
+    stars = store(stars, "minhash-stars")
+    tested = _compare(stars.where("close").select("a", "b"), nodes, texts, least)
     links = tested.where("alike").select("a", "b")
     roots = components(links)
-    lost = tested.where("not alike").select(F.col("a").alias("first"), F.col("b").alias("row"), F.lit(True).alias("lost"))
+    lost = stars.join(tested, ["a", "b"], "left").where("alike is null or not alike").select(F.col("a").alias("first"), F.col("b").alias("node"))
     if not lost.isEmpty():
-        met = members.join(lost, ["first", "row"], "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
-        met = met.join(met.where("lost").select("key").distinct(), "key", "left_semi")
-        met = met.join(roots.withColumnRenamed("node", "row"), "row", "left").join(kinds.select("row", "sig"), "row")
-        met = met.select("key", "lost", "row", F.coalesce("root", "row").alias("root"), "sig").repartition("key").sortWithinPartitions("key")
-        pairs = store(met.mapInArrow(partial(_near, least=least - MARGIN), "a long, b long").distinct(), "minhash-pairs")
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")  # a bucket's first is its smallest row
-        links = store(links.unionByName(_compare(pairs, texts, least).where("alike").select("a", "b")), "minhash-links")
-        roots = components(links)
-    kinds = kinds.join(roots.withColumnRenamed("node", "row"), "row", "left").select("kind", F.coalesce("root", "row").alias("root"))
-    return signed.join(kinds, "kind").select("row", "root")
+        # buckets that have a member which is not linked to their first: it asks all others
+        asks = members.join(lost, ["first", "node"]).select("bucket", "node")
+        sizes = members.join(asks.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.ceil(F.count("*") / HELD_ROWS).cast("int").alias("parts"))
+        all_ = members.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "node")
+        asks = asks.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node")
+        met = all_.unionByName(asks).join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").join(nodes.select("node", "sig"), "node")
+        met = met.select("bucket", "part", "asks", "node", F.coalesce("root", "node").alias("root"), "sig").repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.desc("asks"))
+        pairs = store(met.mapInArrow(partial(_near, least=least - MARGIN), "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
+        if not pairs.isEmpty():
+            links = store(links.unionByName(_compare(pairs, nodes, texts, least).where("alike").select("a", "b")), "minhash-links")
+            roots = components(links)
+        release(pairs)
+    out = store(nodes.join(roots, "node", "left").select("kind", F.coalesce("root", "node").alias("root")), "minhash-roots")
+    release(nodes, members, stars, tested)
+    return out
+
+
+def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Stored (key, doc_id, kind, sig) of every row, and stored (kind, component_id) of every kind."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    prints = signed(rows)
+    roots = linked(prints, rows, least)
+    kinds = prints.groupBy("kind").agg(F.min("doc_id").alias("first")).join(roots, "kind")
+    ids = store(kinds.join(kinds.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("kind", "first", "component_id"), "minhash-classes")
+    release(roots)
+    return prints, ids
 
 
 def near_duplicates(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest doc_id that verified links reach, null where none has one."""
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), "minhash-rows")
-    found = rows.select(ROW, "doc_id").join(linked(rows.select(F.col(ROW).alias("row"), "text"), least).withColumnRenamed("row", ROW), ROW)
-    ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(ids, "root").select("doc_id", "component_id")
+    prints, ids = _classes(docs, least)
+    return prints.select("doc_id", "kind").join(ids.select("kind", "component_id"), "kind").select("doc_id", "component_id")
+
+
+def fingerprinted(docs: DataFrame, least: float = JACCARD) -> DataFrame:
+    """The columns of :func:`with_next` of every row, and its component_id among near-duplicates."""
+    prints, ids = _classes(docs, least)
+    release(prints)
+    rows = with_next(docs)
+    return rows.join(_bounded(ids.select("kind", "component_id")), "kind").select(*[c for c in rows.columns if c != "kind"], "component_id")

@@ -40,7 +40,7 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.with_next(_table(spark, sf_dir, "documents"))
+    return minhash.fingerprinted(_table(spark, sf_dir, "documents"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.read(*token_store.write(_table(spark, sf_dir, "documents"), default_path()))
+    return token_store.read(spark, token_store.write(_table(spark, sf_dir, "documents"), default_path()))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import minhash
-from folioflow.llm.common import ROW, components, numbered, rows_of, store, whole_text
+from folioflow.llm.common import ROW, components, numbered, release, rows_of, store, whole_text
 
 SEED = 42
 SHINGLE = 3
@@ -181,7 +181,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     a group the row of the smallest doc_id stays (nulls last), among equals the first.
     """
     rows = numbered(docs, "simhash-rows")
-    found = minhash.linked(rows.select(F.col(ROW).alias("row"), whole_text().alias("text"))).withColumnRenamed("row", ROW)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    kept = rows.select("doc_id", ROW).join(found, ROW).groupBy("root").agg(F.min(order).alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    texts = rows.select(F.col(ROW).alias("key"), whole_text().alias("text"), "doc_id")
+    prints = minhash.signed(texts)
+    roots = minhash.linked(prints, texts)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    firsts = prints.groupBy("kind").agg(F.min(order).alias("least")).join(roots, "kind")
+    kept = store(firsts.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(ROW)), "simhash-kept")
+    release(prints, roots)
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)

@@ -7,25 +7,27 @@ is one rank, and any id is read without decoding its neighbours.
 
 A file, all integers little-endian:
 
-    8 bytes   magic "DACIDS01"
+    8 bytes   magic "DACIDS02"
     u64       number of ids, u64 number of documents, u64 number of levels
     per level u64 chunks, u64 offset of chunks, of bitmap, of rank directory
-    u64       offset of the document directory
-    ...       the sections: chunks (u8), bitmap (bits, lowest first), ranks (u64), and
-              the document directory: for each document its first id (u64), one more at the end
+    u64       offset of the document directory, of the doc_ids, of the bitmap of doc_ids that are there
+    ...       the sections: chunks (u8), bitmap (bits, lowest first), ranks (u64);
+              the document directory: for each document its first id (u64), one more at the end;
+              the doc_ids (i64) and a bit for each that is not null
 
-Files hold documents in ascending doc_id, file after file. They are written under a
-temporary name and renamed, so a task that runs again replaces its own file with equal bytes.
-A manifest (name, documents, ids, first id of the whole) is written when all files are there.
+Files hold documents in ascending doc_id, file after file; a file ends with the document by which it reaches
+FILE_IDS ids, and a range of doc_ids starts a new one, so a task holds the ids of one file. They are written under a
+temporary name and renamed, so a task that runs again replaces its own files with equal bytes.
+The manifest, a Parquet table in the same folder (name, documents, ids, start: ids before it), is written when all
+files are there. Folder and session are all that :func:`read` needs.
 
 Defined cases: null text is an empty document, which has the end id alone; a null doc_id
-sorts first; rows of equal doc_id follow each other by text; an empty table gives no files
+sorts first; rows of equal doc_id follow each other by a hash of their text; an empty table gives no files
 and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,22 +36,24 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bucket_of, fresh_path, order_buckets, rows_of, store, whole_text
+from folioflow.llm.common import FIRST, Ranges, fresh_path, release, rows_of, store, whole_text
 from folioflow.llm.tokens import encoder
 
-MAGIC = b"DACIDS01"
+MAGIC = b"DACIDS02"
 CHUNK_BITS = 8
 BLOCK = 512
 END_ID = 1
-#: Documents aimed at in a file; a range's bounds are sketched, so it may hold some more.
-FILE_ROWS = 4_000
+#: Documents aimed at in a range of doc_ids, which a task writes; and ids at which a file ends.
+RANGE_ROWS = 4_000
+FILE_IDS = 1 << 22
 
 
-def encode(ids: np.ndarray, firsts: np.ndarray) -> bytes:
-    """One file's bytes: all its ids, and the first id of each document plus the total."""
+def encode(ids: np.ndarray, firsts: np.ndarray, doc_ids: list[int | None]) -> bytes:
+    """One file's bytes: all its ids, the first id of each document plus the total, and the documents' own ids."""
     sections, levels, left = [], [], ids.astype(np.uint32, copy=False)
     while True:
         more = (left >> CHUNK_BITS) != 0
@@ -62,14 +66,15 @@ def encode(ids: np.ndarray, firsts: np.ndarray) -> bytes:
         if not more.any():
             break
         left = left[more] >> CHUNK_BITS
-    sections.append(firsts.astype("<u8").tobytes())
-    at, places = len(MAGIC) + 24 + 32 * len(levels) + 8, []
+    there = np.array([d is not None for d in doc_ids], dtype=bool)
+    sections += [firsts.astype("<u8").tobytes(), np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), np.packbits(there, bitorder="little").tobytes()]
+    at, places = len(MAGIC) + 24 + 32 * len(levels) + 24, []
     for s in sections:
         places.append(at)
         at += len(s)
     head = [struct.pack("<QQQ", len(ids), len(firsts) - 1, len(levels))]
     head += [struct.pack("<QQQQ", n, *places[3 * k : 3 * k + 3]) for k, n in enumerate(levels)]
-    return b"".join([MAGIC, *head, struct.pack("<Q", places[-1]), *sections])
+    return b"".join([MAGIC, *head, struct.pack("<QQQ", *places[-3:]), *sections])
 
 
 class Reader:
@@ -91,8 +96,11 @@ class Reader:
                     np.frombuffer(self.data, dtype="<u8", count=blocks + 1, offset=ranks),
                 )
             )
-        (at,) = struct.unpack_from("<Q", self.data, 32 + 32 * depth)
+        at, own, there = struct.unpack_from("<QQQ", self.data, 32 + 32 * depth)
         self.firsts = np.frombuffer(self.data, dtype="<u8", count=self.documents + 1, offset=at).astype(np.int64)
+        bits = np.frombuffer(self.data, dtype=np.uint8, count=(self.documents + 7) // 8, offset=there)
+        absent = ~np.unpackbits(bits, count=self.documents, bitorder="little").view(bool)
+        self.doc_ids = pa.array(np.frombuffer(self.data, dtype="<i8", count=self.documents, offset=own), pa.int64(), mask=absent)
 
     def rank(self, level: int, i: np.ndarray) -> np.ndarray:
         """Set bits before each place of a level's bitmap: one directory entry and at most one block."""
@@ -135,91 +143,89 @@ class Reader:
         return self.run(int(self.firsts[k]), int(self.firsts[k + 1]))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, ranges: Ranges) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, tie) to the range they belong to and their ids."""
     ids_of, end = encoder(path).all16, np.array([end_id], dtype="<u2").tobytes()
     for batch in rows_of(batches):
-        ids = [x + end for x in ids_of(batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), batch.column(3)], ["bucket", "doc_id", "ids", "tie"])
+        ids = [x + end for x in ids_of(batch.column(1).to_pylist())]
+        own = ranges.of(batch.column(0).fill_null(FIRST).to_numpy(), batch.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], ["bucket", "doc_id", "ids", "tie"])
 
 
-def _write(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, doc_id, ids, tie) in order; a file for each bucket, held until it ends."""
+_FILE = pa.schema([("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
+
+
+def _write(batches: Iterator[pa.RecordBatch], path: str, file_ids: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, doc_id, ids, tie) in order; files of about file_ids ids, each held until it ends."""
     where, base = fs.FileSystem.from_uri(path)
     where.create_dir(base, recursive=True)
 
-    def out(bucket: int, parts: list[bytes], keys: list) -> pa.RecordBatch:
+    def out(bucket: int, number: int, parts: list[bytes], keys: list) -> pa.RecordBatch:
         lengths = np.fromiter((len(p) // 2 for p in parts), dtype=np.int64, count=len(parts))
-        data = encode(np.frombuffer(b"".join(parts), dtype="<u2"), np.concatenate(([0], np.cumsum(lengths))))
-        name = f"ids-{bucket:06d}.dac"
-        with where.open_output_stream(temporary := f"{base}/.{name}.{np.random.default_rng().integers(1 << 62):x}") as f:
+        data = encode(np.frombuffer(b"".join(parts), dtype="<u2"), np.concatenate(([0], np.cumsum(lengths))), keys)
+        name = f"ids-{bucket:05d}-{number:07d}.dac"
+        context = TaskContext.get()
+        with where.open_output_stream(temporary := f"{base}/.{name}.{context.taskAttemptId() if context else 0}") as f:
             f.write(data)
         where.move(temporary, f"{base}/{name}")
-        return pa.RecordBatch.from_pylist([{"bucket": bucket, "name": name, "documents": len(parts), "ids": int(lengths.sum()), "doc_ids": keys}], schema=pa.schema([("bucket", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64()))]))
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(parts)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], schema=_FILE)
 
-    bucket, parts, keys = None, [], []
+    bucket, number, size, parts, keys = None, 0, 0, [], []
     for batch in batches:
         for b, d, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if b != bucket and parts:
-                yield out(bucket, parts, keys)
-                parts, keys = [], []
-            bucket = b
+            if parts and (b != bucket or size >= 2 * file_ids):
+                yield out(bucket, number, parts, keys)
+                number, size, parts, keys = number + 1, 0, [], []
+            if b != bucket:
+                bucket, number = b, 0
             parts.append(ids)
             keys.append(d)
+            size += len(ids)
     if parts:
-        yield out(bucket, parts, keys)
-
-
-def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> tuple[str, DataFrame]:
-    """Encode every whole text, write the files, and return their folder and their table.
-
-    The table has a row per file: bucket, name, documents, ids, doc_ids, start (ids before it).
-    The driver sees (bucket, name, documents, ids, start) of each file, for the manifest.
-    """
-    spark = docs.sparkSession
-    path = path or fresh_path(spark, "token-ids")
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    n = max(1, round(docs.count() / FILE_ROWS))
-    rows = rows.select(bucket_of("doc_id", order_buckets(docs, "doc_id", n)).alias("bucket"), F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
-    ids = rows.mapInArrow(partial(_encoded, path=tokenizer, end_id=end_id), "bucket int, doc_id long, ids binary, tie long")
-    ids = ids.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "tie")
-    files = store(ids.mapInArrow(partial(_write, path=path), "bucket int, name string, documents long, ids long, doc_ids array<long>"), "token-files")
-    start, manifest = 0, []
-    for r in files.select("bucket", "name", "documents", "ids").orderBy("bucket").toLocalIterator():
-        manifest.append(r.asDict() | {"start": start})
-        start += r["ids"]
-    if manifest:
-        where, base = fs.FileSystem.from_uri(path)
-        with where.open_output_stream(f"{base}/manifest.json") as f:
-            f.write(json.dumps({"files": manifest, "ids": start}).encode())
-    starts = spark.createDataFrame([(m["bucket"], m["start"]) for m in manifest], "bucket int, start long")
-    return path, files.join(starts, "bucket")
+        yield out(bucket, number, parts, keys)
+
+
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> str:
+    """Encode every whole text, write the files and their manifest, and return their folder."""
+    path = path or fresh_path(docs.sparkSession, "token-ids")
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
+    ranges = Ranges(rows, "doc_id", round(docs.count() / RANGE_ROWS))
+    ids = rows.mapInArrow(partial(_encoded, path=tokenizer, end_id=end_id, ranges=ranges), "bucket int, doc_id long, ids binary, tie long")
+    ids = ids.repartitionById(ranges.n, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
+    files = store(ids.mapInArrow(partial(_write, path=path, file_ids=file_ids), "name string, documents long, ids long"), "token-files")
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files.withColumn("start", before).write.parquet(f"{path}/manifest")  # a row for each file of millions of ids
+    release(files)
+    return path
 
 
 def _read(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     where, base = fs.FileSystem.from_uri(path)
     for batch in batches:
-        for row in batch.to_pylist():
-            with where.open_input_file(f"{base}/{row['name']}") as f:
+        for name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            with where.open_input_file(f"{base}/{name}") as f:
                 reader = Reader(f.read())
-            lengths = np.diff(reader.firsts)
             crcs = [zlib.crc32(reader.document(k).astype("<u4").tobytes()) for k in range(reader.documents)]
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + reader.firsts[:-1]), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([reader.doc_ids, pa.array(start + reader.firsts[:-1]), pa.array(np.diff(reader.firsts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read(path: str, files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    rows = files.select("name", "start", "doc_ids").repartition(max(1, files.count()), "name")  # a task for each file
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the folder's files alone."""
+    files = spark.read.parquet(f"{path}/manifest").select("name", "start")
+    rows = files.repartition(max(1, min(files.count(), 1 << 16)), "name")  # about a task for each file
     return rows.mapInArrow(partial(_read, path=path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_at(spark: SparkSession, path: str, places: list[int]) -> list[int]:
-    """The ids at places of the whole corpus, by the manifest and single ranks."""
+    """The ids at places of the whole corpus, by the manifest and single ranks; the driver sees the files that hold them."""
     where, base = fs.FileSystem.from_uri(path)
-    with where.open_input_file(f"{base}/manifest.json") as f:
-        manifest = json.loads(f.read())["files"]
-    starts, out = np.array([m["start"] for m in manifest]), []
+    asked = spark.createDataFrame([(int(p),) for p in places], "place long")
+    held = spark.read.parquet(f"{path}/manifest").select("name", "start", (F.col("start") + F.col("ids")).alias("end"))
+    found = {r["place"]: r for r in held.join(F.broadcast(asked), (F.col("place") >= F.col("start")) & (F.col("place") < F.col("end"))).collect()}
+    out, readers = [], {}
     for p in places:
-        m = manifest[int(np.searchsorted(starts, p, side="right")) - 1]
-        with where.open_input_file(f"{base}/{m['name']}") as f:
-            out.append(int(Reader(f.read()).at(np.array([p - m["start"]]))[0]))
+        if (name := found[p]["name"]) not in readers:
+            with where.open_input_file(f"{base}/{name}") as f:
+                readers = {name: Reader(f.read())}
+        out.append(int(readers[name].at(np.array([p - found[p]["start"]]))[0]))
     return out

@@ -106,8 +106,8 @@ def test_encoder_equals_the_library():
 
 
 def test_token_files_round_trip(spark, edge):
-    path, files = token_store.write(edge, tokens.default_path())
-    rows = sorted(token_store.read(path, files).collect(), key=lambda r: r["doc_id"])
+    path = token_store.write(edge, tokens.default_path(), file_ids=500)
+    rows = sorted(token_store.read(spark, path).collect(), key=lambda r: r["doc_id"])
     texts = [r["text"] for r in sorted(edge.collect(), key=lambda r: r["doc_id"])]
     ids = plain_ids(texts, token_store.END_ID)
     assert [r["n_tokens"] for r in rows] == [len(x) for x in ids]
@@ -119,11 +119,21 @@ def test_token_files_round_trip(spark, edge):
 
 def test_directly_addressable_codes():
     ids = np.random.default_rng(1).choice([1, 255, 256, 65535, 65536, 1 << 31], 3000).astype(np.uint32)
-    reader = token_store.Reader(token_store.encode(ids, np.array([0, 10, 10, 3000])))
+    reader = token_store.Reader(token_store.encode(ids, np.array([0, 10, 10, 3000]), [7, None, -1]))
     places = np.random.default_rng(2).permutation(3000)
     assert (reader.at(places) == ids[places]).all()
     assert (reader.run(513, 2049) == ids[513:2049]).all()
-    assert [len(reader.document(k)) for k in range(3)] == [10, 0, 2990]
+    assert [len(reader.document(k)) for k in range(3)] == [10, 0, 2990] and reader.doc_ids.to_pylist() == [7, None, -1]
+
+
+def test_other_tokenizers_equal_the_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Don't SHOUT", "  two  spaces\n\nand lines ", "ümläut 日本語", "", "<|endoftext|>"]
+    library = tokens.encoder(path).tokenizer
+    assert not tokens.encoder(path).by_pieces and tokens.encoder(tokens.default_path()).by_pieces
+    assert [np.frombuffer(x, dtype="<u2").tolist() for x in tokens.encoder(path).all16(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_places_every_token_once(spark, edge):
@@ -240,7 +250,8 @@ def test_minhash_estimates_and_classes(spark):
     near[100] = "changed"
     texts = [a, " ".join(near), prose(2, 200), a, None, ""]
     docs = table(spark, texts)
-    rows = {r["doc_id"]: r for r in minhash.with_next(docs).collect()}
+    rows = {r["doc_id"]: r for r in minhash.fingerprinted(docs).collect()}
+    assert {d: r["component_id"] for d, r in rows.items()} == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 4}
     assert rows[0]["fingerprint"] == rows[3]["fingerprint"] and rows[4]["fingerprint"] == rows[5]["fingerprint"]
     assert rows[0]["near_next"] > 0.8 > rows[1]["near_next"] and rows[5]["near_next"] == 0
     full = [t or "" for t in texts]
@@ -404,12 +415,12 @@ def test_licenses_are_found_and_inherited(spark):
 def test_odd_and_empty_tables(spark, edge, empty, name):
     run = {
         "simhash": simhash.near_duplicates,
-        "minhash": minhash.with_next,
+        "minhash": minhash.fingerprinted,
         "minhash_classes": minhash.near_duplicates,
         "suffix": suffix_dedup.dedup,
         "mix": mixing.mix,
         "shards": sharding.shard,
-        "files": lambda d: token_store.read(*token_store.write(d, tokens.default_path())),
+        "files": lambda d: token_store.read(spark, token_store.write(d, tokens.default_path())),
         "pack": lambda d: packing.pack(d, tokens.default_path()),
         "licenses": lambda d: licenses.scan(d.select("doc_id", licenses.document_path().alias("path"), "text")),
     }[name]
