@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, reranked by exact distance.
 
-Largest inner product becomes nearest point: a vector gets one more component that makes all
-norms equal, a query gets 0. Each of TABLES tables hashes a point by HASHES functions
-floor((a . x + b) / width) with Gaussian a. A query visits, in every table, the PROBES buckets
-reached from its own by the perturbations that are most likely to succeed: those with the
-least sum of squared distances from the query's projections to the walls that they cross.
-Buckets are visited where they lie; each task keeps the best of what a query meets, scored in
-double precision on the original vectors, and the tables' candidates are merged.
-
-Every row is indexed. The width is fitted to the spread of projections; no bucket is capped: one
-that holds more than SPLIT vectors is split among tasks, and its queries visit every part.
-Equal vectors tie, so of a group of equal vectors the neighbours with the smallest ids are
-enough; the index holds those, exactly as many as a query may return and one more.
+Largest inner product becomes nearest point: vectors are parted by norm (a range holds norms between a half and the whole of
+its largest), scaled by their range's largest norm, and get one more component that makes all norms 1; a query is
+scaled to norm 1 and gets 0. So one long vector does not crowd all others into a bucket. Each of
+TABLES tables of a range hashes a point by HASHES functions floor((a . x + b) / WIDTH) with Gaussian a. A query
+visits, in every table, the PROBES buckets reached from its own by the perturbations that are most
+likely to succeed: those with the least sum of squared distances from the query's projections to the walls
+that they cross. Buckets are visited where they lie; each task keeps the best of what a query meets, and the
+tables' candidates are merged.
+
+Scores are inner products of the original vectors in double precision, each a sum in one fixed order, so equal
+vectors have equal scores wherever they are computed; ranks go by score, then by the smaller id.
+
+Every row is indexed. No bucket is capped: one that holds more than SPLIT vectors is split among tasks, and
+its queries visit every part. A query that meets fewer than k candidates (or fewer than there are) is
+answered by a scan of all rows in blocks, so it is exact. Equal vectors tie, so of a group of equal vectors the
+neighbours with the smallest ids are enough; the index holds those, exactly as many as a query may return and one more.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null or
 non-finite components take no part, as query or candidate; null ids take no part; repeated
@@ -30,22 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import store
+from folioflow.llm.common import release, store
 
 TABLES, HASHES, PROBES = 4, 8, 128
 #: Width of a bucket in standard deviations of a projection.
 WIDTH = 2.5
+#: Ranges of norms; the last one holds all that are shorter.
+RANGES = 16
 SEED = 11
 SPLIT = 4_096
-#: Vectors of all tables that one task holds at a time.
-TASK_ROWS = 40_000
+#: Bytes of vectors that one task holds, about.
+TASK_BYTES = 1 << 24
 K = 20
-#: Scores that agree in so many decimals tie: sums in another order differ beyond them.
-TIE = 13
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v, q): ids and double vectors that take part, each once."""
+    """(id, v): ids and double vectors that take part, each once."""
     v = F.col(vector).cast("array<double>")
     fine = F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(fine).select(F.col(key).cast("long").alias("id"), v.alias("v"))
@@ -53,22 +57,32 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return rows.where(F.size("v") == (sizes["d"] if sizes else 0)).distinct()
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column without nulls, a row each, without a Python object for a number."""
+    return column.flatten().to_numpy().astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, each summed in the same order."""
+    return np.ascontiguousarray(a * b).sum(axis=1)
+
+
 class Tables:
-    """The hash functions of all tables and a query's probing sequence."""
+    """The hash functions of all tables and a query's probing sequence, for vectors of norm 1 at most."""
 
-    def __init__(self, dimension: int, top_norm: float, spread: float, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = SEED):
+    def __init__(self, dimension: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = SEED):
         draw = np.random.default_rng(seed)
-        self.top, self.width, self.tables, self.hashes = top_norm, width * spread, tables, hashes
+        self.width, self.tables, self.hashes = width, tables, hashes  # a projection's standard deviation is 1
         self.a = draw.standard_normal((dimension + 1, tables * hashes))
         self.b = draw.uniform(0, self.width, tables * hashes)
 
-    def places(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Projections in units of a bucket: rows x tables x hashes."""
-        norms = np.sqrt((x * x).sum(axis=1))
-        if query:  # queries are scaled to the same norm; that changes no ranking
-            x, more = x * (self.top / norms)[:, None], np.zeros(len(x))
+    def places(self, x: np.ndarray, top: np.ndarray | None = None) -> np.ndarray:
+        """Projections in units of a bucket: rows x tables x hashes. Points are scaled by ``top``, queries to norm 1."""
+        x = x / np.abs(x).max(axis=1, keepdims=True) if top is None else x / top[:, None]
+        if top is None:
+            x, more = x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.zeros(len(x))
         else:
-            more = np.sqrt(np.maximum(self.top * self.top - norms * norms, 0))
+            more = np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))
         return ((np.column_stack([x, more]) @ self.a + self.b) / self.width).reshape(len(x), self.tables, self.hashes)
 
     def keys(self, buckets: np.ndarray) -> np.ndarray:
@@ -100,43 +114,49 @@ class Tables:
         return np.array(out).astype(np.int64)
 
 
-def _index(batches: Iterator[pa.RecordBatch], tables: Tables) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], made: Tables) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v, range, top) to a row for each table; a table's number tells its range too."""
     for batch in batches:
-        x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-        keys = tables.keys(np.floor(tables.places(x, query=False)).astype(np.int64))
-        for t in range(tables.tables):
-            yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), pa.array(keys[:, t].copy()), batch.column(0), batch.column(1)], ["t", "key", "id", "v"])
+        if not batch.num_rows:
+            continue
+        part = batch.column(2).to_numpy()
+        keys = made.keys(np.floor(made.places(matrix(batch.column(1)), batch.column(3).to_numpy())).astype(np.int64))
+        for t in range(made.tables):
+            yield pa.RecordBatch.from_arrays([pa.array((part * made.tables + t).astype(np.int32)), pa.array(keys[:, t].copy()), batch.column(0), batch.column(1)], ["t", "key", "id", "v"])
 
 
-def _probe(batches: Iterator[pa.RecordBatch], tables: Tables, n: int) -> Iterator[pa.RecordBatch]:
+def _probe(batches: Iterator[pa.RecordBatch], made: Tables, n: int, parts: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v) to the buckets that a query visits; the sequence is the same in every range of norms."""
     for batch in batches:
         for s in range(0, batch.num_rows, 64):
             part = batch.slice(s, 64)
-            x = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(part.num_rows, -1)
             t, key, row = [], [], []
-            for k, place in enumerate(tables.places(x, query=True)):
-                for j in range(tables.tables):
-                    found = tables.keys(tables.probes(place[j], n))
-                    t.append(np.full(len(found), j, dtype=np.int32))
-                    key.append(found)
-                    row.append(np.full(len(found), k))
-            row = np.concatenate(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t)), pa.array(np.concatenate(key)), part.column(0).take(pa.array(row))], ["t", "key", "id"])
+            for k, place in enumerate(made.places(matrix(part.column(1)))):
+                for j in range(made.tables):
+                    found = made.keys(made.probes(place[j], n))
+                    for r in parts:
+                        t.append(np.full(len(found), r * made.tables + j, dtype=np.int32))
+                        key.append(found)
+                        row.append(np.full(len(found), k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t)), pa.array(np.concatenate(key)), part.column(0).take(pa.array(np.concatenate(row)))], ["t", "key", "id"])
 
 
 class Best:
-    """The k best candidates that each query has met in a task."""
+    """The k best candidates that each of a task's queries has met: ids, and exact scores."""
 
     def __init__(self, k: int):
         self.k, self.found = k, {}
 
-    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """scores: queries x ids."""
+    def add(self, queries: np.ndarray, points: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        rough = points @ vectors.T  # its sums differ in their last bits with the place of a vector
+        slack = 4e-16 * (points.shape[1] + 8) * np.abs(points) @ np.abs(vectors).max(axis=0)
         keep = min(self.k + 1, len(ids))  # one may be the query itself
-        for q, s in zip(queries.tolist(), scores, strict=True):
-            top = np.flatnonzero(s >= np.partition(s, -keep)[-keep])
-            self.found.setdefault(q, []).append((ids[top], s[top]))
-            if len(self.found[q]) > 16:
+        least = np.partition(rough, -keep, axis=1)[:, -keep] - 2 * slack
+        row, at = np.nonzero(rough >= least[:, None])
+        scores = products(points[row], vectors[at])
+        for q, i, s in zip(queries.tolist(), np.split(ids[at], ends := np.searchsorted(row, np.arange(1, len(queries)))), np.split(scores, ends), strict=True):
+            self.found.setdefault(q, []).append((i, s))
+            if sum(len(i) for i, _ in self.found[q]) > 16 * (self.k + 1):
                 self.found[q] = [self.best(q)]
 
     def best(self, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +165,7 @@ class Best:
         ids, first = np.unique(ids, return_index=True)
         own = ids != q
         ids, scores = ids[own], scores[first][own]
-        order = np.lexsort((ids, -np.round(scores, TIE)))[: self.k]
+        order = np.lexsort((ids, -scores))[: self.k]
         return ids[order], scores[order]
 
 
@@ -153,39 +173,52 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 
 def _visit(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (task, is_query, id, v, buckets) sorted by task, vectors first; about TASK_ROWS vectors are held."""
-    task, held, asked = None, [], []
+    """Rows (task, is_query, id, v, buckets) sorted by task, vectors first; a task's vectors are held."""
 
-    def meet() -> Iterator[pa.RecordBatch]:
+    def meet(held: list[pa.RecordBatch], asked: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held or not asked:
             return
-        ids, matrix = np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.float64)
-        queries, points = np.array([q[0] for q in asked], dtype=np.int64), np.array([q[1] for q in asked], dtype=np.float64)
-        members, visits, best = {}, {}, Best(k)
-        for n, (_, _, buckets) in enumerate(held):
-            members.setdefault(buckets[0], []).append(n)
-        for n, (_, _, buckets) in enumerate(asked):
-            for b in buckets:
-                if b in members:
-                    visits.setdefault(b, []).append(n)
-        for b, rows in visits.items():
-            own = members[b]
-            for s in range(0, len(rows), 512):
-                best.add(queries[rows[s : s + 512]], ids[own], points[rows[s : s + 512]] @ matrix[own].T)
-        found = [(q, *best.best(q)) for q in best.found]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found])), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([x for _, _, x in found]))], schema=_FOUND)
-
+        ids, vectors = (np.concatenate(x) for x in ([b.column(2).to_numpy() for b in held], [matrix(b.column(3)) for b in held]))
+        bucket = np.concatenate([b.column(4).flatten().to_numpy() for b in held])  # a vector has one
+        order = np.argsort(bucket, kind="stable")
+        ids, vectors, bucket = ids[order], vectors[order], bucket[order]
+        names, starts = np.unique(bucket, return_index=True)
+        ends = np.append(starts[1:], len(bucket))
+        for part in asked:
+            queries, points, best = part.column(2).to_numpy(), matrix(part.column(3)), Best(k)
+            sought = part.column(4).flatten().to_numpy()
+            asker = np.repeat(np.arange(len(queries)), part.column(4).value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(names, sought), len(names) - 1)
+            hit = names[at] == sought
+            at, asker = at[hit], asker[hit]
+            by = np.argsort(at, kind="stable")
+            at, asker = at[by], asker[by]
+            for own, rows in zip(np.unique(at).tolist(), np.split(asker, np.flatnonzero(np.diff(at)) + 1), strict=True) if len(at) else ():
+                best.add(queries[rows], points[rows], ids[starts[own] : ends[own]], vectors[starts[own] : ends[own]])
+            found = [(q, *best.best(q)) for q in best.found]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found])), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([x for _, _, x in found]))], schema=_FOUND)
+
+    task, held = None, []
     for batch in batches:
-        for t, is_query, id_, v, buckets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t != task:
-                yield from meet()
-                task, held, asked = t, [], []
-            (asked if is_query else held).append((id_, v, buckets))
-            if len(asked) >= 4_096:
-                yield from meet()
-                asked = []
-    yield from meet()
+        for s in range(0, batch.num_rows, 512):
+            part = batch.slice(s, 512)
+            tasks, is_query = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(tasks) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1).tolist(), len(tasks)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if tasks[a] != task:
+                    task, held = tasks[a], []
+                if is_query[a]:
+                    yield from meet(held, [part.slice(a, b - a)])
+                else:
+                    held.append(part.slice(a, b - a))
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): one row for each candidate, and of each query the nearest."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def neighbours(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -194,31 +227,46 @@ def neighbours(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, h
     ``is_query`` is a condition on ``id``; candidates are all other usable rows.
     """
     spark = vectors.sparkSession
-    rows = store(usable(vectors, key, vector), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    facts = rows.select(F.max(norm).alias("top"), F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = usable(vectors, key, vector)
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))  # squares of scaled components neither vanish nor overflow
+    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
+    rows = store(rows.withColumn("norm", norm), "vectors")
+    facts = rows.select(F.max("norm").alias("top"), F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     if not facts["n"]:
-        return empty
-    # a projection of a point of norm top on a Gaussian direction has the standard deviation top
-    made = Tables(facts["d"], facts["top"], facts["top"], tables, hashes, width)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    part = F.least(F.floor(F.log2(F.lit(facts["top"]) / F.col("norm"))), F.lit(RANGES - 1)).cast("int")
+    rows = rows.withColumn("range", part)
+    tops = {r["range"]: r["top"] for r in rows.groupBy("range").agg(F.max("norm").alias("top")).collect()}  # RANGES at most
+    top = F.element_at(F.array(*(F.lit(tops.get(r, 1.0)) for r in range(RANGES))), F.col("range") + 1)
+    made = Tables(facts["d"], tables, hashes, width)
     same = Window.partitionBy("v").orderBy("id")
-    index = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("id", "v")
-    index = index.mapInArrow(partial(_index, tables=made), "t int, key long, id long, v array<double>")
+    index = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("id", "v", "range", top.alias("top"))
+    index = index.mapInArrow(partial(_index, made=made), "t int, key long, id long, v array<double>")
     index = index.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
     parts = index.groupBy("t", "key").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
     bucket = F.xxhash64("t", "key", "part")
-    task = F.pmod("bucket", F.lit(max(8, -(-facts["n"] * tables // TASK_ROWS)))).cast("int")
+    task_rows = max(SPLIT, TASK_BYTES // (8 * facts["d"]))
+    n_tasks = max(2 * spark.sparkContext.defaultParallelism, -(-facts["n"] * tables // task_rows))
+    task = F.pmod("bucket", F.lit(n_tasks)).cast("int")
     held = index.join(parts, ["t", "key"]).withColumn("part", F.pmod("place", "parts").cast("int")).withColumn("bucket", bucket)
     held = held.select(task.alias("task"), F.lit(False).alias("is_query"), "id", "v", F.array("bucket").alias("buckets"))
-    asked = rows.where(is_query).mapInArrow(partial(_probe, tables=made, n=probes), "t int, key long, id long").join(parts, ["t", "key"])
+    queries = rows.where(is_query).select("id", "v")
+    asked = queries.mapInArrow(partial(_probe, made=made, n=probes, parts=sorted(tops)), "t int, key long, id long").join(parts, ["t", "key"])
     asked = asked.select("id", "t", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("bucket", bucket)
     # a query's vector goes to a task once, with the buckets that it visits there
     asked = asked.groupBy(task.alias("task"), "id").agg(F.collect_list("bucket").alias("buckets"))
-    asked = asked.join(rows.where(is_query), "id").select("task", F.lit(True).alias("is_query"), "id", "v", "buckets")
-    met = held.unionByName(asked).repartition("task").sortWithinPartitions("task", "is_query")
-    found = met.mapInArrow(partial(_visit, k=k), "query_id long, vec_id long, score double")
-    # Candidates of all tables: one row for each, then the nearest.
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE)), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = asked.join(queries, "id").select("task", F.lit(True).alias("is_query"), "id", "v", "buckets")
+    met = held.unionByName(asked).repartitionById(n_tasks, "task").sortWithinPartitions("task", "is_query")
+    found = store(_merged(met.mapInArrow(partial(_visit, k=k), "query_id long, vec_id long, score double"), k), "neighbours")
+
+    # queries that met too few: all rows, in blocks
+    full = found.groupBy("query_id").count().where(F.col("count") >= min(k, facts["n"] - 1))
+    lacking = store(queries.join(full, F.col("id") == F.col("query_id"), "left_anti"), "lacking")
+    if not lacking.isEmpty():
+        blocks = max(spark.sparkContext.defaultParallelism, -(-facts["n"] // task_rows))
+        all_ = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("task"), F.lit(False).alias("is_query"), "id", "v", F.array(F.lit(0).cast("long")).alias("buckets"))
+        asks = lacking.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("task"), F.lit(True).alias("is_query"), "id", "v", F.array(F.lit(0).cast("long")).alias("buckets"))
+        met = all_.unionByName(asks).repartitionById(blocks, "task").sortWithinPartitions("task", "is_query")
+        more = _merged(met.mapInArrow(partial(_visit, k=k), "query_id long, vec_id long, score double"), k)
+        found = found.join(full, "query_id", "left_semi").unionByName(more)
+    return found.select("query_id", "rank", "vec_id", "score")

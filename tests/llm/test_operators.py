@@ -368,6 +368,52 @@ def test_neighbours_are_near_and_exact(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.neighbours(few, F.col("id") % 20 == 0).collect()) == [(0, 1, 20), (0, 2, 3), (20, 1, 0), (20, 2, 3)]
 
 
+def plain_neighbours(good, k=20):
+    out = {}
+    for q in good:
+        if q % 20 == 0:
+            scores = {c: float(np.ascontiguousarray(good[q] * v)[None].sum(axis=1)[0]) for c, v in good.items() if c != q}
+            out[q] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("scale", [1e-8, 1.0, 1e8, 1e-200])
+def test_neighbours_at_any_scale_and_uneven_norms(spark, scale):
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(1)
+    x = draw.standard_normal((400, 16))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[0:40] = x[100]  # equal vectors: ties to the smaller id
+    x[60:70] *= 1e-3
+    x[7] *= 1000
+    rows = [(k, [float(a) for a in v * scale], "x", 0, 1) for k, v in enumerate(x)]
+    rows += [(None, rows[0][1], "x", 0, 1), (500, None, "x", 0, 1), (501, [], "x", 0, 1), (502, [1.0, None] + [0.0] * 14, "x", 0, 1), rows[30]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, task int, t int")
+    got = {}
+    for r in ann.neighbours(table, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = plain_neighbours({k: np.array(v) for k, v, *_ in rows[:400]}) if scale > 1e-100 else None
+    assert set(got) == set(range(0, 400, 20)) and all(len(v) == 20 for v in got.values())
+    if want:
+        assert sum(len(set(got[q]) & set(want[q])) for q in want) / (20 * len(want)) >= 0.9
+        assert [c for c, _ in got[0]] == [c for c, _ in want[0]]
+
+
+def test_neighbours_recall_on_the_given_vectors_and_empty_table(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    good = {r["vec_id"]: np.array(r["embedding"], dtype=np.float64) for r in table.collect()}
+    want, hits = plain_neighbours(good), 0
+    found = ann.neighbours(table, F.col("id") % 20 == 0).collect()
+    for r in found:
+        hits += r["vec_id"] in {c for c, _ in want[r["query_id"]]}
+        assert abs(r["score"] - float(good[r["query_id"]] @ good[r["vec_id"]])) < 1e-12
+    assert len(found) == 20 * len(want) and hits / len(found) >= 0.9
+    assert ann.neighbours(table.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
 # -- shards -------------------------------------------------------------------------------------------------------
 
 
