@@ -10,9 +10,10 @@ carry across windows and across partitions. Documents are cut where a share ends
 Only the last block can end within a window; its rest is laid out as sequences whose lengths
 are powers of two, which take no padding.
 
-A queue holds a source's documents in the order in which the table is read. What the driver
-holds is a number per source and block, with at most MAX_BLOCKS blocks: sources must be
-few (thousands), documents need not.
+A queue holds a source's documents in the order in which the table is read. What the driver plans and
+broadcasts is two numbers for each source and block, CELLS at most; where there are more blocks, it plans
+groups of them, and the tasks that need a group's blocks plan those by the same rounds. A task holds the tokens of
+one block, whatever the size of the table. Sources must be few (thousands), documents need not.
 
 Defined cases: null text is an empty document (the end id alone); null source is a queue of
 its own; repeated rows are packed each; an empty table gives no rows; further columns are
@@ -27,6 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +37,14 @@ from folioflow.llm.tokens import crc32_of, encoder
 
 SEQUENCE = 4096
 END_ID = 2
-#: Windows in a block, at least; blocks grow when there would be more than MAX_BLOCKS.
+#: Windows in a block, whose tokens a task holds.
 BLOCK_WINDOWS = 256
-MAX_BLOCKS = 1 << 16
+#: Sources times groups of blocks that the driver plans, at most; each takes 16 bytes of the broadcast plan.
+CELLS = 1 << 22
 #: Rows (a partition and source each) up to which their queue positions are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-PIECES = "doc_id long, queue int, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def round_robin(credit: np.ndarray, weights: np.ndarray, left: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,17 +70,55 @@ def round_robin(credit: np.ndarray, weights: np.ndarray, left: np.ndarray, room:
     return take, credit - take
 
 
-def plan(totals: np.ndarray, weights: np.ndarray, window: int = SEQUENCE, block_windows: int = BLOCK_WINDOWS) -> tuple[int, np.ndarray, np.ndarray]:
-    """(windows in a block, first token of each queue in each block and the totals, credits at each start)."""
-    windows = -(-int(totals.sum()) // window)
-    block_windows = max(block_windows, -(-windows // MAX_BLOCKS))
-    starts, credits, left, credit = [np.zeros(len(totals), dtype=np.int64)], [], totals.copy(), np.zeros(len(totals))
+def rounds(totals: np.ndarray, weights: np.ndarray, room: int, credit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds of ``room`` tokens until the queues are empty: (first token of each queue in each and the totals, credits at each start)."""
+    starts, credits, left = [np.zeros(len(totals), dtype=np.int64)], [], totals.copy()
     while left.sum() > 0:
         credits.append(credit)
-        take, credit = round_robin(credit, weights, left, block_windows * window)
+        take, credit = round_robin(credit, weights, left, room)
         left = left - take
         starts.append(starts[-1] + take)
-    return block_windows, np.array(starts), np.array(credits).reshape(len(credits), len(totals))
+    return np.array(starts), np.array(credits).reshape(len(credits), len(totals))
+
+
+class Plan:
+    """Which tokens of each queue lie in which block, and the credits that a block starts with."""
+
+    def __init__(self, names: list[str], totals: np.ndarray, weights: np.ndarray, window: int = SEQUENCE, block_windows: int = BLOCK_WINDOWS, cells: int = CELLS):
+        self.names, self.weights, self.window, self.block_windows = names, weights, window, block_windows
+        blocks = -(-(-(-int(totals.sum()) // window)) // block_windows)
+        self.inner = max(1, -(-blocks // max(1, min(1 << 16, cells // max(1, len(totals))))))  # blocks in a group
+        self.starts, self.credits = rounds(totals, weights, self.inner * block_windows * window, np.zeros(len(totals)))
+        self.numbers, self.known = {q: k for k, q in enumerate(names)}, (-1, None)
+
+    def group(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens of the blocks of a group, one row more at the end, and credits; a group with fewer blocks has fewer rows."""
+        if self.inner == 1:
+            return self.starts[g : g + 2], self.credits[g : g + 1]
+        if self.known[0] != g:
+            starts, credits = rounds(self.starts[g + 1] - self.starts[g], self.weights, self.block_windows * self.window, self.credits[g])
+            self.known = (g, (self.starts[g] + starts, credits))
+        return self.known[1]
+
+    def cut(self, queue: int, at: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(block, start, end) of the parts of n tokens that lie at a place of a queue."""
+        done, g = 0, int(np.searchsorted(self.starts[:, queue], at, side="right")) - 1
+        while done < n:
+            bounds = self.group(g)[0][:, queue]
+            k = int(np.searchsorted(bounds, at + done, side="right")) - 1
+            while done < n and k + 1 < len(bounds):
+                end = min(n, int(bounds[k + 1]) - at)
+                if end > done:
+                    yield g * self.inner + k, done, end
+                    done = end
+                k += 1
+            g += 1
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(credits, tokens of each queue) of a block."""
+        starts, credits = self.group(b // self.inner)
+        k = b % self.inner
+        return credits[k], starts[k + 1] - starts[k]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -93,23 +134,16 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "part", "before", "ids"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], starts: np.ndarray, numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], plan: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, queue, at, ids) to a piece for each block that a document lies in."""
-    schema = pa.schema([("block", pa.int32()), ("queue", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-    columns = np.ascontiguousarray(starts.T)
+    schema = pa.schema([("block", pa.int64()), ("queue", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
     for batch in rows_of(batches):
         out = []
         for doc_id, queue, at, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            q, n, done = numbers[queue], len(ids) // 2, 0
-            bounds = columns[q]
-            block = int(np.searchsorted(bounds, at, side="right")) - 1
-            while done < n:
-                end = min(n, int(bounds[block + 1]) - at)
-                if end > done:
-                    out.append((block, q, at + done, doc_id, done, n, ids[2 * done : 2 * end]))
-                    done = end
-                block += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            q, n = plan.value.numbers[queue], len(ids) // 2
+            out += [(block, q, at + start, doc_id, start, n, ids[2 * start : 2 * end]) for block, start, end in plan.value.cut(q, at, n)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def layout(credit: np.ndarray, weights: np.ndarray, amounts: np.ndarray, window: int = SEQUENCE) -> list[tuple[int, np.ndarray]]:
@@ -123,13 +157,15 @@ def layout(credit: np.ndarray, weights: np.ndarray, amounts: np.ndarray, window:
     return rounds
 
 
-def _packed(batches: Iterator[pa.RecordBatch], starts: np.ndarray, credits: np.ndarray, weights: np.ndarray, window: int, block_windows: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], plan: Broadcast, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Rows of _cut sorted by (block, queue, at); a block's tokens are held until it ends."""
-    schema = pa.schema([("doc_id", pa.int64()), ("queue", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
     def fill(block: int, queues: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        out, at = [], {q: [0, 0] for q in queues}  # for each queue: its piece, and ids used of it
-        for k, (_, take) in enumerate(layout(credits[block], weights, starts[block + 1] - starts[block], window)):
+        out, at, made = [], {q: [0, 0] for q in queues}, plan.value  # for each queue: its piece, and ids used of it
+        sources = {q: made.names[q][1:] if made.names[q] else None for q in queues}
+        credit, amounts = made.block(block)
+        for k, (_, take) in enumerate(layout(credit, made.weights, amounts, made.window)):
             offset = 0
             for q in np.flatnonzero(take):
                 want, place, pieces = int(take[q]), at[q], queues[int(q)]
@@ -138,7 +174,7 @@ def _packed(batches: Iterator[pa.RecordBatch], starts: np.ndarray, credits: np.n
                     used = place[1]
                     n = min(want, len(ids) // 2 - used)
                     own = ids[2 * used : 2 * (used + n)]
-                    out.append((doc_id, int(q), start + used, n, crc32_of(own), doc_tokens, block * block_windows + k, offset, own if with_ids else None))
+                    out.append((doc_id, sources[int(q)], start + used, n, crc32_of(own), doc_tokens, block * made.block_windows + k, offset, own if with_ids else None))
                     offset, want, place[1] = offset + n, want - n, used + n
                     if 2 * place[1] == len(ids):
                         place[0], place[1] = place[0] + 1, 0
@@ -176,14 +212,12 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, float] | Non
     names = sorted(totals, key=lambda q: (q == "", q))
     sizes = np.array([totals[q] for q in names], dtype=np.int64)
     shares = sizes.astype(float) if weights is None else np.array([float(weights.get(q[1:] if q else None, 0.0)) for q in names])
-    block_windows, starts, credits = plan(sizes, shares, window, block_windows)
+    plan = spark.sparkContext.broadcast(Plan(names, sizes, shares, window, block_windows))  # 16 bytes x CELLS at most
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     if parts.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     placed = rows.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "ids")
-    cut = placed.mapInArrow(partial(_cut, starts=starts, numbers={q: k for k, q in enumerate(names)}), "block int, queue int, at long, doc_id long, start long, doc_tokens long, ids binary")
+    cut = placed.mapInArrow(partial(_cut, plan=plan), "block long, queue int, at long, doc_id long, start long, doc_tokens long, ids binary")
     cut = cut.repartition("block").sortWithinPartitions("block", "queue", "at")
-    pieces = cut.mapInArrow(partial(_packed, starts=starts, credits=credits, weights=shares, window=window, block_windows=block_windows, with_ids=with_ids), PIECES)
-    source = F.element_at(F.array(*(F.lit(q[1:] if q else None).cast("string") for q in names)), F.col("queue") + 1) if names else F.lit(None).cast("string")
-    return pieces.withColumn("source", source).drop("queue")
+    return cut.mapInArrow(partial(_packed, plan=plan, with_ids=with_ids), PIECES)

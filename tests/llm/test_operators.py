@@ -155,6 +155,23 @@ def test_packing_places_every_token_once(spark, edge):
     assert all(n == 64 or n & (n - 1) == 0 for n in lengths.values())
 
 
+def test_groups_of_blocks_are_planned_alike():
+    totals, weights = np.array([50_000, 30_000, 7]), np.array([1.0, 2.0, 1.0])
+    whole = packing.Plan(["=a", "=b", ""], totals, weights, 64, 4)
+    parted = packing.Plan(["=a", "=b", ""], totals, weights, 64, 4, cells=30)
+    assert whole.inner == 1 and parted.inner > 1
+    for made in (whole, parted):
+        seen, blocks = np.zeros(3, dtype=int), {}
+        for q, n in enumerate(totals.tolist()):
+            for at in range(0, n, 999):
+                for block, start, end in made.cut(q, at, min(999, n - at)):
+                    blocks.setdefault(block, np.zeros(3, dtype=int))[q] += end - start
+        for block in sorted(blocks):
+            assert (made.block(block)[1] == blocks[block]).all()
+            seen += blocks[block]
+        assert (seen == totals).all() and all(blocks[b].sum() == 256 for b in sorted(blocks)[:-1])
+
+
 def test_deficits_carry_over_windows():
     weights, left = np.array([0.5, 0.3, 0.2]), np.array([5000, 3000, 2000])
     credit, taken = np.zeros(3), np.zeros(3, dtype=int)
