@@ -9,18 +9,20 @@ anchors (about one in 35) are enough to meet every repeat. Neighbouring windows
 anchor form a unit: the anchor's gram, and the bytes from the first window to the end of the last.
 
 1. Units are dealt by the hash of their gram and sorted. A gram that occurs once ends there. A
-   unit equal to an earlier one (equal hashes of 128 bits in all) is covered whole. Of each
-   group of equal units the first remains; if its gram has no other unit, nothing more is due.
+   unit equal to an earlier one is covered whole; that is decided by 128 bits of hash (64 of the gram, 64 of the
+   unit), not by comparing bytes. Of each group of equal units the first remains; if its gram has no other
+   unit, nothing more is due. Grams that are frequent in a sample of documents are dealt to several tasks, and the
+   first units of those meet once more; the sample decides balance, never results.
 2. Units that share a gram but differ hold windows that may be equal in part. Their suffixes are
-   range-partitioned by leading bytes, with splitters that Spark samples; equal leading
-   grams are never split, so no class of equal windows crosses a boundary between buckets.
-   Each bucket sorts its windows by multikey quicksort on characters of 8 bytes: one
-   character at a time, going on only within groups still tied. What is tied over WINDOW bytes
-   is equal; all but the earliest are covered.
+   range-partitioned by leading bytes, with splitters that Spark samples; each bucket sorts its windows by multikey
+   quicksort on characters of 8 bytes: one character at a time, going on only within groups still tied. What is tied
+   over WINDOW bytes is equal; all but the earliest are covered. Equal leading grams stay together.
+   A lead with more than HELD units is not held but cut: its windows are suffixes of their own, range-partitioned by
+   all their bytes and place, sorted by Spark and compared with their neighbours, at last across the boundaries
+   between buckets, so a class of equal windows may span many tasks.
 3. Covered intervals meet their documents and are cut out.
 
-A group of copies collapses in step 1 to its first units; what step 2 holds of one gram is its
-units that differ (some 200 bytes each), and it sorts their windows by offset, a bounded number at a time.
+A group of copies collapses in step 1 to its first units; a task of step 2 holds a bounded number of units.
 
 Defined cases: null text is empty; texts under WINDOW bytes lose nothing; rows of equal
 doc_id and equal text are one document and each is returned with its result; rows of equal
@@ -31,14 +33,16 @@ doc_ids come first; an empty table gives an empty table; further columns are ign
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import ROW, numbered, rows_of, store, whole_text
+from folioflow.llm.common import ROW, numbered, release, rows_of, store, whole_text
 
 WINDOW = 100
 GRAM = 32
@@ -48,6 +52,12 @@ AT_ONCE = 1 << 22
 #: Windows that are sorted at once, and units that are gathered for that.
 SORTED = 1 << 20
 GATHERED = 1 << 14
+#: Units of one lead that a task holds, at most.
+HELD = 20_000
+#: One in so many documents tells which grams are frequent; a gram is if it has this share of their units.
+SAMPLED = 64
+SHARE = 1 / 2_000
+LEAST_HOT = 64
 
 _POSITION = np.uint64((1 << 30) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -163,40 +173,43 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(unit.view(np.int64)), pa.array(keys[members[segment]]), pa.array(place)], schema=_UNIT)
 
 
-_JUDGED = pa.schema([("covered", pa.bool_()), ("gram", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
+#: What step 1 finds: a first unit whose gram has others, a covered unit, and the first of a part of a frequent gram.
+CANDIDATE, COVERED, PART = 0, 1, 2
+_JUDGED = pa.schema([("state", pa.int8()), ("gram", pa.int64()), ("unit", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units sorted by (gram, unit, key, place): those covered, and first ones whose gram has others."""
+    """Units (gram, salt, unit, key, place) in order to their state; salt is -1 but for frequent grams."""
 
-    def out(covered: bool, gram: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), covered)), pa.array(gram), pa.array(key), pa.array(place)], schema=_JUDGED)
+    def out(state: int, gram: np.ndarray, unit: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), state, dtype=np.int8)), pa.array(gram), pa.array(unit), pa.array(key), pa.array(place)], schema=_JUDGED)
 
-    last = None  # gram and unit of the row before
-    held = None  # the first unit met last: gram, key, place, and whether its gram had another before
+    last = None  # gram, salt and unit of the row before
+    held = None  # the first unit met last (gram, unit, key, place), and whether its gram had another before
     for batch in batches:
         if not batch.num_rows:
             continue
-        gram, unit, key, place = (c.to_numpy() for c in batch.columns)
+        gram, salt, unit, key, place = (c.to_numpy() for c in batch.columns)
         again = np.zeros(len(gram), dtype=bool)
-        again[1:] = (gram[1:] == gram[:-1]) & (unit[1:] == unit[:-1])
-        again[0] = last is not None and last == (gram[0], unit[0])
-        last = (gram[-1], unit[-1])
-        if again.any():
-            yield out(True, gram[again], key[again], place[again])
-        g, k, p = (x[~again] for x in (gram, key, place))
-        if not len(g):
+        again[1:] = (gram[1:] == gram[:-1]) & (salt[1:] == salt[:-1]) & (unit[1:] == unit[:-1])
+        again[0] = last is not None and last == (gram[0], salt[0], unit[0])
+        last = (gram[-1], salt[-1], unit[-1])
+        for state, at in ((COVERED, again), (PART, ~again & (salt >= 0))):
+            if at.any():
+                yield out(state, gram[at], unit[at], key[at], place[at])
+        single = ~again & (salt < 0)
+        rows = [x[single] for x in (gram, unit, key, place)]
+        if not len(rows[0]):
             continue
         if held is not None:
-            g, k, p = np.concatenate(([held[0]], g)), np.concatenate(([held[1]], k)), np.concatenate(([held[2]], p))
-        same = g[1:] == g[:-1]
-        other = np.concatenate(([held is not None and held[3]], same)) | np.concatenate((same, [False]))
-        held = (g[-1], k[-1], p[-1], bool(other[-1]))
-        if other[:-1].any():
-            at = other[:-1]
-            yield out(False, g[:-1][at], k[:-1][at], p[:-1][at])
-    if held is not None and held[3]:
-        yield out(False, *(np.array([x], dtype=np.int64) for x in held[:3]))
+            rows = [np.concatenate(([h], x)) for h, x in zip(held[0], rows, strict=True)]
+        same = rows[0][1:] == rows[0][:-1]
+        other = np.concatenate(([held is not None and held[1]], same)) | np.concatenate((same, [False]))
+        held = ([x[-1] for x in rows], bool(other[-1]))
+        if (at := other[:-1]).any():
+            yield out(CANDIDATE, *(x[:-1][at] for x in rows))
+    if held is not None and held[1]:
+        yield out(CANDIDATE, *(np.array([x], dtype=np.int64) for x in held[0]))
 
 
 _SUFFIX = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("key", pa.int64()), ("place", pa.int64())])
@@ -296,6 +309,55 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from meet(held)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units (content, key, place) to a row for each of their windows."""
+    for batch in rows_of(batches):
+        out = {"window": [], "key": [], "start": []}
+        for content, key, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range((place & 255) + 1):
+                out["window"].append(content[k : k + WINDOW])
+                out["key"].append(key)
+                out["start"].append((place >> 16) + k)
+        yield pa.RecordBatch.from_arrays([pa.array(out["window"], pa.binary()), pa.array(out["key"], pa.int64()), pa.array(out["start"], pa.int64())], list(out))
+
+
+_ADJACENT = pa.schema([("bucket", pa.int32()), ("first", pa.binary()), ("last", pa.binary()), ("key", pa.int64()), ("start", pa.int64())])
+
+
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows in order: those equal to the one before; at the end the bucket's first row with its first and last window."""
+    bucket, first, last = TaskContext.get().partitionId(), None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        windows = batch.column(0).to_pylist()
+        first = first or (windows[0], batch.column(1)[0].as_py(), batch.column(2)[0].as_py())
+        same = pa.array([a == b for a, b in zip([last, *windows[:-1]], windows, strict=True)], pa.bool_())
+        last, hit = windows[-1], batch.filter(same)
+        if hit.num_rows:
+            nothing = pa.nulls(hit.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(hit.num_rows, pa.int32()), nothing, nothing, hit.column(1), hit.column(2)], schema=_ADJACENT)
+    if first:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, first[0], last, *first[1:]), _ADJACENT.types, strict=True)], schema=_ADJACENT)
+
+
+def _hot(suffixes: DataFrame, leads: DataFrame) -> DataFrame:
+    """(key, start, end): windows of units with the given leads that are equal to an earlier one's."""
+    spark = suffixes.sparkSession
+    rows = suffixes.join(leads, "lead", "left_semi").select("content", "key", "place").mapInArrow(_windows, "window binary, key long, start long")
+    rows = store(rows, "suffix-windows")  # the splitters are sampled from it
+    buckets = rows.repartitionByRange("window", "key", "start").sortWithinPartitions("window", "key", "start")
+    found = store(buckets.mapInArrow(_adjacent, "bucket int, first binary, last binary, key long, start long"), "suffix-adjacent")
+    release(rows)
+    edges, before = [], None  # a row for each bucket
+    for r in found.where("bucket is not null").orderBy("bucket").collect():
+        if r["first"] == before:
+            edges.append((r["key"], r["start"]))
+        before = r["last"]
+    hits = found.where("bucket is null").select("key", "start").unionByName(spark.createDataFrame(edges, "key long, start long"))
+    return hits.select("key", "start", (F.col("start") + WINDOW).alias("end"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans joined where they overlap or touch."""
     out: list[tuple[int, int]] = []
@@ -335,18 +397,44 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("key", "r.doc_id", "text")
 
 
+def frequent(units: DataFrame) -> list[tuple[int, int]]:
+    """(gram, parts) of the grams that have SHARE of the units or more: at most 1 / SHARE rows."""
+    counts = store(units.groupBy("gram").count(), "suffix-grams")
+    least = max(LEAST_HOT, (counts.agg(F.sum("count")).first()[0] or 0) * SHARE)
+    found = [(r["gram"], math.ceil(r["count"] / least)) for r in counts.where(F.col("count") > least).collect()]
+    release(counts)
+    return found
+
+
 def spans(rows: DataFrame) -> DataFrame:
     """(key, start, end): covered spans of documents (key, text); they may overlap."""
-    found = rows.select("key", "text").mapInArrow(_units, "gram long, unit long, key long, place long")
-    found = found.repartition("gram").sortWithinPartitions("gram", "unit", "key", "place")
-    found = store(found.mapInArrow(_judge, "covered boolean, gram long, key long, place long"), "suffix-units")
+    spark, unit_columns = rows.sparkSession, "gram long, unit long, key long, place long"
+    rows = rows.select("key", "text")
+    hot = frequent(rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0).mapInArrow(_units, unit_columns))
+    found = rows.mapInArrow(_units, unit_columns)
+    if hot:
+        parts = F.broadcast(spark.createDataFrame(hot, "gram long, parts int"))
+        found = found.join(parts, "gram", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "place"), "parts").cast("int"), F.lit(-1)))
+    else:
+        found = found.withColumn("salt", F.lit(-1))
+    found = found.select("gram", "salt", "unit", "key", "place").repartition("gram", "salt").sortWithinPartitions("gram", "salt", "unit", "key", "place")
+    found = store(found.mapInArrow(_judge, "state byte, gram long, unit long, key long, place long"), "suffix-units")
+    states = found.select("state", "key", "place")
+    if hot:  # the first units of the parts meet: a row for each part and unit
+        firsts = found.where(F.col("state") == PART).withColumn("n", F.row_number().over(Window.partitionBy("gram", "unit").orderBy("key", "place")))
+        firsts = firsts.select(F.when(F.col("n") > 1, COVERED).otherwise(CANDIDATE).cast("byte").alias("state"), "key", "place")
+        states = states.where(F.col("state") != PART).unionByName(firsts)
     first, more = F.shiftright("place", 16), F.col("place").bitwiseAND(255)
-    whole = found.where("covered").select("key", first.alias("start"), (first + more + WINDOW).alias("end"))
-    rest = found.where("not covered").groupBy("key").agg(F.collect_set("place").alias("places"))
-    suffixes = rest.join(rows.select("key", "text"), "key").select("key", "places", "text").mapInArrow(_suffixes, "lead binary, content binary, key long, place long")
+    whole = states.where(F.col("state") == COVERED).select("key", first.alias("start"), (first + more + WINDOW).alias("end"))
+    rest = states.where(F.col("state") == CANDIDATE).groupBy("key").agg(F.collect_set("place").alias("places"))
+    suffixes = rest.join(rows, "key").select("key", "places", "text").mapInArrow(_suffixes, "lead binary, content binary, key long, place long")
     suffixes = store(suffixes, "suffixes")  # the splitters are sampled from it
-    buckets = suffixes.repartitionByRange("lead").sortWithinPartitions("lead")
-    return whole.unionByName(buckets.mapInArrow(_sorted, "key long, start long, end long"))
+    leads = store(suffixes.groupBy("lead").count().where(F.col("count") > HELD).select("lead"), "suffix-leads")
+    many = not leads.isEmpty()
+    held = suffixes.join(leads, "lead", "left_anti") if many else suffixes
+    buckets = held.repartitionByRange("lead").sortWithinPartitions("lead")
+    out = whole.unionByName(buckets.mapInArrow(_sorted, "key long, start long, end long"))
+    return out.unionByName(_hot(suffixes, leads)) if many else out
 
 
 def _joined(docs: DataFrame) -> DataFrame:

@@ -237,6 +237,17 @@ def test_suffix_dedup_matches_plain_version(spark, edge):
         assert got == want
 
 
+def test_frequent_grams_and_leads_are_cut(monkeypatch, spark):
+    for name, value in (("HELD", 3), ("SAMPLED", 1), ("LEAST_HOT", 2), ("SHARE", 1e-6)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    line = "this line is very frequent, shorter than a window and stands between other words; "
+    long = prose(77, 30)
+    texts = [prose(k, 12) + line + prose(100 + k % 7, 12) + (long if k % 3 else "") for k in range(60)] + [line * 5, line * 5, "ab" * 300]
+    docs = table(spark, texts)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == plain_dedup(list(enumerate(texts)))
+
+
 def test_suffix_dedup_repeated_and_null_keys(spark):
     text = prose(3, 60)
     rows = [(1, text), (1, text), (None, text), (2, "x" + text), (2, prose(4, 60))]
