@@ -3,7 +3,8 @@
 A sentence (eight words or more; shorter ones join the next) has a logit: a bias plus a weight for each of its words; a word's weight is the sum
 over its own hash and its character n-grams. A document's score is the noisy-or of its
 sentences: 1 - prod(1 - p). Training minimises the cross-entropy of document labels through
-that noisy-or, so the sentences that explain a label earn it, and :func:`sentences` names them.
+that noisy-or, so the sentences that explain a label earn it; :func:`score` names the likeliest one and
+:func:`sentences` all that reach a threshold. Only features that tell the classes apart are learned (:func:`telling`).
 
 Scoring reads each whole text once and no column but the text. The model is a fixed table of
 2**BUCKET_BITS weights whatever the input.
@@ -19,7 +20,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,12 @@ NGRAMS = (5,)
 SAMPLE = 8_000
 #: Longest text that is learned from (scoring has no limit).
 SAMPLE_CHARS = 30_000
+#: A feature is learned if it is in so many documents and its shares of the classes differ by so many standard deviations.
+LEAST_DOCUMENTS = 3
+DEVIATIONS = 4.0
 ROUNDS = 150
 RATE = 0.08
-L2 = 5e-4
+L2 = 5e-5
 THRESHOLD = 0.3
 #: Words whose weights a worker remembers before it starts anew.
 REMEMBERED = 500_000
@@ -70,31 +74,60 @@ def instances(text: str) -> list[tuple[list[str], str]]:
     return out
 
 
+class Known(dict):
+    """Word -> weight, worked out when it is first met; emptied when it holds REMEMBERED words."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        w = self[word] = float(self.weights[features(word.lower())].sum())
+        return w
+
+
 @dataclass
 class Model:
     bias: float
     weights: np.ndarray
-    known: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.known = Known(self.weights)
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "known": {}}
+        return self.bias, self.weights
 
-    def weight(self, word: str) -> float:
-        if (w := self.known.get(word)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            w = self.known[word] = float(self.weights[features(word.lower())].sum())
-        return w
+    def __setstate__(self, state):
+        self.bias, self.weights = state
+        self.known = Known(self.weights)
 
     def logits(self, text: str) -> list[float]:
-        """A logit for each sentence that has letters."""
-        known, weight = self.known.get, self.weight
-        return [self.bias + sum([x if (x := known(w)) is not None else weight(w) for w in words]) for words, _ in instances(text)]
+        """A logit for each of :func:`instances`."""
+        out, words_of, weight = [], WORDS.findall, self.known.__getitem__
+        z, n = 0.0, 0
+        for part in SENTENCE.split(text):
+            words = words_of(part)
+            z += sum(map(weight, words))
+            n += len(words)
+            if n >= LEAST_WORDS:
+                out.append(self.bias + z)
+                z, n = 0.0, 0
+        if n and out:
+            out[-1] += z
+        elif n:
+            out.append(self.bias + z)
+        return out
 
     def score(self, text: str) -> float:
         """Noisy-or of the sentences, from the sum of log(1 - p)."""
-        clean = sum(-math.log1p(math.exp(min(z, 30.0))) for z in self.logits(text))
-        return min(1.0, max(0.0, -math.expm1(clean)))
+        return noisy_or(self.logits(text))
+
+
+def noisy_or(logits: list[float]) -> float:
+    clean = sum(-math.log1p(math.exp(min(z, 30.0))) for z in logits)
+    return min(1.0, max(0.0, -math.expm1(clean)))
 
 
 def _table(texts: list[str]):
@@ -114,6 +147,32 @@ def _table(texts: list[str]):
     return (*(np.array(x, dtype=np.int64) for x in (word_of, sentence_of, document_of, bucket_of, owner_of)), len(ids))
 
 
+def telling(word: np.ndarray, document: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n_words: int, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which buckets tell the classes apart: their documents are LEAST_DOCUMENTS or more and their shares differ by DEVIATIONS.
+
+    What only a document or two have explains their labels and nobody else's; left in, it takes the place of what the
+    toxic documents have in common, and with few labels that is most of the words.
+    """
+    size = 1 << BUCKET_BITS
+    # distinct (document, word), then distinct (document, bucket)
+    met = np.unique(document * np.int64(n_words) + word)
+    by_word = np.argsort(owner, kind="stable")
+    counts = np.bincount(owner, minlength=n_words)
+    starts = np.cumsum(counts) - counts
+    own_word, own_document = met % n_words, met // n_words
+    times = counts[own_word]
+    at = np.repeat(starts[own_word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    met = np.unique(np.repeat(own_document, times) * np.int64(size) + bucket[by_word][at])
+    in_bucket, by = met % size, met // size
+    n_documents = np.bincount(in_bucket, minlength=size)
+    toxic, clean = (np.bincount(in_bucket[y[by] == k], minlength=size) for k in (1, 0))
+    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+    p1, p0 = toxic / n1, clean / n0
+    mean = (toxic + clean + 0.5) / (n1 + n0 + 1)
+    z = (p1 - p0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
+    return (n_documents >= LEAST_DOCUMENTS) & (np.abs(z) >= DEVIATIONS)
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, l2: float = L2, weights: list[float] | None = None) -> Model:
     """Gradient descent (Adam) on the documents' cross-entropy through noisy-or; a document counts by its weight."""
     y = np.array(labels, dtype=float)
@@ -124,6 +183,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float =
         return Model(-50.0, np.zeros(size))
     word, sentence, document, bucket, owner, n_words = _table(texts)
     n = len(document)
+    kept = telling(word, document[sentence], bucket, owner, n_words, y, share)[bucket]
+    bucket, owner = bucket[kept], owner[kept]
+    live = np.zeros(n_words, dtype=bool)
+    live[owner] = True
+    word, sentence = word[live[word]], sentence[live[word]]
     theta, bias = np.zeros(size), math.log(max(float(share @ y), 1e-6)) - math.log(max(1.0, n / len(texts)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -166,16 +230,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], weights=[weigh[r["toxic"]] for r in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score): the noisy-or score of every whole text."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, score, worst, worst_p, sentence): the noisy-or score of every whole text, and its likeliest sentence.
+
+    worst is that sentence's number (the first of equals), worst_p its own probability, null without sentences;
+    sentence is its text where the score reaches the threshold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            scores = [model.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            out = []
+            for text in batch.column(1).to_pylist():
+                z = model.logits(text)
+                s, at = noisy_or(z), z.index(max(z)) if z else None
+                out.append((s, at, 1 / (1 + math.exp(-min(max(z[at], -30.0), 30.0))) if z else None, instances(text)[at][1].strip() if z and s >= threshold else None))
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.float64(), pa.string()), strict=True))], ["doc_id", "score", "worst", "worst_p", "sentence"])
 
     rows = docs.select("doc_id", whole_text().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, worst int, worst_p double, sentence string")
 
 
 def sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

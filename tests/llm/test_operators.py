@@ -351,11 +351,50 @@ def test_toxicity_learns_and_locates(spark):
     right = sum((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] >= 160) for r in rows)
     assert right >= 210 and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.keep_clean(docs, model).count() == sum(r["score"] < toxicity.THRESHOLD for r in rows)
+    assert all("moron" in r["sentence"] if r["score"] >= toxicity.THRESHOLD else r["sentence"] is None for r in rows if r["doc_id"] >= 160)
     found = toxicity.sentences(docs, model).collect()
     assert found and sum("moron" in r["text"] for r in found) >= 0.9 * len(found)
     assert toxicity.Model(-1.0, np.zeros(1 << toxicity.BUCKET_BITS)).score("") == 0.0
 
 
+def test_toxicity_equals_a_plain_noisy_or(spark):
+    draw = np.random.default_rng(4)
+    model = toxicity.Model(-3.0, draw.normal(0, 0.4, 1 << toxicity.BUCKET_BITS))
+    texts = ["Alpha beta! gamma", "One two three four five six seven eight. Nine ten\neleven", None, "", "...", "a b c d e f g h. i j k l m n o p! q", "ONE " * 50, "dirty; " * 9 + "? " + prose(1, 500)]
+    table_ = spark.createDataFrame([(k if k else None, t, "x", 5) for k, t in enumerate([*texts, texts[1]])], "doc_id long, text string, score string, worst int")
+    got = [(r["doc_id"], r["score"], r["worst"], r["worst_p"]) for r in toxicity.score(table_.coalesce(1), model).collect()]
+    for (k, t), (d, score, worst, p) in zip(enumerate([*texts, texts[1]]), got, strict=True):
+        groups, own = [], []
+        for part in re.split(r"[.!?\n]+", t or ""):
+            own += re.findall(r"[^\W\d_]+", part)
+            if len(own) >= 8:
+                groups, own = [*groups, own], []
+        if own and groups:
+            groups[-1] += own
+        elif own:
+            groups = [own]
+        ps = [1 / (1 + np.exp(3.0 - sum(model.weights[toxicity.features(w.lower())].sum() for w in g))) for g in groups]
+        assert d == (k or None) and abs(score - (1 - np.prod([1 - x for x in ps]))) < 1e-9
+        assert (worst, p) == (None, None) if not ps else abs(p - max(ps)) < 1e-9 and abs(ps[worst] - max(ps)) < 1e-9
+    assert toxicity.score(table_.limit(0), model).count() == 0
+    labels = spark.createDataFrame([(1, 1), (1, None), (None, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.score(table_, toxicity.train(table_, labels)).count() == 9
+    assert {r["score"] for r in toxicity.score(table_, toxicity.train(table_, labels.limit(0))).collect()} <= {0.0} | {r["score"] for r in toxicity.score(table_, toxicity.Model(-50.0, np.zeros(1 << toxicity.BUCKET_BITS))).collect()}
+
+
+def test_learning_follows_the_slope_of_the_noisy_or():
+    """The cross-entropy of documents under the fitted model is less than any nearby model's along the bias."""
+    texts = [("ugly " if k % 4 == 0 else "") + f"{prose(k, 12)}. {prose(k + 50, 12)}" for k in range(80)]
+    labels = [int(k % 4 == 0) for k in range(80)]
+    model = toxicity.fit(texts, labels, rounds=600)
+
+    def loss(shift):
+        p = np.clip([toxicity.Model(model.bias + shift, model.weights).score(t) for t in texts], 1e-9, 1 - 1e-9)
+        return -np.mean(np.where(np.array(labels) == 1, np.log(p), np.log(1 - p)))
+
+    assert loss(0) < loss(0.7) and loss(0) < loss(-0.7) and loss(0) < 0.2
+
+
 def test_toxicity_scores_do_not_depend_on_how_much_is_sampled(spark):
     docs = table(spark, [prose(3, 12)] * 400)  # texts that tell nothing: the score is the share of toxic labels
     marks = [(k, int(k % 10 == 0)) for k in range(400)]
