@@ -1,16 +1,20 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of every text is a possible header. Lines and templates are sparse vectors of terms,
-weighted by count times inverse template frequency (a term that no template has weighs most,
-common words nothing).
-A line whose cosine to a template reaches THRESHOLD declares its license; a file's own license
-is its best line's. A file of which at least half of the terms stand in such lines is a licence
-file: it covers its directory and what is below. A file without an own license takes that of the
-nearest directory above it that holds a licence file (the best scored one, then the first path).
-
-Only DataFrame functions run. A line can reach the threshold only if it has one of a few
-KEY terms (the rest of each template weighs too little, which is checked when the table is
-built), so one pass over the texts leaves the lines that have one; terms are counted on those.
+Templates are whole licence texts (the files of a folder) and the statements by which works name their licenses. What is
+compared with them are three kinds of units of every file, each a sparse vector of terms, weighted by count times inverse
+document frequency among the files scanned: the whole file, its paragraphs of several lines (wrapped
+headers), and the sentences of its lines. A unit whose cosine to a template reaches THRESHOLD declares that license;
+a file's own license is its own as a whole, else its best unit's. A file of which at least half of the terms stand in declaring units of
+one kind is a licence file, as is one that is like a licence text as a whole: it covers its directory and what is
+below. A file without an own license takes that of the nearest directory above it that holds a licence
+file (the best scored one, then the first path).
+
+A term's weight is ln(1 + files / (1 + files that have it)); one that no template has weighs as if the square root of all
+files had it: names and years in a header must count, but not more than what it says.
+
+Only DataFrame functions run. The driver holds a number for each term of the templates, a fixed set. A unit can reach the
+threshold only if it has one of a few KEY terms (the rest of each template weighs too little, which is worked
+out from the weights), a whole file only if it has several, so one pass over the texts leaves the units that can.
 
 Defined cases: null and empty texts declare nothing but inherit; a null path has no directory
 and inherits nothing; ties go to the template listed first; repeated rows are separate files;
@@ -20,32 +24,56 @@ an empty table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import store
+from folioflow.llm.common import release, store
 
 THRESHOLD = 0.75
+#: What the terms beside the keys of whole files weigh, at most: the less, the more keys a file must have.
+REST = 0.5
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+PARAGRAPH = r"\n(?:[ \t\r]*\n)+"
+SENTENCE = r"[.;!?]+(?:\s+|$)"
+#: Units of a file.
+FILE, BLOCK, LINE = 0, 1, 2
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "templates")
 
-# Words too common to tell licenses apart; they weigh nothing.
-COMMON = {"a", "all", "and", "any", "are", "by", "for", "free", "in", "into", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without", "work"}
-
-# The statements by which works name their licenses.
-TEMPLATES = [
+# The statements by which works name their licenses, and the headers that licences propose.
+STATEMENTS = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
     ("MPL-2.0", "This work is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -59,73 +87,109 @@ def terms(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
 
+def templates(folder: str = TEXTS) -> list[tuple[str, str]]:
+    """(license, text): the statements, then the whole texts of a folder, named for their licenses."""
+    out = list(STATEMENTS)
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            out.append((name.removesuffix(".txt"), f.read()))
+    return out
+
+
 class Index:
-    """The templates as sparse vectors of unit length, and the key terms."""
-
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD):
-        counts = [Counter(terms(t)) for _, t in templates]
-        n = len(templates)
-        held = Counter(t for c in counts for t in c)
-        self.names = [name for name, _ in templates]
-        self.threshold = threshold
-        self.unknown = math.log(1 + n) + 1
-        self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in held.items() if t not in COMMON} | dict.fromkeys(sorted(COMMON), 0.0)
+    """The templates as sparse vectors of unit length, weighted for a set of files, and the key terms."""
+
+    def __init__(self, counts: list[Counter], files: int, having: dict[str, int], threshold: float = THRESHOLD):
+        self.threshold, self.unknown = threshold, math.log(1 + math.sqrt(files))
+        self.idf = {t: math.log(1 + files / (1 + having.get(t, 0))) for t in sorted({t for c in counts for t in c})}
         self.vectors = []
         for c in counts:
-            norm = math.sqrt(sum((k * self.idf[t]) ** 2 for t, k in c.items()))
-            self.vectors.append({t: k * self.idf[t] / norm for t, k in c.items() if self.idf[t]})
+            norm = math.sqrt(sum((k * self.idf[t]) ** 2 for t, k in sorted(c.items())))
+            self.vectors.append({t: k * self.idf[t] / norm for t, k in c.items()} if norm else {})
         self.keys = self._keys(threshold)
+        self.file_keys = self._keys(REST)
+        self.needed = min((self._needed(v) for v in self.vectors if v), default=1)
 
-    def _keys(self, threshold: float) -> list[str]:
-        """Terms without which no line reaches the threshold: a line that lacks them has at most the cosine of the rest."""
+    def _keys(self, rest: float) -> list[str]:
+        """Terms beside which each template's others weigh less than ``rest``: without them that is the most its cosine can be."""
         keys: set[str] = set()
-
-        def rest(v: dict[str, float]) -> float:
-            return math.sqrt(sum(w * w for t, w in v.items() if t not in keys))
-
-        while lacking := [v for v in self.vectors if rest(v) >= threshold - 1e-9]:
+        left = [sum(w * w for w in v.values()) for v in self.vectors]
+        while lacking := [k for k, x in enumerate(left) if x >= rest * rest - 1e-9]:
             gain = Counter()
-            for v in lacking:
-                for t, w in v.items():
-                    if t not in keys and t not in COMMON:
+            for k in lacking:
+                for t, w in self.vectors[k].items():
+                    if t not in keys:
                         gain[t] += w * w
-            keys.add(max(sorted(gain), key=gain.__getitem__))
+            best = max(sorted(gain), key=gain.__getitem__)
+            keys.add(best)
+            left = [x - self.vectors[k].get(best, 0.0) ** 2 for k, x in enumerate(left)]
         return sorted(keys)
 
+    def _needed(self, v: dict[str, float]) -> int:
+        """Distinct file keys without which no file reaches the threshold for a template."""
+        keys = set(self.file_keys)
+        short = self.threshold**2 - 1e-9 - sum(w * w for t, w in v.items() if t not in keys)
+        n = 0
+        for w in sorted((w * w for t, w in v.items() if t in keys), reverse=True):
+            if short <= 0:
+                break
+            short, n = short - w, n + 1
+        return max(1, n)
+
 
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
 
 
-def scan(files: DataFrame, index: Index | None = None, path: str = "path", text: str = "text", key: str = "doc_id") -> DataFrame:
+def indexed(files: DataFrame, made: list[tuple[str, str]], text: str = "text", threshold: float = THRESHOLD) -> Index:
+    """The templates weighted by the number of files that have each of their terms, counted over all files."""
+    counts = [Counter(terms(t)) for _, t in made]
+    known = files.sparkSession.createDataFrame([(t,) for t in sorted({t for c in counts for t in c})], "term string")
+    met = files.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")).join(F.broadcast(known), "term")
+    having = {r["term"]: r["count"] for r in met.groupBy("term").count().collect()}  # terms of the templates
+    return Index(counts, files.count(), having, threshold)
+
+
+def scan(files: DataFrame, made: list[tuple[str, str]] | None = None, path: str = "path", text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, path, own_license, own_score, license_file, license, licensed_by, distance) of every file.
 
     licensed_by is the file's own path, or the directory that it inherits from, distance
     directories above (0: its own).
     """
-    index = index or Index()
-    spark = files.sparkSession
+    made = made or templates()
+    index, spark = indexed(files, made, text, threshold), files.sparkSession
+    names, n = [name for name, _ in made], len(made)
     keyed = rf"(?:^|[^a-z0-9])(?:{'|'.join(map(re.escape, index.keys))})(?![a-z0-9])"
-    own = F.coalesce(F.col(text), F.lit(""))
+    has_key = lambda x: F.lower(x).rlike(keyed)
+    literal = lambda values: F.array(*(F.lit(x) for x in values))
+    unit = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+    none = F.array().cast("array<struct<kind:int,text:string>>")
+
+    # one pass over the texts: their units that may declare something, and the number of their terms
     folder = F.regexp_replace(F.col(path), "/[^/]*$", "")
-    # one pass over the texts: their lines that may declare something, and the number of their terms
-    lines = F.when(F.lower(own).rlike(keyed), F.filter(F.split(own, "\n"), lambda x: F.lower(x).rlike(keyed))).otherwise(F.array().cast("array<string>"))
-    rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(path).alias("path"), F.when(F.col(path).contains("/"), folder).alias("folder"), own.alias("text")).withColumn("lines", F.when(F.length("text") > 0, lines).otherwise(F.array().cast("array<string>")))
-    rows = store(rows.select("row", "key", "path", "folder", "lines", F.when(F.size("lines") > 0, F.regexp_count(F.lower("text"), F.lit(TERM))).otherwise(0).alias("words")), "licenses")
+    rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(path).alias("path"), F.when(F.col(path).contains("/"), folder).alias("folder"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("terms", F.array_distinct(_terms(F.col("text"))))
+    rows = rows.withColumn("any", F.arrays_overlap("terms", literal(index.keys))).withColumn("many", F.size(F.array_intersect("terms", literal(index.file_keys))) >= index.needed)
+    blocks = F.filter(F.split("text", PARAGRAPH), has_key)
+    sentences = lambda p: F.filter(F.flatten(F.transform(F.split(p, "\n"), lambda x: F.split(x, SENTENCE))), has_key)
+    inner = F.flatten(F.transform(blocks, lambda p: F.concat(F.when(p.contains("\n"), F.array(unit(BLOCK, p))).otherwise(none), F.transform(sentences(p), lambda x: unit(LINE, x)))))
+    units = F.concat(F.when(F.col("any"), inner).otherwise(none), F.when(F.col("many"), F.array(unit(FILE, F.col("text")))).otherwise(none))
+    words = F.when(F.col("any") | F.col("many"), F.regexp_count(F.lower("text"), F.lit(TERM))).otherwise(0)
+    rows = store(rows.select("row", "key", "path", "folder", units.alias("units"), words.alias("words")), "licenses")
 
-    counted = rows.where(F.size("lines") > 0).select("row", "words", F.posexplode("lines").alias("line", "text")).select("row", "words", "line", F.explode(_terms(F.col("text"))).alias("term"))
-    counted = counted.groupBy("row", "words", "line", "term").agg(F.count("*").alias("tf"))
+    counted = rows.where(F.size("units") > 0).select("row", "words", F.posexplode("units").alias("unit", "u")).select("row", "words", "unit", "u.kind", F.explode(_terms(F.col("u.text"))).alias("term"))
+    counted = counted.groupBy("row", "words", "unit", "kind", "term").agg(F.count("*").alias("tf"))
     weights = spark.createDataFrame([(t, idf, [v.get(t, 0.0) for v in index.vectors]) for t, idf in index.idf.items()], "term string, idf double, w array<double>")
     counted = counted.join(F.broadcast(weights), "term", "left")  # the templates' terms: a fixed table
     weight = F.col("tf") * F.coalesce("idf", F.lit(index.unknown))
-    n = len(index.names)
-    sums = counted.groupBy("row", "words", "line").agg(F.sum("tf").alias("terms"), F.sqrt(F.sum(weight * weight)).alias("norm"), *(F.coalesce(F.sum(weight * F.col("w")[k]), F.lit(0.0)).alias(f"d{k}") for k in range(n)))
-    best = F.array_max(F.array(*(F.struct(F.round(F.try_divide(F.col(f"d{k}"), F.col("norm")), 4).alias("score"), F.lit(-k).alias("k")) for k in range(n))))
+    sums = counted.groupBy("row", "words", "unit", "kind").agg(F.sum("tf").alias("terms"), F.sqrt(F.sum(weight * weight)).alias("norm"), *(F.coalesce(F.sum(weight * F.col("w")[k]), F.lit(0.0)).alias(f"d{k}") for k in range(n)))
+    best = F.array_max(F.array(*(F.struct((F.col("kind") == FILE).alias("whole"), F.round(F.try_divide(F.col(f"d{k}"), F.col("norm")), 4).alias("score"), F.lit(-k).alias("k")) for k in range(n))))
     declared = sums.withColumn("best", best).where(F.col("best.score") >= index.threshold)
-    declared = declared.groupBy("row", "words").agg(F.max(F.struct("best.score", "best.k", (-F.col("line")).alias("line"))).alias("best"), F.sum("terms").alias("inside"))
-    names = F.array(*(F.lit(x) for x in index.names))
-    declared = declared.select("row", F.element_at(names, 1 - F.col("best.k")).alias("own_license"), F.col("best.score").alias("own_score"), (2 * F.col("inside") >= F.col("words")).alias("license_file"))
-    found = store(rows.drop("lines", "words").join(declared, "row", "left").withColumn("license_file", F.coalesce("license_file", F.lit(False))), "licenses")
+    declared = declared.groupBy("row", "words", "kind").agg(F.max("best").alias("best"), F.sum("terms").alias("inside"))  # three rows a file at most
+    declared = declared.groupBy("row", "words").agg(F.max("best").alias("best"), F.max("inside").alias("inside"))
+    declared = declared.select("row", F.element_at(literal(names), 1 - F.col("best.k")).alias("own_license"), F.col("best.score").alias("own_score"), (2 * F.col("inside") >= F.col("words")).alias("license_file"))
+    found = store(rows.drop("units", "words").join(declared, "row", "left").withColumn("license_file", F.coalesce("license_file", F.lit(False))), "licenses")
+    release(rows)
 
     # directories: the license of those that hold a licence file, then the nearest at or above each
     covers = found.where(F.col("license_file") & F.col("folder").isNotNull()).groupBy("folder").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("c")).select(F.col("folder").alias("above"), F.col("c.own_license").alias("license"))
@@ -155,30 +219,39 @@ def document_path(source: str = "source", lang: str = "lang", key: str = "doc_id
     return F.when(d % 8 == 0, F.concat(F.lit("/"), s, name)).when(d % 8 < 4, F.concat(deep, name)).otherwise(F.concat(deep, F.lit("/"), F.floor(d / 64).cast("string"), name))
 
 
-def oracle_sql(index: Index | None = None) -> str:
-    """The same over ``documents`` in DuckDB SQL, without the pass that drops lines by key terms."""
-    index = index or Index()
-    weights = ", ".join(f"('{t}', {k}, CAST({v[t]!r} AS DOUBLE))" for k, v in enumerate(index.vectors) for t in v)
-    idf = ", ".join(f"('{t}', CAST({x!r} AS DOUBLE))" for t, x in index.idf.items())
-    names = ", ".join(f"({k}, '{x}')" for k, x in enumerate(index.names))
-    return f"""
-WITH weights(term, k, w) AS (VALUES {weights}), idf(term, idf) AS (VALUES {idf}), names(k, name) AS (VALUES {names}),
+def oracle_sql(made: list[tuple[str, str]] | None = None) -> str:
+    """The same over ``documents`` in DuckDB SQL, without the pass that drops units by key terms."""
+    made = made or templates()
+    counts = ", ".join(f"({k}, '{t}', {n})" for k, (_, text) in enumerate(made) for t, n in sorted(Counter(terms(text)).items()))
+    names = ", ".join(f"({k}, '{x}')" for k, (x, _) in enumerate(made))
+    return rf"""
+WITH counts(k, term, tf) AS (VALUES {counts}), names(k, name) AS (VALUES {names}),
 d AS (SELECT doc_id, coalesce(text, '') AS text,
     CASE WHEN doc_id % 8 = 0 THEN '/' || coalesce(source, 'none') || '/' || doc_id || '.txt'
          WHEN doc_id % 8 < 4 THEN '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt'
          ELSE '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(floor(doc_id / 64) AS BIGINT) || '/' || doc_id || '.txt' END AS path
     FROM documents),
-f AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, len(regexp_extract_all(lower(text), '{TERM}')) AS words FROM d),
-l AS (SELECT doc_id, generate_subscripts(s, 1) AS line, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM f)),
-t AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM l) GROUP BY ALL),
-v AS (SELECT doc_id, line, term, tf, tf * coalesce(idf, CAST({index.unknown!r} AS DOUBLE)) AS x FROM t LEFT JOIN idf USING (term)),
-norms AS (SELECT doc_id, line, sum(tf) AS terms, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
-dots AS (SELECT doc_id, line, k, sum(x * w) AS dot FROM v JOIN weights USING (term) GROUP BY ALL),
-lines AS (SELECT doc_id, line, terms, k, round(dot / nullif(norm, 0), 4) AS score FROM dots JOIN norms USING (doc_id, line)
-    QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY round(dot / nullif(norm, 0), 4) DESC NULLS LAST, k) = 1),
-hits AS (SELECT *, sum(terms) OVER (PARTITION BY doc_id) AS inside FROM lines WHERE score >= {index.threshold}),
-own AS (SELECT doc_id, name AS own_license, score AS own_score, inside FROM hits JOIN names USING (k)
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k, line) = 1),
+f AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract_all(lower(text), '{TERM}') AS terms, len(regexp_extract_all(lower(text), '{TERM}')) AS words FROM d),
+n AS (SELECT count(*) AS n FROM f),
+known AS (SELECT DISTINCT term FROM counts),
+having_ AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM f) JOIN known USING (term) GROUP BY term),
+idf AS (SELECT term, ln(1 + n / (1 + coalesce(df, 0))) AS idf FROM known LEFT JOIN having_ USING (term) CROSS JOIN n),
+weights AS (SELECT k, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM counts JOIN idf USING (term)),
+blocks AS (SELECT doc_id, generate_subscripts(s, 1) AS block, unnest(s) AS text FROM (SELECT doc_id, string_split_regex(text, '{PARAGRAPH}') AS s FROM f)),
+lines AS (SELECT doc_id, block, generate_subscripts(s, 1) AS line, unnest(s) AS text FROM (SELECT doc_id, block, string_split(text, chr(10)) AS s FROM blocks)),
+parts AS (SELECT doc_id, block, line, generate_subscripts(s, 1) AS part, unnest(s) AS text FROM (SELECT doc_id, block, line, string_split_regex(text, '{SENTENCE}') AS s FROM lines)),
+units AS (SELECT doc_id, {FILE} AS kind, 0 AS block, 0 AS line, 0 AS part, text FROM f
+    UNION ALL SELECT doc_id, {BLOCK}, block, 0, 0, text FROM blocks WHERE contains(text, chr(10))
+    UNION ALL SELECT doc_id, {LINE}, block, line, part, text FROM parts),
+t AS (SELECT doc_id, kind, block, line, part, term, count(*) AS tf FROM (SELECT doc_id, kind, block, line, part, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM units) GROUP BY ALL),
+v AS (SELECT t.*, tf * coalesce(idf, (SELECT ln(1 + sqrt(n)) FROM n)) AS x FROM t LEFT JOIN idf USING (term)),
+norms AS (SELECT doc_id, kind, block, line, part, sum(tf) AS terms, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
+dots AS (SELECT doc_id, kind, block, line, part, k, sum(x * w) AS dot FROM v JOIN weights USING (term) GROUP BY ALL),
+best AS (SELECT doc_id, kind, terms, k, round(dot / norm, 4) AS score FROM dots JOIN norms USING (doc_id, kind, block, line, part)
+    QUALIFY row_number() OVER (PARTITION BY doc_id, kind, block, line, part ORDER BY round(dot / norm, 4) DESC, k) = 1),
+hits AS (SELECT *, sum(terms) OVER (PARTITION BY doc_id, kind) AS inside FROM best WHERE score >= {THRESHOLD}),
+own AS (SELECT doc_id, name AS own_license, score AS own_score, max(inside) OVER (PARTITION BY doc_id) AS inside FROM hits JOIN names USING (k)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind = {FILE} DESC, score DESC, k) = 1),
 found AS (SELECT f.doc_id, path, folder, own_license, own_score, coalesce(2 * inside >= words, false) AS license_file FROM f LEFT JOIN own USING (doc_id)),
 covers AS (SELECT folder AS above, own_license AS license FROM found WHERE license_file
     QUALIFY row_number() OVER (PARTITION BY folder ORDER BY own_score DESC, path) = 1),

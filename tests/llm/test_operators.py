@@ -521,6 +521,24 @@ def test_licenses_are_found_and_inherited(spark):
     assert got[1]["license_file"] and not got[4]["license_file"]
 
 
+def test_real_licence_files_and_headers(spark):
+    texts = dict(licenses.templates()[len(licenses.STATEMENTS) :])
+    name = lambda t: t.replace("<year>", "2021").replace("<copyright holders>", "Jane Doe and others").replace("<owner>", "Example Inc")
+    rows = [(f"/{k}/LICENSE", name(t), k) for k, t in sorted(texts.items())] + [(f"/{k}/src/a.py", f"import os\n{prose(len(k), 40)}", k) for k in texts]
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    apache = '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0\n'
+    heads = [("# SPDX-License-Identifier: MIT", "MIT"), (gpl, "GPL-3.0"), (apache, "Apache-2.0"), ("# Copyright 2020 Jane Doe. All rights reserved.", "Proprietary"), ("Released under the MIT License, Jane", "MIT")]
+    rows += [(f"/heads/{k}.py", h + "\n\n" + prose(300 + k, 200), want) for k, (h, want) in enumerate(heads)]
+    rows += [(f"/plain/{k}.txt", prose(400 + k, 300) + " the license was renewed under the old law and the software worked", None) for k in range(60)]
+    docs = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for k, (path, _, want) in enumerate(rows):
+        assert got[k]["license"] == want, (path, want, got[k])
+        assert got[k]["license_file"] == path.endswith("LICENSE")
+        if path.endswith("src/a.py"):
+            assert got[k]["distance"] == 1 and got[k]["own_license"] is None
+
+
 # -- every operator on odd and empty tables ------------------------------------------------------------------------------
 
 
