@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    for made in _scratch:
+        made.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Collects the tables that are stored meanwhile, so that they can be released once what they led to is stored."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.remove(made)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what :func:`store` wrote for tables that nothing reads any more: all that used them is stored itself."""
     for df in tables:

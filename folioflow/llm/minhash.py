@@ -8,10 +8,10 @@ signature. The share of equal places estimates the Jaccard similarity of the shi
 Near-duplicates: equal shingle sets collapse to one node, and signatures are cut into BANDS bands of ROWS
 places, which Spark joins. Nodes that share a band form a bucket. Its members meet its first one: those whose
 signatures are not far apart are compared on whole texts, and a link holds only if the exact Jaccard
-similarity of the shingle sets is JACCARD or more. Members that are not linked so are then compared with all
-others of their bucket which links do not reach yet, again where signatures are not far apart. So what a
-bucket's pairs connect is connected, and a bucket of k near copies costs k - 1 comparisons and not k * k.
-Large buckets are dealt to several tasks, each with all of the bucket's unlinked members.
+similarity of the shingle sets is JACCARD or more. Members that links do not join to it so are then held against all others that have the same first one:
+these are dealt to tasks by a bounded number of shingles, whose sorted hashes tell a member's exact overlap with
+all of them at once; no pairs are made but those that link. So what a bucket's pairs connect is connected, and a
+bucket of k near copies costs k - 1 comparisons and not k * k.
 
 Defined cases: null and blank texts have no shingle; their signature is that of the empty set
 (all 0xffff), alike only to each other; equal texts have equal fingerprints; a document is
@@ -41,9 +41,9 @@ BANDS, ROWS = 25, 5
 JACCARD = 0.8
 #: A pair whose likeness is this much below the similarity sought is over four standard deviations off.
 MARGIN = 0.15
-#: Texts that are compared with one in a task, and members of a bucket whose signatures a task holds, about.
+#: Texts that are compared with one in a task, and shingles of texts that a task holds, about.
 PART_ROWS = 2_000
-HELD_ROWS = 50_000
+PART_SHINGLES = 2_000_000
 #: Rows (two or three integers each) up to which a table is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
 SEED = 20_240_501
@@ -174,10 +174,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, key, further columns) to (key, further columns, kind, sig)."""
+    """Rows (text, key, further columns) to (key, further columns, kind, size, sig)."""
     for batch in rows_of(batches):
         sets = [np.unique(shingle_hashes(t)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([kind_of(x) for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], [*batch.schema.names[1:], "kind", "sig"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([kind_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], [*batch.schema.names[1:], "kind", "size", "sig"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -236,39 +236,60 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, close boolean")
 
 
-def _near(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, part, asks, node, root, sig) in order, askers first: pairs (a, b) of different roots to compare."""
-
-    def meet(asked: list[tuple], held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not asked or not held:
-            return
-        node, root = (np.array([h[k] for h in held]) for k in range(2))
-        sigs = np.frombuffer(b"".join([h[2] for h in held]), dtype="<u2").reshape(-1, PERMUTATIONS)
-        for own, its, sig in asked:
-            other = np.flatnonzero(root != its)
-            other = node[other[np.count_nonzero(sigs[other] == np.frombuffer(sig, dtype="<u2"), axis=1) >= least * PERMUTATIONS]]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, own)), pa.array(np.maximum(other, own))], ["a", "b"])
-
-    place, asked, held = None, [], []
-    for batch in rows_of(batches, 4_096):
-        for bucket, part, asks, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (bucket, part) != place:
-                yield from meet(asked, held)
-                place, asked, held = (bucket, part), [], []
-            (asked if asks else held).append(rest)
-            if len(held) >= 2 * HELD_ROWS:
-                yield from meet(asked, held)
-                held = []
-    yield from meet(asked, held)
+def _overlaps(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, asks, node, root, kind, text) in order, askers last: links (a, b) of an asker with a member of each other root."""
+    place, held, table = None, [], None
+    for batch in rows_of(batches):
+        out = []
+        for a, part, asks, node, root, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = np.unique(shingle_hashes(text))
+            if kind_of(found) != kind:
+                continue  # another text of the same key
+            if (a, part) != place:
+                place, held, table = (a, part), [], None
+            if not asks:
+                held.append((node, root, found))
+                continue
+            if not held:
+                continue
+            if table is None:
+                sizes = np.array([len(x) for _, _, x in held])
+                hashes, owner = np.concatenate([x for _, _, x in held]), np.repeat(np.arange(len(held)), sizes)
+                order = np.argsort(hashes, kind="stable")
+                table = (hashes[order], owner[order], sizes, *(np.array([h[k] for h in held]) for k in range(2)))
+            hashes, owner, sizes, nodes, roots = table
+            low, high = (np.searchsorted(hashes, found, side=side) for side in ("left", "right"))
+            times = high - low
+            at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            common = np.bincount(owner[at], minlength=len(sizes))
+            hit = np.flatnonzero((common >= least * (sizes + len(found) - common)) & (roots != root))
+            _, one = np.unique(roots[hit], return_index=True)
+            out += [(node, other) for other in nodes[hit[one]].tolist()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+
+def _met(stars: DataFrame, asks: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): verified links of askers (a, node) with the members (a, b) of their stars whose root is another."""
+    near = stars.join(asks.select("a").distinct(), "a", "left_semi").select("a", F.col("b").alias("node")).join(nodes.select("node", "size"), "node")
+    parts = near.groupBy("a").agg(F.greatest(F.ceil(F.sum("size") / PART_SHINGLES), F.ceil(F.count("*") / PART_ROWS)).cast("int").alias("parts"))
+    members = near.join(parts, "a").select("a", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "node")
+    askers = asks.join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node")
+    roles = members.unionByName(askers).join(nodes.select("node", "key", "kind"), "node").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
+    roles = store(roles.select("a", "part", "asks", "node", F.coalesce("root", "node").alias("root"), "kind", "key"), "minhash-askers")
+    met = texts.select("key", "text").join(_bounded(roles), "key").select("a", "part", "asks", "node", "root", "kind", "text")
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part", "asks")
+    out = store(met.mapInArrow(partial(_overlaps, least=least), "a long, b long").distinct(), "minhash-met")
+    release(roles)
+    return out
 
 
 def signed(texts: DataFrame) -> DataFrame:
-    """Stored (key, further columns, kind, sig) of rows (key, text, further columns); kind stands for the shingle set."""
+    """Stored (key, further columns, kind, size, sig) of rows (key, text, further columns); kind stands for the shingle set."""
     rest = [c for c in texts.columns if c not in ("key", "text")]
     rows = texts.select("text", "key", *rest)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return store(rows.mapInArrow(_signed, f"{kinds}, kind binary, sig binary"), "minhash")
+    return store(rows.mapInArrow(_signed, f"{kinds}, kind binary, size long, sig binary"), "minhash")
 
 
 def linked(prints: DataFrame, texts: DataFrame, least: float = JACCARD) -> DataFrame:
@@ -276,37 +297,30 @@ def linked(prints: DataFrame, texts: DataFrame, least: float = JACCARD) -> DataF
 
     ``texts`` has (key, text); a key should stand for one text, and others that share it do no harm.
     """
-    nodes = store(prints.groupBy("kind", "sig").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    nodes = store(prints.groupBy("kind", "size", "sig").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     keys = [F.xxhash64(F.lit(k), F.substring("sig", k * 2 * ROWS + 1, 2 * ROWS)) for k in range(BANDS)]
     bands = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
     firsts = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = store(bands.join(firsts, "bucket").where("node != first"), "minhash-bands")
-    stars = _likely(members.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), nodes, least - MARGIN)
-    stars = store(stars, "minhash-stars")
+    stars = bands.join(firsts, "bucket").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = store(_likely(stars, nodes, least - MARGIN), "minhash-stars")
     tested = _compare(stars.where("close").select("a", "b"), nodes, texts, least)
     links = tested.where("alike").select("a", "b")
     roots = components(links)
-    lost = stars.join(tested, ["a", "b"], "left").where("alike is null or not alike").select(F.col("a").alias("first"), F.col("b").alias("node"))
-    if not lost.isEmpty():
-        # buckets that have a member which is not linked to their first: it asks all others
-        asks = members.join(lost, ["first", "node"]).select("bucket", "node")
-        sizes = members.join(asks.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.ceil(F.count("*") / HELD_ROWS).cast("int").alias("parts"))
-        all_ = members.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "node")
-        asks = asks.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node")
-        met = all_.unionByName(asks).join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").join(nodes.select("node", "sig"), "node")
-        met = met.select("bucket", "part", "asks", "node", F.coalesce("root", "node").alias("root"), "sig").repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.desc("asks"))
-        pairs = store(met.mapInArrow(partial(_near, least=least - MARGIN), "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
-        if not pairs.isEmpty():
-            links = store(links.unionByName(_compare(pairs, nodes, texts, least).where("alike").select("a", "b")), "minhash-links")
-            roots = components(links)
-        release(pairs)
+    # members of a star whose root is not its first's ask all others of the star
+    own = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    asks = stars.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    asks = store(asks.select("a", F.col("b").alias("node")), "minhash-asks")
+    if not asks.isEmpty():
+        links = store(links.unionByName(_met(stars, asks, roots, nodes, texts, least)), "minhash-links")
+        roots = components(links)
+    release(asks)
     out = store(nodes.join(roots, "node", "left").select("kind", F.coalesce("root", "node").alias("root")), "minhash-roots")
-    release(nodes, members, stars, tested)
+    release(nodes, stars, tested)
     return out
 
 
 def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Stored (key, doc_id, kind, sig) of every row, and stored (kind, component_id) of every kind."""
+    """Stored (key, doc_id, kind, size, sig) of every row, and stored (kind, component_id) of every kind."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     prints = signed(rows)
     roots = linked(prints, rows, least)
