@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,45 +133,42 @@ def noisy_or(logits: list[float]) -> float:
 
 def _table(texts: list[str]):
     """Two sparse tables: words of sentences, features of words; and each sentence's document."""
-    ids, word_of, sentence_of, document_of, n = {}, [], [], [], 0
+    ids, n = {}, 0
+    word_of, sentence_of, document_of, bucket_of, owner_of = (array("i") for _ in range(5))
     for d, text in enumerate(texts):
         for words, _ in instances(text.lower()):
-            word_of += [ids.setdefault(w, len(ids)) for w in words]
-            sentence_of += [n] * len(words)
+            word_of.extend([ids.setdefault(w, len(ids)) for w in words])
+            sentence_of.extend([n] * len(words))
             document_of.append(d)
             n += 1
-    bucket_of, owner_of = [], []
     for w, k in ids.items():
         got = features(w)
-        bucket_of += got
-        owner_of += [k] * len(got)
-    return (*(np.array(x, dtype=np.int64) for x in (word_of, sentence_of, document_of, bucket_of, owner_of)), len(ids))
+        bucket_of.extend(got)
+        owner_of.extend([k] * len(got))
+    return (*(np.frombuffer(x, dtype=np.int32) for x in (word_of, sentence_of, document_of, bucket_of, owner_of)), len(ids))
 
 
-def telling(word: np.ndarray, document: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n_words: int, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+def telling(word: np.ndarray, document: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n_words: int, y: np.ndarray) -> np.ndarray:
     """Which buckets tell the classes apart: their documents are LEAST_DOCUMENTS or more and their shares differ by DEVIATIONS.
 
     What only a document or two have explains their labels and nobody else's; left in, it takes the place of what the
-    toxic documents have in common, and with few labels that is most of the words.
+    toxic documents have in common, and with few labels that is most of the words. ``document`` ascends, as does ``owner``.
     """
     size = 1 << BUCKET_BITS
-    # distinct (document, word), then distinct (document, bucket)
-    met = np.unique(document * np.int64(n_words) + word)
-    by_word = np.argsort(owner, kind="stable")
     counts = np.bincount(owner, minlength=n_words)
     starts = np.cumsum(counts) - counts
-    own_word, own_document = met % n_words, met // n_words
-    times = counts[own_word]
-    at = np.repeat(starts[own_word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-    met = np.unique(np.repeat(own_document, times) * np.int64(size) + bucket[by_word][at])
-    in_bucket, by = met % size, met // size
-    n_documents = np.bincount(in_bucket, minlength=size)
-    toxic, clean = (np.bincount(in_bucket[y[by] == k], minlength=size) for k in (1, 0))
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    p1, p0 = toxic / n1, clean / n0
+    having = np.zeros((2, size), dtype=np.int64)
+    bounds = np.searchsorted(document, np.arange(len(y) + 1))
+    for d, label in enumerate(y.astype(int).tolist()):
+        own = np.unique(word[bounds[d] : bounds[d + 1]])
+        times = counts[own]
+        at = np.repeat(starts[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        having[label, np.unique(bucket[at])] += 1
+    n0, n1 = (max(1, int((y == k).sum())) for k in (0, 1))
+    clean, toxic = having
     mean = (toxic + clean + 0.5) / (n1 + n0 + 1)
-    z = (p1 - p0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
-    return (n_documents >= LEAST_DOCUMENTS) & (np.abs(z) >= DEVIATIONS)
+    z = (toxic / n1 - clean / n0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
+    return (toxic + clean >= LEAST_DOCUMENTS) & (np.abs(z) >= DEVIATIONS)
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, l2: float = L2, weights: list[float] | None = None) -> Model:
@@ -183,7 +181,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, rate: float =
         return Model(-50.0, np.zeros(size))
     word, sentence, document, bucket, owner, n_words = _table(texts)
     n = len(document)
-    kept = telling(word, document[sentence], bucket, owner, n_words, y, share)[bucket]
+    kept = telling(word, document[sentence], bucket, owner, n_words, y)[bucket]
     bucket, owner = bucket[kept], owner[kept]
     live = np.zeros(n_words, dtype=bool)
     live[owner] = True
