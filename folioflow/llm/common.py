@@ -82,6 +82,15 @@ def release(*tables: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows (a few integers each) up to which a table is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """A stored table of a few integers a row, to be broadcast if its rows are few enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 #: A number for each row, unlike any column of the tables.
 ROW = "__row"
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import FIRST, Ranges, components, release, rows_of, store, whole_text
+from folioflow.llm.common import FIRST, Ranges, bounded, components, release, rows_of, store, whole_text
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -44,8 +44,6 @@ MARGIN = 0.15
 #: Texts that are compared with one in a task, and shingles of texts that a task holds, about.
 PART_ROWS = 2_000
 PART_SHINGLES = 2_000_000
-#: Rows (two or three integers each) up to which a table is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
 SEED = 20_240_501
 #: Shingles that are hashed at once: PERMUTATIONS x 8 bytes of each.
 AT_ONCE = 256
@@ -204,11 +202,6 @@ def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["alike"], pa.bool_())], list(out))
 
 
-def _bounded(table: DataFrame) -> DataFrame:
-    """A stored table of integers, to be broadcast if its rows are few enough."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def _compare(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b, alike) of stored pairs of nodes, by the whole texts (key, text) that stand for them, which are shuffled once."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
@@ -216,7 +209,7 @@ def _compare(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
     asked = asked.select("a", "part", F.lit(True).alias("member"), "b")
     first = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("a").alias("b"))
     roles = store(asked.unionByName(first).join(nodes.select(F.col("node").alias("b"), "key", "kind"), "b"), "minhash-roles")
-    met = texts.select("key", "text").join(_bounded(roles), "key").select("a", "part", "member", "b", "kind", "text")
+    met = texts.select("key", "text").join(bounded(roles), "key").select("a", "part", "member", "b", "kind", "text")
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", "member")
     tested = store(met.mapInArrow(partial(_compared, least=least), "a long, b long, alike boolean").groupBy("a", "b").agg(F.max("alike").alias("alike")), "minhash-tested")
     release(roles)
@@ -277,7 +270,7 @@ def _met(stars: DataFrame, asks: DataFrame, roots: DataFrame, nodes: DataFrame,
     askers = asks.join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node")
     roles = members.unionByName(askers).join(nodes.select("node", "key", "kind"), "node").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
     roles = store(roles.select("a", "part", "asks", "node", F.coalesce("root", "node").alias("root"), "kind", "key"), "minhash-askers")
-    met = texts.select("key", "text").join(_bounded(roles), "key").select("a", "part", "asks", "node", "root", "kind", "text")
+    met = texts.select("key", "text").join(bounded(roles), "key").select("a", "part", "asks", "node", "root", "kind", "text")
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", "asks")
     out = store(met.mapInArrow(partial(_overlaps, least=least), "a long, b long").distinct(), "minhash-met")
     release(roles)
@@ -341,4 +334,4 @@ def fingerprinted(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     prints, ids = _classes(docs, least)
     release(prints)
     rows = with_next(docs)
-    return rows.join(_bounded(ids.select("kind", "component_id")), "kind").select(*[c for c in rows.columns if c != "kind"], "component_id")
+    return rows.join(bounded(ids.select("kind", "component_id")), "kind").select(*[c for c in rows.columns if c != "kind"], "component_id")

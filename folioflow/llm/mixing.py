@@ -26,13 +26,15 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import ROW, WORD, numbered, store
+from folioflow.llm.common import ROW, WORD, bounded, numbered, store
 
 SEED = 7
 SHARE = Fraction(3, 2)
 LIMIT = 2
 CYCLE = (3, 1, 2)
 RANGE_BITS = 16
+#: Columns unlike any of the tables'.
+TURNS, TURN = "__turns", "__turn"
 #: Times that what is missing of a part is filled with smaller documents.
 FILLS = 4
 
@@ -161,8 +163,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Each row is a document of its own, whatever its doc_id: rows meet by number. Documents without words have nothing to repeat and stay as they are.
     """
     rows = numbered(docs, "mixing-rows")
-    passes = mix(rows, **options).select(ROW, F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("passes")).where("passes > 0")
-    return rows.join(passes, ROW).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    passes = mix(rows, **options).select(ROW, F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias(TURNS)).where(F.col(TURNS) > 0)
+    rows = rows.join(bounded(store(passes, "mixing-passes")), ROW)
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(TURNS))).alias(TURN)).drop(TURN)
 
 
 def _fill(rows: DataFrame, gaps: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import minhash
-from folioflow.llm.common import ROW, components, numbered, release, rows_of, store, whole_text
+from folioflow.llm.common import ROW, bounded, components, numbered, release, rows_of, store, whole_text
 
 SEED = 42
 SHINGLE = 3
@@ -186,6 +186,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     roots = minhash.linked(prints, texts)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     firsts = prints.groupBy("kind").agg(F.min(order).alias("least")).join(roots, "kind")
-    kept = store(firsts.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(ROW)), "simhash-kept")
+    kept = firsts.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
+    gone = store(prints.select("key").join(kept, "key", "left_anti").withColumnRenamed("key", ROW), "simhash-gone")
     release(prints, roots)
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return rows.join(bounded(gone), ROW, "left_anti").select(*docs.columns)

@@ -59,6 +59,9 @@ SAMPLED = 64
 SHARE = 1 / 2_000
 LEAST_HOT = 64
 
+#: A column unlike any of the tables'.
+SPANS = "__spans"
+
 _POSITION = np.uint64((1 << 30) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _BYTE = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -480,7 +483,8 @@ def clean(docs: DataFrame) -> DataFrame:
         keys = docs.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), f"{ROW} long, key long")
         rows = rows.join(store(keys, "suffix-keys").withColumnRenamed("key", "__key"), ROW).drop(ROW).withColumnRenamed("__key", ROW)
     lists = spans(rows.select(F.col(ROW).alias("key"), whole_text().alias("text"))).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(lists.withColumnRenamed("key", ROW), ROW, "left").select(*docs.columns, "spans")
+    lists = lists.select(F.col("key").alias(ROW), F.col("spans").alias(SPANS))
+    joined = rows.join(lists, ROW, "left").select(*docs.columns, SPANS)
     at, n_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

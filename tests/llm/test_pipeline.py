@@ -84,3 +84,31 @@ def test_toxicity_and_packing_of_odd_ids(spark, odd):
     pieces = packing.pack(odd, tokens.default_path()).groupBy("doc_id").agg({"length": "sum"}).collect()
     alone = {d: packing.pack(odd.where(odd["doc_id"].eqNullSafe(d)), tokens.default_path()).agg({"length": "sum"}).first()[0] for d in {d for d, _, _ in odd_rows()}}
     assert {r[0]: r[1] for r in pieces} == alone
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_rows(spark, stage):
+    """Nulls in every column, empty and very long texts, repeated rows, columns whose names the stages use, and no rows."""
+    names = ["key", "spans", "turn", "passes", "size", "row", "queue", "kind", "members", "bucket", "root", "part", "a", "b"]
+    long = " ".join(f"w{x}" for x in np.random.default_rng(9).integers(0, 50_000, 60_000))
+    own = [(1, "x y z"), (1, "x y z"), (None, None), (None, "only here and nowhere else is this said"), (4, ""), (5, long), (6, None), (7, "\u65e5\u672c\u8a9e \u00fc")]
+    rows = [(d, t, None, None if d == 5 else "s", None, *(k for _ in names)) for k, (d, t) in enumerate(own)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    run = dict(corpus_pipeline.STAGES)[stage]
+    sf_dir = "/root/testdata/sf0.001"
+    out, none = run(spark, docs, sf_dir), run(spark, docs.limit(0), sf_dir)
+    assert none.count() == 0
+    if stage == "packing":
+        assert {r["doc_id"] for r in out.collect()} == {d for d, _ in own}
+        return
+    assert out.columns == docs.columns == none.columns
+    got = Counter(r["row"] for r in out.select("row").collect())
+    if stage == "toxicity":
+        assert set(got.values()) == {1} and len(got) >= 7
+    elif stage == "simhash":  # equal texts, and those without words, are copies of each other
+        assert len(got) == 5 and {3, 4, 5, 7} <= set(got) and set(got.values()) == {1}
+    elif stage == "suffix_dedup":
+        assert set(got) == set(range(8)) and set(got.values()) == {1}
+    else:
+        assert {2, 4, 6} <= set(got) and all(got[k] == 1 for k in (2, 4, 6)) and max(got.values()) <= 2
