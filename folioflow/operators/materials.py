@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
@@ -40,3 +40,40 @@ def merge_indexed(pending: DataFrame, indexed: DataFrame) -> DataFrame:
     status = F.when((known == "paused") & (F.col("status") == "indexing"), known).otherwise(F.col("status"))
     rest = pending.join(indexed.select("id").distinct(), "id", "left_anti").join(indexed.select("path").distinct(), "path", "left_anti")
     return rest.select("id", "path", "status", F.lit(True).alias("pending_first")).unionByName(rows.select("id", "path", status.alias("status"), F.lit(False).alias("pending_first")))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """Materials by the text of their last known time, latest first; pos counts from 1."""
+    time = F.coalesce("indexed_at", "added_at", F.col("updated").cast("string"))
+    return rows.withColumn("pos", F.row_number().over(Window.orderBy(time.desc(), "id")))  # a library's few materials
+
+
+def picked(rows: DataFrame, is_folder: Column) -> DataFrame:
+    """What a picked path (id, path) starts as."""
+    name = F.regexp_replace("path", "^.*/", "")
+    return rows.select(
+        "id",
+        F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("title"),
+        F.lit("indexing").alias("status"),
+        F.when(is_folder, "folder").otherwise("document").alias("kind"),
+        F.when(is_folder, "Parsing folder").otherwise("Parsing file").alias("detail"),
+        F.when(is_folder, 0).otherwise(1).alias("files"),
+        F.lit(False).alias("is_active"),
+        F.lit("parsing").alias("phase"),
+        F.lit(1).alias("percent"),
+    )
+
+
+def allowed_pdfs(sources: DataFrame, materials: DataFrame) -> DataFrame:
+    """Sources (path) that are PDF files of a material (kind, path): its own path, or below it where it is a folder."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    keyed = sources.where(F.lower("path").endswith(".pdf")).withColumn("own_path", F.col("path")).withColumn("above", F.explode(above))
+    kept = keyed.join(materials.select(F.col("path").alias("above"), "kind").distinct(), "above").where((F.col("above") == F.col("own_path")) | (F.col("kind") == "folder"))
+    return kept.select(*sources.columns).distinct()
+
+
+def cached_thumbnail(root: str, resolved: Column, given: Column, path: Column, page: Column) -> Column:
+    """The first picture below the cache: the catalog's, the source's own, or where that of a page would be."""
+    made = F.concat(F.lit(f"{root}/"), F.substring(F.sha2(path, 256), 1, 20), F.lit("/page-"), F.lpad(page.cast("string"), 4, "0"), F.lit(".png"))
+    return F.coalesce(*(F.when(F.lower(c).endswith(".png") & c.startswith(f"{root}/"), c) for c in (resolved, given, made)))

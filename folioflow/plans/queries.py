@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import catalog_queries, chat_queries, study_queries, text_queries
+from folioflow.plans import catalog_queries, chat_queries, state_queries, study_queries, text_queries
 
-PARTS = [text_queries.R, catalog_queries.R, chat_queries.R, study_queries.R]
+PARTS = [text_queries.R, catalog_queries.R, chat_queries.R, study_queries.R, state_queries.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

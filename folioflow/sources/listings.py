@@ -25,6 +25,25 @@ def marked_text(html: Column, attribute: str) -> Column:
     return F.nullif(html_text(found), F.lit(""))
 
 
+def absolute(href: Column, site: str = SITE) -> Column:
+    """A link as it is if it has a scheme, else below the site; without one the library's own page."""
+    return F.when(href == "", f"{site}/library").when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href).otherwise(F.concat(F.lit(site + "/"), F.regexp_replace(href, "^/+", "")))
+
+
+def count_of(x: Column) -> Column:
+    """The whole number that a text begins with, commas left out."""
+    return F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int")
+
+
+def searched(cards: DataFrame, query: str, limit: int = 20, name: str = "name") -> DataFrame:
+    """Cards that have every word of the query in their names, at least one of them and at most ``limit``; a blank query finds none."""
+    words = query.lower().split()
+    hit = F.lit(bool(words))
+    for w in words:
+        hit = hit & F.lower(name).contains(w)
+    return cards.where(hit).orderBy(name).limit(max(1, limit))
+
+
 def library_cards(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """Cards of models on each page: (key, pos, name, description, url, capabilities, sizes, pulls, tag_count, updated), the first of each name."""
     cards = F.regexp_extract_all(html, F.lit(rf"(?is)<li\b[^>]*\b{CARD}\b[^>]*>(.*?)</li>"), F.lit(1))
@@ -32,8 +51,8 @@ def library_cards(pages: DataFrame, html: str = "html", key: str = "page_id") ->
     card = F.col("card")
     quoted = compact(html_text(F.regexp_extract(card, rf"""(?i)<[^>]*\b{OLD_TITLE}\b[^>]*\btitle=["']([^"']+)["'][^>]*>""", 1)))
     href = F.regexp_extract(card, r"""(?i)<a\b[^>]*href=["']([^"']+)["'][^>]*>""", 1)
-    url = F.when(href == "", f"{SITE}/library").when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href).otherwise(F.concat(F.lit(SITE + "/"), F.regexp_replace(href, "^/+", "")))
-    tags = F.regexp_extract(F.replace(marked_text(card, TAGS), F.lit(","), F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int")
+    url = absolute(href)
+    tags = count_of(marked_text(card, TAGS))
     rows = rows.select(
         key,
         "pos",
