@@ -75,8 +75,13 @@ def line_key(x: Column | str) -> Column:
     return F.lower(compact(x))
 
 
+# What ends a line.
+LINE_END = r"(?:\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029])"
+
+
 def lines(x: Column | str) -> Column:
-    return F.split(_col(x), "\n")
+    """The lines of a text, whatever ends them; an end of line at its very end begins no other line."""
+    return F.split(F.regexp_replace(_col(x), LINE_END + r"\z", ""), LINE_END)
 
 
 def repair_hyphens(x: Column | str) -> Column:

@@ -1,7 +1,9 @@
 """The library's catalog: tables as immutable Parquet snapshots, mutations as joins, reads as DataFrames.
 
-Parquet tables have no MERGE, so a mutation writes the tables that it changes as a new version and
-then moves a pointer; readers see the old version or the new one, never half of one.
+Parquet tables have no MERGE, so a mutation writes the tables that it changes as new folders and then adds a
+numbered pointer file that names every table's folder; the highest one that is whole counts. Nothing is deleted or renamed for
+that, so readers see the old version or the new one, never half of one or none. A pointer is created only if its
+number is free: of two writers that began with one version the second fails and may start anew.
 """
 
 from __future__ import annotations
@@ -112,14 +114,31 @@ class Catalog:
 
     # -- versions: a pointer file names each table's folder ------------------------------------
 
-    def _pointer(self) -> dict[str, str]:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return {}
-        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
+    def _versions(self) -> list[str]:
+        """Names of pointer files, the latest first."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted((n for n in names if n.startswith("v-")), reverse=True)
+
+    def _read(self, name: str) -> dict[str, str] | None:
+        """A pointer's content; none while it is being written."""
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def _pointer(self) -> tuple[int, dict[str, str]]:
+        for name in self._versions():
+            if (found := self._read(name)) is not None:
+                return int(name[2:]), found
+        return 0, {}
 
     def table(self, name: str) -> DataFrame:
-        folder = self._pointer().get(name)
+        folder = self._pointer()[1].get(name)
         if folder is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
         have = self.spark.read.parquet(f"{self.root}/{folder}")
@@ -127,27 +146,41 @@ class Catalog:
         return want.unionByName(have, allowMissingColumns=True)  # columns added since come as nulls
 
     def commit(self, **tables: DataFrame) -> None:
-        """Write changed tables, then move the pointer in one rename."""
-        pointer = self._pointer()
+        """Write changed tables, then the pointer to them; fails if another writer was first."""
+        number, pointer = self._pointer()
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{folder}")
             pointer[name] = folder
-        new = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}")
-        out = self._fs.create(new, True)
+        out = self._fs.create(self._path(f"{self.root}/v-{number + 1:012d}"), False)
         out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
-        self._fs.mkdirs(self._path(self.root))
-        current = self._path(f"{self.root}/CURRENT")
-        self._fs.delete(current, False)
-        self._fs.rename(new, current)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete the folders that none of the last ``keep`` versions names, and older pointers; nobody may be reading them."""
+        versions = self._versions()
+        used = {folder for name in versions[:keep] for folder in (self._read(name) or {}).values()}
+        for f in self._fs.listStatus(self._path(self.root)):
+            name = f.getPath().getName()
+            if name in versions[keep:] or (f.isDirectory() and name not in used):
+                self._fs.delete(f.getPath(), True)
 
     # -- mutations ---------------------------------------------------------------------------
 
     def _numbered(self, rows: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
-        """New rows numbered after the largest id, in a fixed order."""
+        """New rows numbered after the largest id, in order, without a task that sorts them all.
+
+        They are written in ranges; a range's number begins after the rows of those before it.
+        """
         top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("n")).first()["n"]
-        return rows.withColumn(key, F.lit(top) + F.row_number().over(Window.orderBy(*order)).cast("long"))
+        path = f"{self.root}/new-{uuid.uuid4().hex}"
+        place = F.monotonically_increasing_id()
+        ranged = rows.drop(key).repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged.withColumn("__range", F.shiftright(place, 33)).withColumn("__at", place.bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path)
+        new = self.spark.read.parquet(path)
+        sizes = new.groupBy("__range").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+        return new.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range").withColumn(key, F.lit(top) + F.col("__before") + F.col("__at") + 1).drop("__range", "__at", "__before")
 
     def add_folders(self, paths: DataFrame) -> None:
         """Insert folders (path) that are not there yet."""
@@ -207,6 +240,70 @@ class Catalog:
         new = ids.join(old, "collection_id", "left_anti").select("collection_id", F.lit("ready").alias("status"), F.lit(is_active).alias("is_active"))
         self.commit(state=flipped.unionByName(new, allowMissingColumns=True))
 
+    # -- the life of an index -------------------------------------------------------------------
+
+    def collections_for_path(self, path: str) -> DataFrame:
+        """Collections imported from a path, or that hold a folder or document of it."""
+        paths = self.spark.createDataFrame([(p,) for p in path_candidates(path)], "path string")
+        return collections_for_paths(self.table("collections"), self.table("state"), self.table("items"), self.table("folders"), self.table("documents"), paths)
+
+    def models_of(self, ids: DataFrame) -> list[str]:
+        """The embedding models whose vectors lie in folders of collections."""
+        own = self.table("items").join(ids, "collection_id", "left_semi").select("folder_id").distinct()
+        return sorted(r["model"] for r in self.table("embeddings").join(own, "folder_id", "left_semi").select("model").distinct().collect())
+
+    def replace_existing(self, path: str, material: str | None = None) -> list[str]:
+        """Delete the collection of a numeric material id, else all of the import path; returns the models whose vectors went."""
+        if material is not None and material.isdigit():
+            ids = self.spark.createDataFrame([(int(material),)], "collection_id long")
+        else:
+            ids = self.collections_for_path(path).select("collection_id")
+        models = self.models_of(ids)
+        self.delete_collections(ids)
+        return models
+
+    def begin_index(self, collection: DataFrame, state: DataFrame, folders: DataFrame, documents: DataFrame) -> None:
+        """Folders (path), documents (document_path, path, document_time), and the collection with its state as being indexed."""
+        self.add_folders(folders)
+        known = self.table("folders")
+        own = known.join(folders.select("path").distinct(), "path", "left_semi")
+        self.add_documents(documents.join(known, "path").select("document_path", "folder_id", "document_time"))
+        items = collection.select("collection_id").crossJoin(own.select("folder_id"))  # one collection's folders
+        self.put_collection(collection, state.drop("status").withColumn("status", F.lit("indexing")), items)
+
+    def pending(self, chunks: DataFrame, model: str) -> DataFrame:
+        """Chunks (document_path, chunk_text, page) that have no vector of the model yet: what a resumed index has to do."""
+        done = self.table("embeddings").where(F.col("model") == model).join(self.table("chunks"), "chunk_id").join(self.table("documents"), "document_id")
+        keys = ["document_path", "chunk_text", "page"]
+        a, b = chunks.alias("a"), done.select(*keys).distinct().alias("b")
+        return a.join(b, (F.col("a.document_path") == F.col("b.document_path")) & (F.col("a.chunk_text") == F.col("b.chunk_text")) & F.col("a.page").eqNullSafe(F.col("b.page")), "left_anti")
+
+    def append_batch(self, rows: DataFrame, model: str) -> None:
+        """A batch (document_path, chunk_text, page, embedding, further columns of chunks): chunks, then their vectors."""
+        documents = self.table("documents").select("document_id", "folder_id", "document_path")
+        rows = rows.join(documents, "document_path")
+        self.add_chunks(rows.drop("document_path", "folder_id", "embedding"))
+        c, r = self.table("chunks").alias("c"), rows.alias("r")
+        same = (F.col("r.document_id") == F.col("c.document_id")) & (F.col("r.chunk_text") == F.col("c.chunk_text")) & F.col("r.page").eqNullSafe(F.col("c.page"))
+        self.put_embeddings(r.join(c, same).select(F.lit(model).alias("model"), "r.folder_id", "c.chunk_id", F.col("r.embedding").cast("array<float>").alias("embedding")))
+
+    def finish_index(self, collection_id: int, status: str, at: str, gone: list[str] = ()) -> list[str]:
+        """Set the final state with its counts; returns the models whose search structures are built anew, those of deleted vectors too."""
+        ids = self.spark.createDataFrame([(collection_id,)], "collection_id long")
+        own = self.table("items").join(ids, "collection_id", "left_semi").select("folder_id").distinct()
+        documents = self.table("documents").join(own, "folder_id", "left_semi")
+        chunks = self.table("chunks").join(documents.select("document_id"), "document_id", "left_semi")
+        files = documents.count()
+        sums = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+        old = self.table("state")
+        new = {"status": F.lit(status), "indexed_at": F.lit(at), "file_count": F.lit(files).cast("long"), "chunk_count": F.lit(sums["chunks"]).cast("long"), "word_count": F.lit(sums["words"]).cast("long"), "is_active": F.lit(status == "ready")}
+        hit = F.col("collection_id") == collection_id
+        self.commit(state=old.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in old.columns)))
+        return sorted({*self.models_of(ids), *gone})
+
+    def delete_by_path(self, path: str) -> bool:
+        return self.delete_collections(self.collections_for_path(path).select("collection_id"))
+
     def delete_collections(self, ids: DataFrame) -> bool:
         """Delete collections; folders that no other uses go with their documents, chunks, vectors and thumbnails."""
         collections, items = self.table("collections"), self.table("items")

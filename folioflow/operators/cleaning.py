@@ -53,19 +53,19 @@ def remove_lines(text: Column | str, keys: Column) -> Column:
 
 def paragraphs(text: Column | str) -> Column:
     """Wrapped lines joined to paragraphs: blank lines end them, list and heading lines stand alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-    def add(acc: Column, line: Column) -> Column:
-        flushed = F.when(acc["cur"] != "", F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-        alone = T.is_list_line(line) | T.is_heading(line)
-        return (
-            F.when(line == "", F.struct(flushed.alias("done"), F.lit("").alias("cur")))
-            .when(alone, F.struct(F.concat(flushed, F.array(line)).alias("done"), F.lit("").alias("cur")))
-            .otherwise(F.struct(acc["done"].alias("done"), F.concat_ws(" ", F.nullif(acc["cur"], F.lit("")), line).alias("cur")))
-        )
-
-    end = F.aggregate(F.transform(T.lines(text), T.strip), start, add, lambda acc: F.when(acc["cur"] != "", F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
-    return F.array_join(end, "\n\n")
+    marked = F.transform(F.transform(T.lines(text), T.strip), lambda x: F.struct(x.alias("line"), (T.is_list_line(x) | T.is_heading(x)).alias("alone")))
+
+    def led(items: Column) -> Column:
+        """Each line led by what parts it from the one before: time grows with the text, not with its square."""
+
+        def one(x: Column, k: Column) -> Column:
+            before = F.get(items, k - 1)
+            ends = (before["line"] == "") | before["alone"] | x["alone"]
+            return F.when(x["line"] == "", "").when(F.coalesce(ends, F.lit(False)), F.concat(F.lit("\n\n"), x["line"])).when(k == 0, x["line"]).otherwise(F.concat(F.lit(" "), x["line"]))
+
+        return F.array_join(F.transform(items, one), "")
+
+    return F.regexp_replace(T.let(marked, led), r"\A\n\n", "")
 
 
 def clean_pages(pages: DataFrame, profile: str | None = None, rules: list[str] | str | None = None) -> DataFrame:

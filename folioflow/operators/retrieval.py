@@ -51,6 +51,41 @@ def vector_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
     return top_k(found, k)
 
 
+def _blocks_top(batches, k: int):
+    """Rows (block, asks, id, v) in order, vectors before queries: the k best of each query in each block, whose vectors are held."""
+    block, held, ready = None, [], None
+    for batch in batches:
+        for s in range(0, batch.num_rows, 512):
+            part = batch.slice(s, 512)
+            blocks, asks = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
+            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(asks) != 0)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if blocks[a] != block:
+                    block, held, ready = blocks[a], [], None
+                own = part.slice(a, b - a)
+                ids, matrix = own.column(2).to_numpy(), own.column(3).flatten().to_numpy().astype(np.float64).reshape(b - a, -1)
+                if not asks[a]:
+                    held.append((ids, matrix))
+                elif held:
+                    ready = ready or tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    scores = matrix @ ready[1].T
+                    order = np.lexsort((np.broadcast_to(ready[0], scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(ready[0][order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["query_id", "vec_id", "score"])
+
+
+def all_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, key: str = "vec_id", vector: str = "embedding", block_rows: int = 50_000) -> DataFrame:
+    """Exact top k of every query of a table over all vectors: (query_id, vec_id, score, rank).
+
+    Vectors are dealt to blocks, each of which one task holds; queries visit every block in Arrow batches. Of each
+    query and block k rows are shuffled, never the pairs.
+    """
+    blocks = max(1, -(-vectors.count() // block_rows))
+    held = vectors.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    met = held.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("block", "asks")
+    return top_k(met.mapInArrow(partial(_blocks_top, k=k), "query_id long, vec_id long, score double"), k)
+
+
 def vector_top_k_filtered(vectors: DataFrame, queries: list[tuple[int, list[float]]], allowed: Column, k: int = DEFAULT_LIMIT, over_fetch: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Top k among allowed rows: exact, or with ``over_fetch`` as an index does that filters afterwards and may return fewer."""
     if over_fetch is None:

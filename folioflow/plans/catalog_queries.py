@@ -132,10 +132,10 @@ def incremental_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.missing(v["chunks"], done, ["document_id", "page", "chunk_text"]).select("chunk_id")
 
 
-@R.add("find_existing_chunk", f"WITH {_CHUNK_VIEWS}, asked AS (SELECT document_id, CASE WHEN page = 2 THEN NULL ELSE page END AS page, chunk_text FROM chunks WHERE document_id % 4 = 0) SELECT c.chunk_id FROM asked a JOIN chunks c ON c.document_id = a.document_id AND c.chunk_text = a.chunk_text AND coalesce(c.page, -1) = coalesce(a.page, -1)")
+@R.add("find_existing_chunk", f"WITH {_CHUNK_VIEWS}, asked AS (SELECT document_id, CASE WHEN page = 2 THEN NULL ELSE page END AS page, chunk_text FROM chunks) SELECT c.chunk_id FROM asked a JOIN chunks c ON c.document_id = a.document_id AND c.chunk_text = a.chunk_text AND coalesce(c.page, -1) = coalesce(a.page, -1)")
 def find_existing_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = views(spark, sf_dir, with_chunks=True)["chunks"]
-    asked = chunks.where("document_id % 4 = 0").select("document_id", F.when(F.col("page") != 2, F.col("page")).alias("page"), "chunk_text")
+    asked = chunks.select("document_id", F.when(F.col("page") != 2, F.col("page")).alias("page"), "chunk_text")
     return catalog.existing_chunks(asked, chunks, ["document_id", "chunk_text", "page"]).select("chunk_id")
 
 

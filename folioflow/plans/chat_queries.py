@@ -18,39 +18,48 @@ R = Registry()
 # -- vectors ----------------------------------------------------------------------------------
 
 
-def _request(spark: SparkSession, sf_dir: str, n: int = 10) -> list[tuple[int, list[float]]]:
-    """The query vectors of a request: vec_id 0 to n - 1."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select("vec_id", "embedding").orderBy("vec_id").collect()
-    return [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in rows]
+def positive_zero(x):
+    return F.when(x == 0, F.lit(0.0)).otherwise(x)
 
 
-_SCORES = "scores AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings v, embeddings q WHERE q.vec_id < 10)"
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, q): the mean vector of each label, as a request's few queries; all vectors make them."""
+    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
+    means = parts.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m"))
+    return means.select(F.col("label").cast("long").alias("query_id"), F.transform("m", lambda p: p["x"]).alias("q"))
+
+
+_SCORES = "scores AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings v, embeddings q)"
+_CENTRES = "parts AS (SELECT label, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), centres AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY k) AS q FROM (SELECT label, k, avg(x) AS x FROM parts GROUP BY ALL) GROUP BY label), near AS (SELECT query_id, vec_id, list_inner_product(q, embedding::DOUBLE[]) AS s FROM embeddings, centres)"
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)"
 
 
 @R.add("vector_topk_exact", f"WITH {_SCORES} SELECT query_id, vec_id, round(s, 4) AS score, CAST({_RANK} AS INTEGER) AS rank FROM scores WHERE label < 5 QUALIFY rank <= 4")
 def vector_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.vector_top_k_filtered(table(spark, sf_dir, "embeddings"), _request(spark, sf_dir), F.col("label") < 5)
+    v = table(spark, sf_dir, "embeddings")
+    found = retrieval.all_top_k(v.where("label < 5"), v, 4)
     return found.select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
 @R.add("vector_topk_ref", f"WITH {_SCORES}, wide AS (SELECT * FROM scores QUALIFY {_RANK} <= 32) SELECT query_id, vec_id, round(s, 4) AS score, CAST({_RANK} AS INTEGER) AS rank FROM wide WHERE label < 5 QUALIFY rank <= 4")
 def vector_topk_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.vector_top_k_filtered(table(spark, sf_dir, "embeddings"), _request(spark, sf_dir), F.col("label") < 5, over_fetch=retrieval.OVER_FETCH)
+    v = table(spark, sf_dir, "embeddings")
+    wide = retrieval.all_top_k(v, v, 4 * retrieval.OVER_FETCH).drop("rank")
+    found = retrieval.top_k(wide.join(v.where("label < 5").select("vec_id"), "vec_id", "left_semi"), 4)
     return found.select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
-@R.add("query_x_chunks", f"WITH {_SCORES} SELECT query_id, vec_id, round(s, 4) AS score FROM scores WHERE query_id < 3")
+@R.add("query_x_chunks", f"WITH {_CENTRES} SELECT query_id, vec_id, CASE WHEN round(s, 4) = 0 THEN 0.0 ELSE round(s, 4) END AS score FROM near")
 def query_x_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # a request's few queries
-    return v.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", F.round(embedding.dot("q", "embedding"), 4).alias("score"))
+    return v.crossJoin(F.broadcast(centroids(spark, sf_dir))).select(  # a request's few queries
+        "query_id", "vec_id", positive_zero(F.round(embedding.dot("q", "embedding"), 4)).alias("score")
+    )
 
 
-@R.add("inner_product", "SELECT v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS dot FROM embeddings v, embeddings q WHERE q.vec_id = 0")
+@R.add("inner_product", "SELECT vec_id, round(list_inner_product(list_reverse(embedding::DOUBLE[]), embedding::DOUBLE[]), 4) AS dot FROM embeddings")
 def inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (_, q), *_ = _request(spark, sf_dir, 1)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(embedding.dot(F.array(*map(F.lit, q)), "embedding"), 4).alias("dot"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(embedding.dot(F.reverse("embedding"), "embedding"), 4).alias("dot"))
 
 
 def _norm_sql(x: str) -> str:
@@ -78,12 +87,12 @@ def l2_normalize_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scaled(spark, sf_dir).select("vec_id", embedding.normalize_rows("v").alias("u")).select("vec_id", F.round(embedding.norm("u"), 4).alias("norm"), F.round(F.col("u")[0], 4).alias("first"))
 
 
-_HITS = f"{_SCORES}, hits AS (SELECT vec_id, 'm' || query_id AS model, query_id AS model_pos, round(s, 4) AS score FROM scores WHERE query_id < 2)"
+_HITS = f"{_CENTRES}, hits AS (SELECT vec_id, 'm' || query_id AS model, query_id AS model_pos, CASE WHEN round(s, 4) = 0 THEN 0.0 ELSE round(s, 4) END AS score FROM near)"
 _BEST = "best AS (SELECT vec_id, score, model FROM hits QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, model_pos) = 1)"
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_x_chunks(spark, sf_dir).where("query_id < 2")
+    rows = query_x_chunks(spark, sf_dir)
     return rows.select("vec_id", F.concat(F.lit("m"), F.col("query_id").cast("string")).alias("model"), F.col("query_id").alias("model_pos"), "score")
 
 
@@ -95,7 +104,7 @@ def max_score_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("union_models", f"WITH {_HITS} SELECT vec_id, max(score) AS score FROM hits GROUP BY vec_id")
 def union_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _hits(spark, sf_dir)
-    return h.where("model = 'm0'").unionByName(h.where("model = 'm1'")).groupBy("vec_id").agg(F.max("score").alias("score"))
+    return h.where("model = 'm0'").unionByName(h.where("model != 'm0'")).groupBy("vec_id").agg(F.max("score").alias("score"))
 
 
 @R.add("search_rank", f"WITH {_HITS}, {_BEST} SELECT vec_id, score, model, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM best QUALIFY rank <= 4")
@@ -145,15 +154,16 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("text").agg(F.min("pos").alias("pos"))
 
 
-@R.add("merge_sources", "WITH b AS (SELECT doc_id AS pos, source AS source_key, 0 AS part FROM documents WHERE doc_id < 10 UNION ALL SELECT doc_id, source, 1 FROM documents WHERE doc_id BETWEEN 10 AND 60), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY part, pos) = 1) SELECT pos, source_key FROM f ORDER BY part, pos LIMIT 12")
+@R.add("merge_sources", "WITH b AS (SELECT doc_id AS pos, source AS source_key, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS part FROM documents), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY part, pos) = 1) SELECT pos, source_key FROM f ORDER BY part, pos LIMIT 12")
 def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("source_key"))
-    return retrieval.merge_sources(d.where("pos < 10"), d.where("pos between 10 and 60"), 12).select("pos", "source_key")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("source_key"), "lang")
+    return retrieval.merge_sources(d.where(english), d.where(~english), 12).select("pos", "source_key")
 
 
-@R.add("select_quiz_sources", "SELECT doc_id FROM documents WHERE doc_id < 32 AND source NOT IN ('src1', 'src2') ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT 4")
+@R.add("select_quiz_sources", "SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2') ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT 4")
 def select_quiz_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = table(spark, sf_dir, "documents").where("doc_id < 32").select("doc_id", F.col("source").alias("key"))
+    pool = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.col("source").alias("key"))
     used = spark.createDataFrame([("src1",), ("src2",)], "key string")
     return conversation.pick_unused(pool, used, "key", "doc_id").select("doc_id")
 
@@ -177,10 +187,11 @@ def pull_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.pull_progress(e).select(F.col("model").alias("user_id"), F.round("completed", 4).alias("completed"), "total", "percent")
 
 
-@R.add("index_progress", "SELECT doc_id, CAST(1 + round_even((doc_id - 1) / 1000 * 29, 0) AS INTEGER) AS parsing, CAST(least(90, 45 + round_even(doc_id / 1000 * 45, 0)) AS INTEGER) AS embedding FROM documents")
+@R.add("index_progress", "SELECT doc_id, CAST(1 + round_even((doc_id - 1) / n * 29, 0) AS INTEGER) AS parsing, CAST(least(90, 45 + round_even(doc_id / n * 45, 0)) AS INTEGER) AS embedding FROM documents, (SELECT count(*) AS n FROM documents)")
 def index_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, n = F.col("doc_id"), F.lit(1000)
-    return table(spark, sf_dir, "documents").select("doc_id", chunking.index_percent(F.lit("parsing"), d, n).alias("parsing"), chunking.index_percent(F.lit("embedding"), d, n).alias("embedding"))
+    rows = table(spark, sf_dir, "documents")
+    d, n = F.col("doc_id"), F.lit(rows.count())
+    return rows.select("doc_id", chunking.index_percent(F.lit("parsing"), d, n).alias("parsing"), chunking.index_percent(F.lit("embedding"), d, n).alias("embedding"))
 
 
 # -- functions on inline rows ---------------------------------------------------------------------

@@ -20,7 +20,7 @@ from folioflow.sources import files
 from folioflow.streaming import index
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["normalize_text", "count_words", "tokenize", "pack_sentences", "chunk_index", "paragraphize", "repeated_edge_lines", "vector_topk_ref", "source_rows", "incremental_anti", "resolve_source", "completed_turns", "html_strip", "pull_progress", "strip_citations", "settings_clamp", "excerpt", "conversation_title", "md_normalize", "normalize_urls", "unique_name", "search_term_for_source", "parse_followups_py", "clean_quiz_question", "quiz_prompts", "source_context", "scrape_library", "list_remote_models", "pdf_text_search", "clean_page", "preview_projection", "header_carry", "merge_indexed_pending", "new_materials_minus_existing", "display_model_name", "safe_filename"]
+QUICK = ["normalize_text", "count_words", "tokenize", "pack_sentences", "chunk_index", "paragraphize", "repeated_edge_lines", "vector_topk_ref", "source_rows", "incremental_anti", "resolve_source", "completed_turns", "html_strip", "pull_progress", "strip_citations", "settings_clamp", "excerpt", "conversation_title", "md_normalize", "normalize_urls", "unique_name", "search_term_for_source", "parse_followups_py", "clean_quiz_question", "quiz_prompts", "source_context", "scrape_library", "list_remote_models", "pdf_text_search", "clean_page", "preview_projection", "header_carry", "merge_indexed_pending", "new_materials_minus_existing", "display_model_name", "safe_filename", "model_role_filters", "normalize_models", "normalize_materials", "exclusive_activation", "material_transitions", "merge_saved_state", "quoted_source_index", "source_pdf_resolve", "json_list", "read_log", "ndjson_framing", "gguf_metadata", "scan_embedding_blob", "source_tray", "query_x_chunks", "vector_topk_exact", "merge_sources"]
 
 
 def rows(df):
@@ -101,6 +101,67 @@ def test_batches(spark):
     assert [r["count"] for r in got] == [1, 3, 3, 1]
 
 
+def test_index_is_begun_resumed_finished_and_replaced(spark, tmp_path):
+    from folioflow.operators.chunking import chunk_documents
+    from folioflow.operators.embedding import hashed_embedding
+
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    texts = [(f"/lib/{k}.txt", " ".join(f"word{k}x{j} goes on." for j in range(400))) for k in range(3)]
+    docs = spark.createDataFrame([(p, "/lib", 5, t) for p, t in texts], "document_path string, path string, document_time long, text string")
+    chunks = chunk_documents(docs, "document_path").select("document_path", "chunk_text", F.lit(None).cast("int").alias("page"), "words", hashed_embedding("chunk_text").alias("embedding"))
+
+    def begin(n):
+        row = spark.createDataFrame([(n, f"Lib {n}", 1, 1, "m1")], "collection_id long, name string, start_update_time long, last_update_time long, embedding_model string")
+        state = spark.createDataFrame([(n, "/lib", "folder")], "collection_id long, import_path string, kind string")
+        c.begin_index(row, state, docs.select("path").distinct(), docs.select("document_path", "path", "document_time"))
+
+    begin(1)
+    assert c.table("state").first()["status"] == "indexing" and c.table("documents").count() == 3
+    total = chunks.count()
+    half = chunks.where("document_path = '/lib/0.txt'")
+    c.append_batch(half, "m1")
+    left = c.pending(chunks, "m1")
+    assert left.count() == total - half.count() > 0  # what a resumed index has to do
+    c.append_batch(left, "m1")
+    c.append_batch(half, "m1")  # a batch that comes again adds nothing
+    assert c.pending(chunks, "m1").isEmpty() and c.table("chunks").count() == c.table("embeddings").count() == total
+    assert sorted(r["chunk_id"] for r in c.table("chunks").collect()) == list(range(1, total + 1))
+    assert c.finish_index(1, "ready", "2024-01-01T00:00:00+00:00", ["old"]) == ["m1", "old"]
+    row = c.table("state").first()
+    assert (row["status"], row["file_count"], row["chunk_count"], row["is_active"]) == ("ready", 3, total, True)
+    before = c._versions()[0]
+    assert c.replace_existing("file:///lib") == ["m1"] and c.table("chunks").isEmpty() and c.table("folders").isEmpty()
+    assert c._versions()[0] > before
+    begin(2)
+    c.vacuum()
+    assert len(c._versions()) == 2 and c.delete_by_path("/lib") and not c.delete_by_path("/lib")
+    number, _ = c._pointer()
+    (tmp_path / "catalog" / f"v-{number + 1:012d}").write_text('{"collections": "half')  # a pointer that is being written does not count
+    assert c._pointer()[0] == number
+
+
+def test_lines_end_at_any_terminator(spark):
+    assert one(spark, T.lines, "a\r\nb\rc\x0cd\u2028e\n") == ["a", "b", "c", "d", "e"] and one(spark, T.lines, "a\n\nb") == ["a", "", "b"]
+    pages = [("d", k, f"Course Notes\x0cMany words follow here so that this is kept {k}.\x0cend mark") for k in (1, 2)]
+    found = cleaning.repeated_edge_lines(spark.createDataFrame(pages, "document_id string, page int, text string"))
+    assert {r["key"] for r in found.collect()} == {"course notes", "end mark"}
+
+
+def test_paragraphs_of_a_long_text(spark):
+    text = "\n\n".join(f"line {k} of it\nwraps here." for k in range(30_000))
+    assert one(spark, cleaning.paragraphs, text) == "\n\n".join(f"line {k} of it wraps here." for k in range(30_000))
+    assert one(spark, cleaning.paragraphs, "\n\n alpha runs\nbeta runs on.\n\n\ngamma runs on.\n- d\n- e\nzeta runs on.\n") == "alpha runs beta runs on.\n\ngamma runs on.\n\n- d\n\n- e\n\nzeta runs on."
+
+
+def test_whole_tables_are_searched_in_blocks(spark):
+    from folioflow.operators import retrieval
+
+    v = spark.read.parquet(f"{DATA}/embeddings.parquet").limit(120).cache()
+    one_block = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.all_top_k(v, v, 3).collect()}
+    many = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.all_top_k(v, v, 3, block_rows=17).collect()}
+    assert one_block == many and len(many) == 360
+
+
 def test_catalog_life(spark, tmp_path):
     c = Catalog(spark, str(tmp_path / "catalog"))
     c.add_folders(spark.createDataFrame([("/a",), ("/b",), ("/a",)], "path string"))
