@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
 Templates are whole licence texts (the files of a folder) and the statements by which works name their licenses. What is
-compared with them are three kinds of units of every file, each a sparse vector of terms, weighted by count times inverse
-document frequency among the files scanned: the whole file, its paragraphs of several lines (wrapped
+compared with them are three kinds of units of every file, each a sparse vector of terms, weighted by one plus the logarithm
+of the count times inverse document frequency among the files scanned: the whole file, its paragraphs of several lines (wrapped
 headers), and the sentences of its lines. A unit whose cosine to a template reaches THRESHOLD declares that license;
 a file's own license is its own as a whole, else its best unit's. A file of which at least half of the terms stand in declaring units of
 one kind is a licence file, as is one that is like a licence text as a whole: it covers its directory and what is
@@ -104,8 +104,9 @@ class Index:
         self.idf = {t: math.log(1 + files / (1 + having.get(t, 0))) for t in sorted({t for c in counts for t in c})}
         self.vectors = []
         for c in counts:
-            norm = math.sqrt(sum((k * self.idf[t]) ** 2 for t, k in sorted(c.items())))
-            self.vectors.append({t: k * self.idf[t] / norm for t, k in c.items()} if norm else {})
+            own = {t: (1 + math.log(k)) * self.idf[t] for t, k in sorted(c.items())}
+            norm = math.sqrt(sum(w * w for w in own.values()))
+            self.vectors.append({t: w / norm for t, w in own.items()} if norm else {})
         self.keys = self._keys(threshold)
         self.file_keys = self._keys(REST)
         self.needed = min((self._needed(v) for v in self.vectors if v), default=1)
@@ -181,7 +182,7 @@ def scan(files: DataFrame, made: list[tuple[str, str]] | None = None, path: str
     counted = counted.groupBy("row", "words", "unit", "kind", "term").agg(F.count("*").alias("tf"))
     weights = spark.createDataFrame([(t, idf, [v.get(t, 0.0) for v in index.vectors]) for t, idf in index.idf.items()], "term string, idf double, w array<double>")
     counted = counted.join(F.broadcast(weights), "term", "left")  # the templates' terms: a fixed table
-    weight = F.col("tf") * F.coalesce("idf", F.lit(index.unknown))
+    weight = (1 + F.log("tf")) * F.coalesce("idf", F.lit(index.unknown))
     sums = counted.groupBy("row", "words", "unit", "kind").agg(F.sum("tf").alias("terms"), F.sqrt(F.sum(weight * weight)).alias("norm"), *(F.coalesce(F.sum(weight * F.col("w")[k]), F.lit(0.0)).alias(f"d{k}") for k in range(n)))
     best = F.array_max(F.array(*(F.struct((F.col("kind") == FILE).alias("whole"), F.round(F.try_divide(F.col(f"d{k}"), F.col("norm")), 4).alias("score"), F.lit(-k).alias("k")) for k in range(n))))
     declared = sums.withColumn("best", best).where(F.col("best.score") >= index.threshold)
@@ -236,7 +237,7 @@ n AS (SELECT count(*) AS n FROM f),
 known AS (SELECT DISTINCT term FROM counts),
 having_ AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM f) JOIN known USING (term) GROUP BY term),
 idf AS (SELECT term, ln(1 + n / (1 + coalesce(df, 0))) AS idf FROM known LEFT JOIN having_ USING (term) CROSS JOIN n),
-weights AS (SELECT k, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM counts JOIN idf USING (term)),
+weights AS (SELECT k, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS w FROM (SELECT k, term, (1 + ln(tf)) * idf AS x FROM counts JOIN idf USING (term))),
 blocks AS (SELECT doc_id, generate_subscripts(s, 1) AS block, unnest(s) AS text FROM (SELECT doc_id, string_split_regex(text, '{PARAGRAPH}') AS s FROM f)),
 lines AS (SELECT doc_id, block, generate_subscripts(s, 1) AS line, unnest(s) AS text FROM (SELECT doc_id, block, string_split(text, chr(10)) AS s FROM blocks)),
 parts AS (SELECT doc_id, block, line, generate_subscripts(s, 1) AS part, unnest(s) AS text FROM (SELECT doc_id, block, line, string_split_regex(text, '{SENTENCE}') AS s FROM lines)),
@@ -244,7 +245,7 @@ units AS (SELECT doc_id, {FILE} AS kind, 0 AS block, 0 AS line, 0 AS part, text
     UNION ALL SELECT doc_id, {BLOCK}, block, 0, 0, text FROM blocks WHERE contains(text, chr(10))
     UNION ALL SELECT doc_id, {LINE}, block, line, part, text FROM parts),
 t AS (SELECT doc_id, kind, block, line, part, term, count(*) AS tf FROM (SELECT doc_id, kind, block, line, part, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM units) GROUP BY ALL),
-v AS (SELECT t.*, tf * coalesce(idf, (SELECT ln(1 + sqrt(n)) FROM n)) AS x FROM t LEFT JOIN idf USING (term)),
+v AS (SELECT t.*, (1 + ln(tf)) * coalesce(idf, (SELECT ln(1 + sqrt(n)) FROM n)) AS x FROM t LEFT JOIN idf USING (term)),
 norms AS (SELECT doc_id, kind, block, line, part, sum(tf) AS terms, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
 dots AS (SELECT doc_id, kind, block, line, part, k, sum(x * w) AS dot FROM v JOIN weights USING (term) GROUP BY ALL),
 best AS (SELECT doc_id, kind, terms, k, round(dot / norm, 4) AS score FROM dots JOIN norms USING (doc_id, kind, block, line, part)
