@@ -6,9 +6,11 @@ partition, per file or per source.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +114,21 @@ def rows_of(batches: Iterator[pa.RecordBatch], at_most: int = 256) -> Iterator[p
             yield batch.slice(k, at_most)
 
 
+def gives_back(step: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """An Arrow step after which the worker returns freed memory to the system; workers outlive their tasks, and idle ones count too."""
+
+    @wraps(step)
+    def run(*args, **kwargs) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+                trim(0)
+
+    return run
+
+
 #: Ranges that a table is dealt into, at most: what their bounds take is bounded.
 MAX_RANGES = 1 << 16
 FIRST = -(1 << 63)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import FIRST, Ranges, bounded, components, release, rows_of, store, whole_text
+from folioflow.llm.common import FIRST, Ranges, bounded, components, gives_back, release, rows_of, store, whole_text
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -171,6 +171,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.select("bucket", "later", "doc_id", "text").mapInArrow(_neighbours, _NEXT)
 
 
+@gives_back
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, key, further columns) to (key, further columns, kind, size, sig)."""
     for batch in rows_of(batches):
@@ -185,6 +186,7 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return union == 0 or common >= least * union
 
 
+@gives_back
 def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows (a, part, member, b, kind, text) in order: the text of a, then those to compare with it."""
     own, held = None, None
@@ -229,6 +231,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, close boolean")
 
 
+@gives_back
 def _overlaps(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows (a, part, asks, node, root, kind, text) in order, askers last: links (a, b) of an asker with a member of each other root."""
     place, held, table = None, [], None

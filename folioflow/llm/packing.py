@@ -32,7 +32,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import rows_of, store, whole_text
+from folioflow.llm.common import gives_back, rows_of, store, whole_text
 from folioflow.llm.tokens import crc32_of, encoder
 
 SEQUENCE = 4096
@@ -121,6 +121,7 @@ class Plan:
         return credits[k], starts[k + 1] - starts[k]
 
 
+@gives_back
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Adds the partition, and the tokens of the same queue that the partition holds before."""
     part, before = TaskContext.get().partitionId(), {}
@@ -134,6 +135,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "part", "before", "ids"])
 
 
+@gives_back
 def _cut(batches: Iterator[pa.RecordBatch], plan: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, queue, at, ids) to a piece for each block that a document lies in."""
     schema = pa.schema([("block", pa.int64()), ("queue", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -157,6 +159,7 @@ def layout(credit: np.ndarray, weights: np.ndarray, amounts: np.ndarray, window:
     return rounds
 
 
+@gives_back
 def _packed(batches: Iterator[pa.RecordBatch], plan: Broadcast, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Rows of _cut sorted by (block, queue, at); a block's tokens are held until it ends."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])

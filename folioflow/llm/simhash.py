@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import minhash
-from folioflow.llm.common import ROW, bounded, components, numbered, release, rows_of, store, whole_text
+from folioflow.llm.common import ROW, bounded, components, gives_back, numbered, release, rows_of, store, whole_text
 
 SEED = 42
 SHINGLE = 3
@@ -54,6 +54,7 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+@gives_back
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches):
         prints = np.array([fingerprint(t.encode()) for t in batch.column(1).to_pylist()], dtype=np.uint64)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import ROW, numbered, release, rows_of, store, whole_text
+from folioflow.llm.common import ROW, gives_back, numbered, release, rows_of, store, whole_text
 
 WINDOW = 100
 GRAM = 32
@@ -135,6 +135,7 @@ def _packed(first: np.ndarray, anchor: np.ndarray, last: np.ndarray) -> np.ndarr
     return (first << 16) | ((anchor - first) << 8) | (last - first)
 
 
+@gives_back
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, text) to units; place holds the first window, its anchor's offset and the windows after it."""
     for batch in rows_of(batches):
@@ -181,6 +182,7 @@ CANDIDATE, COVERED, PART = 0, 1, 2
 _JUDGED = pa.schema([("state", pa.int8()), ("gram", pa.int64()), ("unit", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
 
 
+@gives_back
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units (gram, salt, unit, key, place) in order to their state; salt is -1 but for frequent grams."""
 
@@ -218,6 +220,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SUFFIX = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("key", pa.int64()), ("place", pa.int64())])
 
 
+@gives_back
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, places, text) to each unit's bytes, led by the suffix at its anchor."""
     for batch in rows_of(batches):
@@ -257,6 +260,7 @@ def equal_classes(data: bytes, at: np.ndarray, group: np.ndarray) -> Iterator[np
 _SPAN = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
+@gives_back
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units sorted by lead; covered spans of windows that are equal to an earlier one's."""
 
@@ -452,6 +456,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = _joined(docs).select("doc_id", "text", "spans")
     kind = joined.schema["doc_id"].dataType.simpleString()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             n_bytes, n_removed, n_spans, sha = [], [], [], []
@@ -487,6 +492,7 @@ def clean(docs: DataFrame) -> DataFrame:
     joined = rows.join(lists, ROW, "left").select(*docs.columns, SPANS)
     at, n_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             columns, spans_ = batch.columns[:-1], batch.column(len(batch.columns) - 1).to_pylist()

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import FIRST, Ranges, fresh_path, release, rows_of, store, whole_text
+from folioflow.llm.common import FIRST, Ranges, fresh_path, gives_back, release, rows_of, store, whole_text
 from folioflow.llm.tokens import encoder
 
 MAGIC = b"DACIDS02"
@@ -143,6 +143,7 @@ class Reader:
         return self.run(int(self.firsts[k]), int(self.firsts[k + 1]))
 
 
+@gives_back
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, ranges: Ranges) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, tie) to the range they belong to and their ids."""
     ids_of, end = encoder(path).all16, np.array([end_id], dtype="<u2").tobytes()
@@ -155,6 +156,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, ranges:
 _FILE = pa.schema([("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
 
 
+@gives_back
 def _write(batches: Iterator[pa.RecordBatch], path: str, file_ids: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, doc_id, ids, tie) in order; files of about file_ids ids, each held until it ends."""
     where, base = fs.FileSystem.from_uri(path)
@@ -199,6 +201,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     return path
 
 
+@gives_back
 def _read(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     where, base = fs.FileSystem.from_uri(path)
     for batch in batches:

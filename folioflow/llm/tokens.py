@@ -20,7 +20,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Bytes of pieces and their ids that a worker remembers (frequent ones are met early), about; and the longest piece.
-REMEMBERED = 300_000_000
+REMEMBERED = 60_000_000
 #: What a remembered piece takes besides its own bytes and its ids': two objects and a place in the table.
 OVERHEAD = 170
 LONGEST = 48

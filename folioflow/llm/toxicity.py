@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import rows_of, whole_text
+from folioflow.llm.common import gives_back, rows_of, whole_text
 
 BUCKET_BITS = 18
 NGRAMS = (5,)
@@ -235,6 +235,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     sentence is its text where the score reaches the threshold.
     """
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             out = []
@@ -253,6 +254,7 @@ def sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     """(doc_id, sentence, text, p): the offending sentences, those whose own p reaches the threshold."""
     least = math.log(threshold / (1 - threshold))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             out = {"doc_id": [], "sentence": [], "text": [], "p": []}
@@ -271,6 +273,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """The rows whose score stays under the threshold, with all their columns and without a join."""
     at = docs.columns.index("text")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
