@@ -306,11 +306,14 @@ def linked(prints: DataFrame, texts: DataFrame, least: float = JACCARD) -> DataF
     own = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     asks = stars.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     asks = store(asks.select("a", F.col("b").alias("node")), "minhash-asks")
-    if not asks.isEmpty():
-        links = store(links.unionByName(_met(stars, asks, roots, nodes, texts, least)), "minhash-links")
-        roots = components(links)
+    classes = nodes.select("node", "kind").join(roots, "node", "left").select("kind", F.coalesce("root", "node").alias("root"))
+    if not asks.isEmpty():  # what they find links whole classes, of which the roots are all that is joined
+        met = _met(stars, asks, roots, nodes, texts, least)
+        across = met.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        wider = components(across).select(F.col("node").alias("root"), F.col("root").alias("wider"))
+        classes = classes.join(wider, "root", "left").select("kind", F.coalesce("wider", "root").alias("root"))
     release(asks)
-    out = store(nodes.join(roots, "node", "left").select("kind", F.coalesce("root", "node").alias("root")), "minhash-roots")
+    out = store(classes, "minhash-roots")
     release(nodes, stars, tested)
     return out
 
