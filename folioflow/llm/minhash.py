@@ -233,8 +233,14 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 @gives_back
 def _overlaps(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (a, part, asks, node, root, kind, text) in order, askers last: links (a, b) of an asker with a member of each other root."""
-    place, held, table = None, [], None
+    """Rows (a, part, asks, node, root, kind, text) in order, askers last: links (a, b) of an asker with a member of each other root, but where earlier links of the part join them."""
+    place, held, table, up = None, [], None, {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
     for batch in rows_of(batches):
         out = []
         for a, part, asks, node, root, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -242,7 +248,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
             if kind_of(found) != kind:
                 continue  # another text of the same key
             if (a, part) != place:
-                place, held, table = (a, part), [], None
+                place, held, table, up = (a, part), [], None, {}
             if not asks:
                 held.append((node, root, found))
                 continue
@@ -260,7 +266,10 @@ def _overlaps(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
             common = np.bincount(owner[at], minlength=len(sizes))
             hit = np.flatnonzero((common >= least * (sizes + len(found) - common)) & (roots != root))
             _, one = np.unique(roots[hit], return_index=True)
-            out += [(node, other) for other in nodes[hit[one]].tolist()]
+            for other, there in zip(nodes[hit[one]].tolist(), roots[hit[one]].tolist(), strict=True):
+                if (x := top(root)) != (y := top(there)):
+                    up[max(x, y)] = min(x, y)
+                    out.append((node, other))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
