@@ -22,8 +22,24 @@ def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(100 * done / total + 0.5)).otherwise(0).cast("long")
 
 
+def settled_sum(name: str) -> Column:
+    """The sum of a group's few numbers, compensated and in order of size: the same in whatever order rows come."""
+
+    def add(held: Column, x: Column) -> Column:
+        s, now = held["s"], held["s"] + x
+        lost = F.when(F.abs(s) >= F.abs(x), (s - now) + x).otherwise((x - now) + s)
+        return F.struct(now.alias("s"), (held["c"] + lost).alias("c"))
+
+    def done(held: Column) -> Column:
+        return F.when(F.isnan(held["c"]), held["s"]).otherwise(held["s"] + held["c"])  # infinite sums lose nothing
+
+    values = F.array_sort(F.collect_list(F.col(name).cast("double")))
+    total = F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), add, done)
+    return F.when(F.count(name) > 0, total)
+
+
 def pull_progress(events: DataFrame) -> DataFrame:
     """(model, completed, total, percent) from the last event of each layer (model, digest, seq, completed, total)."""
     layers = events.groupBy("model", "digest").agg(F.max(F.struct("seq", "completed", "total")).alias("e"))
-    sums = layers.groupBy("model").agg(F.sum("e.completed").alias("completed"), F.sum("e.total").alias("total"))
+    sums = layers.groupBy("model").agg(settled_sum("e.completed").alias("completed"), settled_sum("e.total").alias("total"))
     return sums.withColumn("percent", percent(F.col("completed"), F.col("total")))

@@ -4,6 +4,7 @@ import os
 import shutil
 import subprocess
 import sys
+from itertools import permutations
 
 import duckdb
 import pytest
@@ -17,7 +18,7 @@ from folioflow.operators.catalog import Catalog
 from folioflow.operators.embedding import HashEmbedder, embed_column
 from folioflow.plans import queries as core
 from folioflow.sources import files
-from folioflow.streaming import index
+from folioflow.streaming import index, progress
 
 DATA = "/root/testdata/sf0.001"
 QUICK = ["normalize_text", "count_words", "tokenize", "pack_sentences", "chunk_index", "paragraphize", "repeated_edge_lines", "vector_topk_ref", "source_rows", "incremental_anti", "resolve_source", "completed_turns", "html_strip", "pull_progress", "strip_citations", "settings_clamp", "excerpt", "conversation_title", "md_normalize", "normalize_urls", "unique_name", "search_term_for_source", "parse_followups_py", "clean_quiz_question", "quiz_prompts", "source_context", "scrape_library", "list_remote_models", "pdf_text_search", "clean_page", "preview_projection", "header_carry", "merge_indexed_pending", "new_materials_minus_existing", "display_model_name", "safe_filename", "model_role_filters", "normalize_models", "normalize_materials", "exclusive_activation", "material_transitions", "merge_saved_state", "quoted_source_index", "source_pdf_resolve", "json_list", "read_log", "ndjson_framing", "gguf_metadata", "scan_embedding_blob", "source_tray", "query_x_chunks", "vector_topk_exact", "merge_sources"]
@@ -214,3 +215,16 @@ def test_files_logs_and_embedder(spark, tmp_path):
     assert sorted(r["event"] for r in files.read_log(spark, str(tmp_path / "log.txt")).collect()) == ["a", "log_event", "raw_log_line"]
     vector = spark.createDataFrame([("disks and databases",)], "t string").select(embed_column(HashEmbedder)(F.col("t"))).first()[0]
     assert len(vector) == 64 and abs(sum(x * x for x in vector) - 1) < 1e-9
+
+
+def test_progress_is_the_same_in_any_order(spark):
+    """The plain sum of these is 102.5 or next below it, by their order: 20.5 percent rounds up only as what it is."""
+    values = [2.66, 0.15, 58.13, 34.69, 6.87]
+    orders = list(permutations(values))
+    rows = [(f"m{m}", f"d{k}", 1, v, 100.0) for m, order in enumerate(orders) for k, v in enumerate(order)]
+    rows += [("none", "d", 1, None, None), ("big", "d", 1, float("inf"), 100.0), ("big", "e", 1, 1.0, None), ("later", "d", 1, 9.0, 100.0), ("later", "d", 2, 50.0, 100.0)]
+    events = spark.createDataFrame(rows, "model string, digest string, seq int, completed double, total double")
+    got = {r["model"]: tuple(r)[1:] for r in progress.pull_progress(events.where("model != 'big'")).collect()}
+    assert {got[f"m{m}"] for m in range(len(orders))} == {(102.5, 500.0, 21)}
+    assert got["none"] == (None, None, 0) and got["later"] == (50.0, 100.0, 50)
+    assert progress.pull_progress(events.where("model = 'big'")).select("completed", "total").first() == (float("inf"), 100.0)
