@@ -557,3 +557,14 @@ def test_odd_and_empty_tables(spark, edge, empty, name):
     }[name]
     assert run(empty).count() == 0
     assert {r["doc_id"] for r in run(edge).collect()} == set(range(10))
+
+
+def test_merges_equal_the_library():
+    """Runs merged side by side have the library's ids; characters and pieces of every kind do within texts."""
+    own = tokens.Encoder(tokens.default_path())
+    ids = lambda t: own.tokenizer.encode(t, add_special_tokens=False).ids
+    rng = np.random.default_rng(5)
+    runs = sorted({"".join(rng.choice(list("aeinrstlochäßñéž"), rng.integers(1, 48))) for _ in range(5_000)} | {"aaaa" * k for k in range(1, 12)} | {"!?!?", "...", "7"})
+    assert own.by_pieces and [np.frombuffer(x, dtype="<u2").tolist() for x in own.runs([r.encode() for r in runs])] == [ids(r) for r in runs]
+    texts = [f"a{chr(c)}B9 {chr(c)}{chr(c)}x, {chr(c)}" for c in range(32, 0x600)] + ["", "  ", " a ", "it's <|endoftext|> x", "\x1c a\x1db"]
+    assert [np.frombuffer(x, dtype="<u2").tolist() for x in own.all16(texts)] == [ids(t) for t in texts]
