@@ -32,7 +32,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import gives_back, rows_of, store, whole_text
+from folioflow.llm.common import gives_back, keeps, rows_of, store, whole_text
 from folioflow.llm.tokens import crc32_of, encoder
 
 SEQUENCE = 4096
@@ -122,6 +122,7 @@ class Plan:
 
 
 @gives_back
+@keeps
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Adds the partition, and the tokens of the same queue that the partition holds before."""
     part, before = TaskContext.get().partitionId(), {}

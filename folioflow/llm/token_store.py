@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import FIRST, Ranges, fresh_path, gives_back, release, rows_of, store, whole_text
+from folioflow.llm.common import FIRST, Ranges, fresh_path, gives_back, keeps, release, rows_of, store, whole_text
 from folioflow.llm.tokens import encoder
 
 MAGIC = b"DACIDS02"
@@ -144,6 +144,7 @@ class Reader:
 
 
 @gives_back
+@keeps
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, ranges: Ranges) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, tie) to the range they belong to and their ids."""
     ids_of, end = encoder(path).all16, np.array([end_id], dtype="<u2").tobytes()

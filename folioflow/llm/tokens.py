@@ -19,6 +19,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from folioflow.llm.common import FORGET
+
 #: Bytes of pieces and their ids that a worker remembers (frequent ones are met early), about; and the longest piece.
 REMEMBERED = 60_000_000
 #: What a remembered piece takes besides its own bytes and its ids': two objects and a place in the table.
@@ -208,6 +210,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+FORGET.append(encoder.cache_clear)
+
+
 def crc32_of(ids16: bytes | memoryview) -> int:
     """The unsigned crc32 of ids written as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.frombuffer(ids16, dtype="<u2").astype("<u4").tobytes())

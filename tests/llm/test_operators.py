@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from folioflow.llm import ann, licenses, minhash, mixing, packing, sharding, simhash, suffix_dedup, token_store, tokens, toxicity
+from folioflow.llm import ann, common, licenses, minhash, mixing, packing, sharding, simhash, suffix_dedup, token_store, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -568,3 +568,13 @@ def test_merges_equal_the_library():
     assert own.by_pieces and [np.frombuffer(x, dtype="<u2").tolist() for x in own.runs([r.encode() for r in runs])] == [ids(r) for r in runs]
     texts = [f"a{chr(c)}B9 {chr(c)}{chr(c)}x, {chr(c)}" for c in range(32, 0x600)] + ["", "  ", " a ", "it's <|endoftext|> x", "\x1c a\x1db"]
     assert [np.frombuffer(x, dtype="<u2").tolist() for x in own.all16(texts)] == [ids(t) for t in texts]
+
+
+def test_workers_forget_what_another_step_remembers():
+    @common.gives_back
+    def other(batches):
+        yield from batches
+
+    before = tokens.encoder(tokens.default_path())
+    assert list(token_store._encoded(iter([]), path=tokens.default_path(), end_id=1, ranges=None)) == [] and tokens.encoder(tokens.default_path()) is before
+    assert list(other(iter([1]))) == [1] and tokens.encoder(tokens.default_path()) is not before
