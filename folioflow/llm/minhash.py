@@ -23,7 +23,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -172,11 +172,11 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 @gives_back
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], sign: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows (text, key, further columns) to (key, further columns, kind, size, sig)."""
     for batch in rows_of(batches):
         sets = [np.unique(shingle_hashes(t)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([kind_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], [*batch.schema.names[1:], "kind", "size", "sig"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([kind_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sign(x).tobytes() for x in sets], pa.binary())], [*batch.schema.names[1:], "kind", "size", "sig"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -289,25 +289,31 @@ def _met(stars: DataFrame, asks: DataFrame, roots: DataFrame, nodes: DataFrame,
     return out
 
 
-def signed(texts: DataFrame) -> DataFrame:
-    """Stored (key, further columns, kind, size, sig) of rows (key, text, further columns); kind stands for the shingle set."""
+def signed(texts: DataFrame, sign: Callable[[np.ndarray], np.ndarray] = signature) -> DataFrame:
+    """Stored (key, further columns, kind, size, sig) of rows (key, text, further columns); kind stands for the shingle set, which ``sign`` signs."""
     rest = [c for c in texts.columns if c not in ("key", "text")]
     rows = texts.select("text", "key", *rest)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return store(rows.mapInArrow(_signed, f"{kinds}, kind binary, size long, sig binary"), "minhash")
+    return store(rows.mapInArrow(partial(_signed, sign=sign), f"{kinds}, kind binary, size long, sig binary"), "minhash")
 
 
-def linked(prints: DataFrame, texts: DataFrame, least: float = JACCARD) -> DataFrame:
-    """(kind, root) of every kind of a table made by :func:`signed`: kinds have one root if verified links connect them.
-
-    ``texts`` has (key, text); a key should stand for one text, and others that share it do no harm.
-    """
-    nodes = store(prints.groupBy("kind", "size", "sig").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+def banded(nodes: DataFrame, least: float) -> DataFrame:
+    """Stored (a, b, close): nodes b that share a band with others, of which a is the first."""
     keys = [F.xxhash64(F.lit(k), F.substring("sig", k * 2 * ROWS + 1, 2 * ROWS)) for k in range(BANDS)]
     bands = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
     firsts = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     stars = bands.join(firsts, "bucket").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = store(_likely(stars, nodes, least - MARGIN), "minhash-stars")
+    return store(_likely(stars, nodes, least - MARGIN), "minhash-stars")
+
+
+def linked(prints: DataFrame, texts: DataFrame, least: float = JACCARD, candidates: Callable[[DataFrame, float], DataFrame] = banded) -> DataFrame:
+    """(kind, root) of every kind of a table made by :func:`signed`: kinds have one root if verified links connect them.
+
+    ``texts`` has (key, text); a key should stand for one text, and others that share it do no harm. ``candidates``
+    gives stars of nodes, whose members are then verified.
+    """
+    nodes = store(prints.groupBy("kind", "size", "sig").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    stars = candidates(nodes, least)
     tested = _compare(stars.where("close").select("a", "b"), nodes, texts, least)
     links = tested.where("alike").select("a", "b")
     roots = components(links)

@@ -13,6 +13,7 @@ rows share a component; an empty table gives an empty table; further columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +35,14 @@ AT_ONCE = 1 << 16
 SCAN_LIMIT = 20_000
 #: (first bit, bits) of each block.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Words of 64 bits in the fingerprints of :func:`keep_first`: 128 blocks of 16 bits. At a similarity of 0.8 a bit agrees with
+#: a chance of 0.85, so none of the blocks does with one of 0.0001 (0.009 for the worst of sets, of 4 and 5 shingles).
+WORDS64 = 32
+#: Blocks taken in one turn: few at first, which connect most of what is near.
+TURNS = [(0, 8), (8, 40), (40, 84), (84, 128)]
+#: Words that are compared in a bucket, and bits of them that may differ: five standard deviations from what 0.8 gives.
+NEAR_WORDS, NEAR = 2, 40
+_ODD = np.random.default_rng(11).integers(1, 1 << 63, WORDS64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def fingerprint(text: bytes) -> int:
@@ -174,17 +183,104 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(nodes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """WORDS64 hashes of each."""
+    x = hashes[:, None] * _ODD
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles in WORDS64 words: the majority of each bit, as in :func:`fingerprint`."""
+    counts = np.zeros(BITS * WORDS64, dtype=np.int64)
+    for k in range(0, len(hashes), 255):  # counts of so many fit into a byte
+        bits = np.unpackbits(_spread(hashes[k : k + 255]).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+@gives_back
+def _blocks(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, root, sig) to a row for each of the blocks low .. high, with the words that are compared in a bucket."""
+    for batch in rows_of(batches):
+        prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1)
+        keys = (np.arange(low, high) << 16 | prints[:, low:high].astype(np.int64)).ravel()
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), high - low))
+        words = prints[:, : 4 * NEAR_WORDS].copy().view("<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(rows) for k in range(2)), *(pa.array(words[:, k].copy()).take(rows) for k in range(NEAR_WORDS))], ["bucket", "node", "root", "x", "y"])
+
+
+@gives_back
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, root, x, y), sorted: links (a, b) that connect those of a bucket that are near each other and of different roots."""
+
+    def forest(nodes: np.ndarray, roots: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+        _, first = np.unique(roots, return_index=True)
+        if len(first) < 2:
+            return []
+        left, found = np.arange(len(nodes)), []
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                near = np.bitwise_count(words[left] ^ words[at]).sum(axis=1) <= NEAR
+                known = roots[left] == roots[at]
+                found += [(int(nodes[at]), int(nodes[k])) for k in left[near & ~known]]
+                queue += left[near | known].tolist()
+                left = left[~(near | known)]
+        return found
+
+    held, held_key, out = [], None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        same = columns[0][1:] == columns[0][:-1]
+        met = np.concatenate(([True], same)) | np.concatenate((same, [True]))  # others are alone; the ends may go on
+        columns = [c[met] for c in columns]
+        cuts = np.flatnonzero(np.diff(columns[0])) + 1
+        for part in zip(*(np.split(c, cuts) for c in columns), strict=True):
+            if held and held_key != part[0][0]:
+                out += forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = []
+            held_key = part[0][0]
+            held.append((part[1].copy(), part[2].copy(), np.stack(part[3:], axis=1).view(np.uint64)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            out = []
+    if held and (out := forest(*(np.concatenate(c) for c in zip(*held, strict=True)))):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+
+def stars(nodes: DataFrame, least: float) -> DataFrame:
+    """Stored (a, b, close): each group of nodes that near fingerprints connect, as its first and each other.
+
+    Blocks are taken in turns; what earlier ones connect is one root, and later ones link only what has different roots.
+    """
+    roots = None
+    for low, high in TURNS:
+        rows = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig") if roots is not None else nodes.select("node", F.col("node").alias("root"), "sig")
+        rows = rows.mapInArrow(partial(_blocks, low=low, high=high), "bucket long, node long, root long, x long, y long")
+        found = store(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_near, "a long, b long").distinct(), "simhash-near")
+        if roots is not None:
+            found = found.unionByName(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+        roots = store(components(found), "simhash-roots")
+    return store(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(True).alias("close")), "simhash-stars")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, texts of a Jaccard similarity of 0.8 or more over five-word shingles.
 
-    The bits above are op10's: 64 of them cannot tell that similarity, so :mod:`folioflow.llm.minhash`
-    finds the candidates and verifies each on the whole texts. Rows are told apart by number: of
+    By SimHash with more bits than op10's, of which 3 in 64 cannot tell that similarity: fingerprints of BITS * WORDS64
+    bits over the set of shingles, blocks of 16 bits of which one must agree, the Hamming distance in a bucket, and
+    the exact similarity of whole texts (:func:`folioflow.llm.minhash.linked`). Rows are told apart by number: of
     a group the row of the smallest doc_id stays (nulls last), among equals the first.
     """
     rows = numbered(docs, "simhash-rows")
     texts = rows.select(F.col(ROW).alias("key"), whole_text().alias("text"), "doc_id")
-    prints = minhash.signed(texts)
-    roots = minhash.linked(prints, texts)
+    prints = minhash.signed(texts, wide)
+    roots = minhash.linked(prints, texts, candidates=stars)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     firsts = prints.groupBy("kind").agg(F.min(order).alias("least")).join(roots, "kind")
     kept = firsts.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))

@@ -112,3 +112,29 @@ def test_stages_take_any_rows(spark, stage):
         assert set(got) == set(range(8)) and set(got.values()) == {1}
     else:
         assert {2, 4, 6} <= set(got) and all(got[k] == 1 for k in (2, 4, 6)) and max(got.values()) <= 2
+
+
+def test_near_copies_are_met_by_wide_fingerprints(spark):
+    """Pairs at a similarity just over 0.8, short and long, and as many just under it."""
+    rng, rows, over = np.random.default_rng(21), [], 0
+    for k in range(300):
+        n = int(rng.integers(30, 200))
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+        own = n - 4
+        cut = int(0.8 * own) + (k % 2 == 0)  # shingles that are left of the text's own: prefixes are sets within sets
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: cut + 4]))]
+        over += cut >= 0.8 * own
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r[0] for r in simhash.keep_first(docs).select("doc_id").collect()}
+    linked = sum(2 * k + 1 not in kept for k in range(300))
+    alike = {k for k in range(300) if (m := len(rows[2 * k + 1][1].split()) - 4) >= 0.8 * (len(rows[2 * k][1].split()) - 4)}
+    assert len(alike) == over and {2 * k for k in range(300)} <= kept
+    assert all(k in alike for k in range(300) if 2 * k + 1 not in kept) and linked >= 0.99 * over
+
+
+def test_near_copies_come_from_simhash(spark, odd, monkeypatch):
+    called = []
+    own = simhash.stars
+    monkeypatch.setattr(simhash, "stars", lambda nodes, least: called.append(least) or own(nodes, least))
+    simhash.keep_first(odd).count()
+    assert called == [0.8]
