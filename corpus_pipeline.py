@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from folioflow.llm.common import release, scratch, store
+from folioflow.llm.common import give_back, release, scratch, store
 from folioflow.llm.tokens import default_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,7 +24,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold; texts without letters score 0 and stay."""
-    return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    give_back()  # the driver outlives the fit, too
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -306,17 +306,19 @@ def banded(nodes: DataFrame, least: float) -> DataFrame:
     return store(_likely(stars, nodes, least - MARGIN), "minhash-stars")
 
 
-def linked(prints: DataFrame, texts: DataFrame, least: float = JACCARD, candidates: Callable[[DataFrame, float], DataFrame] = banded) -> DataFrame:
+def linked(
+    prints: DataFrame, texts: DataFrame, least: float = JACCARD, candidates: Callable[[DataFrame, float], DataFrame] = banded, connected: Callable[[DataFrame], DataFrame] = components
+) -> DataFrame:
     """(kind, root) of every kind of a table made by :func:`signed`: kinds have one root if verified links connect them.
 
     ``texts`` has (key, text); a key should stand for one text, and others that share it do no harm. ``candidates``
-    gives stars of nodes, whose members are then verified.
+    gives stars of nodes, whose members are then verified; ``connected`` finds the components of links.
     """
     nodes = store(prints.groupBy("kind", "size", "sig").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     stars = candidates(nodes, least)
     tested = _compare(stars.where("close").select("a", "b"), nodes, texts, least)
     links = tested.where("alike").select("a", "b")
-    roots = components(links)
+    roots = connected(links)
     # members of a star whose root is not its first's ask all others of the star
     own = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     asks = stars.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
@@ -325,7 +327,7 @@ def linked(prints: DataFrame, texts: DataFrame, least: float = JACCARD, candidat
     if not asks.isEmpty():  # what they find links whole classes, of which the roots are all that is joined
         met = _met(stars, asks, roots, nodes, texts, least)
         across = met.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        wider = components(across).select(F.col("node").alias("root"), F.col("root").alias("wider"))
+        wider = connected(across).select(F.col("node").alias("root"), F.col("root").alias("wider"))
         classes = classes.join(wider, "root", "left").select("kind", F.coalesce("wider", "root").alias("root"))
     release(asks)
     out = store(classes, "minhash-roots")

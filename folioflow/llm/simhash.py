@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import minhash
-from folioflow.llm.common import ROW, bounded, components, gives_back, numbered, release, rows_of, store, whole_text
+from folioflow.llm.common import ROW, bounded, components, gives_back, numbered, release, rows_of, store, united, whole_text
 
 SEED = 42
 SHINGLE = 3
@@ -260,12 +260,12 @@ def stars(nodes: DataFrame, least: float) -> DataFrame:
     """
     roots = None
     for low, high in TURNS:
-        rows = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig") if roots is not None else nodes.select("node", F.col("node").alias("root"), "sig")
+        rows = nodes.join(bounded(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig") if roots is not None else nodes.select("node", F.col("node").alias("root"), "sig")
         rows = rows.mapInArrow(partial(_blocks, low=low, high=high), "bucket long, node long, root long, x long, y long")
         found = store(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_near, "a long, b long").distinct(), "simhash-near")
         if roots is not None:
             found = found.unionByName(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
-        roots = store(components(found), "simhash-roots")
+        roots = united(found)
     return store(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(True).alias("close")), "simhash-stars")
 
 
@@ -280,7 +280,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, "simhash-rows")
     texts = rows.select(F.col(ROW).alias("key"), whole_text().alias("text"), "doc_id")
     prints = minhash.signed(texts, wide)
-    roots = minhash.linked(prints, texts, candidates=stars)
+    roots = minhash.linked(prints, texts, candidates=stars, connected=united)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     firsts = prints.groupBy("kind").agg(F.min(order).alias("least")).join(roots, "kind")
     kept = firsts.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))

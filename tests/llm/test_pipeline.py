@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from folioflow.llm import mixing, packing, simhash, suffix_dedup, tokens, toxicity
+from folioflow.llm import common, mixing, packing, simhash, suffix_dedup, tokens, toxicity
 from folioflow.llm.common import store
 
 
@@ -138,3 +138,31 @@ def test_near_copies_come_from_simhash(spark, odd, monkeypatch):
     monkeypatch.setattr(simhash, "stars", lambda nodes, least: called.append(least) or own(nodes, least))
     simhash.keep_first(odd).count()
     assert called == [0.8]
+
+
+@pytest.mark.parametrize("at_once", [common.BROADCAST_ROWS, 3])
+def test_links_united_are_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", at_once)
+    rng = np.random.default_rng(5)
+    links = [*map(tuple, rng.integers(-60, 60, (50, 2)).tolist()), *((9_000 - k, 9_001 - k) for k in range(40)), (1 << 62, -(1 << 62)), (7, 7), (500, 500)]
+    least = {x: x for e in links if e[0] != e[1] for x in e}
+    while changed := [(a, b) for a, b in links if a != b and least[a] != least[b]]:
+        for a, b in changed:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame([*links, *links[:9], (None, 3), (3, None)], "a long, b long")
+    assert Counter(tuple(r) for r in common.united(df).select("node", "root").collect()) == Counter(least.items())
+    assert common.united(df.limit(0)).count() == 0
+
+
+def test_near_copies_take_few_jobs(spark):
+    """What the driver remembers of jobs and their tasks is memory that it has for good."""
+    words = np.random.default_rng(3).integers(0, 1 << 40, (30, 60))
+    rows = [(k, " ".join(f"w{x}" for x in words[k % 30][: 60 - k // 30])) for k in range(120)]  # chains of near copies
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("near-copies", "")
+    try:
+        kept = [r[0] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(kept) == list(range(30))
+    assert len(tracker.getJobIdsForGroup("near-copies")) <= 90
