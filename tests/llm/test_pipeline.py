@@ -140,6 +140,18 @@ def test_near_copies_come_from_simhash(spark, odd, monkeypatch):
     assert called == [0.8]
 
 
+@pytest.mark.parametrize("at_once", [common.BROADCAST_ROWS, 3])
+def test_words_compared_in_a_bucket_alone_connect_nothing(spark, monkeypatch, at_once):
+    """Two of 40 fingerprints that agree in the words compared in a bucket are near as a whole, the others by chance."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", at_once)
+    prints = np.random.default_rng(8).integers(0, 1 << 64, (40, simhash.WORDS64), dtype=np.uint64)
+    prints[:, : simhash.NEAR_WORDS] = prints[0, : simhash.NEAR_WORDS]
+    prints[31] = prints[30]
+    prints[31, simhash.NEAR_WORDS :] ^= np.uint64(0x8421084210842100)  # 390 bits
+    nodes = store(spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(prints)], "node long, sig binary"), "test-nodes")
+    assert [tuple(r) for r in simhash.stars(nodes, 0.8).collect()] == [(30, 31, True)]
+
+
 @pytest.mark.parametrize("at_once", [common.BROADCAST_ROWS, 3])
 def test_links_united_are_components(spark, monkeypatch, at_once):
     monkeypatch.setattr(common, "BROADCAST_ROWS", at_once)
