@@ -42,8 +42,9 @@ WORDS64 = 32
 TURNS = [(0, 8), (8, 40), (40, 84), (84, 128)]
 #: Words that are compared in a bucket, and bits of them that may differ: five standard deviations from what 0.8 gives.
 NEAR_WORDS, NEAR = 2, 40
-#: Bits of whole fingerprints that may differ in a link: five standard deviations from what the worst of sets at 0.8 give.
-NEAR_WHOLE = 472
+#: Bits of whole fingerprints that may differ in a link: the same share. Sets with nothing in common differ in 0.5, the
+#: least ones (of two shingles, whose bits are rarely set) in 0.375, six standard deviations more than this.
+NEAR_WHOLE = NEAR * WORDS64 // NEAR_WORDS
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, WORDS64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -213,84 +214,78 @@ def _blocks(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(rows) for k in range(2)), *(pa.array(words[:, k].copy()).take(rows) for k in range(NEAR_WORDS))], ["bucket", "node", "root", "x", "y"])
 
 
-def _walks(roots: np.ndarray, words: np.ndarray, at_most: int) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
-    """Places that a root or differences of at most so many bits connect: all of a group, and links that connect its roots."""
-    left = np.arange(len(roots))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        members, found = queue[:], []
-        while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(words[left] ^ words[at]).sum(axis=1) <= at_most
-            known = roots[left] == roots[at]
-            found += [(at, k) for k in left[near & ~known]]
-            queue += (more := left[near | known].tolist())
-            members += more
-            left = left[~(near | known)]
-        yield members, found
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Rows (bucket, node, root, words), sorted, to those buckets (bucket, nodes, roots, words) that have several roots; words are numbers or bytes."""
-    held, held_key = [], None
-
-    def whole() -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        nodes, roots, words = (np.concatenate(c) for c in zip(*held, strict=True))
-        return [(held_key, nodes, roots, words)] if (roots != roots[0]).any() else []
+@gives_back
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, root, x, y), sorted: links (a, b) that connect those of a bucket that are near each other and of different roots."""
 
+    def forest(nodes: np.ndarray, roots: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+        _, first = np.unique(roots, return_index=True)
+        if len(first) < 2:
+            return []
+        left, found = np.arange(len(nodes)), []
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                near = np.bitwise_count(words[left] ^ words[at]).sum(axis=1) <= NEAR
+                known = roots[left] == roots[at]
+                found += [(int(nodes[at]), int(nodes[k])) for k in left[near & ~known]]
+                queue += left[near | known].tolist()
+                left = left[~(near | known)]
+        return found
+
+    held, held_key, out = [], None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        numbers = [c.to_numpy() for c in batch.columns if pa.types.is_integer(c.type)]
-        same = numbers[0][1:] == numbers[0][:-1]
+        columns = [c.to_numpy() for c in batch.columns]
+        same = columns[0][1:] == columns[0][:-1]
         met = np.concatenate(([True], same)) | np.concatenate((same, [True]))  # others are alone; the ends may go on
-        words = np.stack(numbers[3:], axis=1)[met] if len(numbers) > 3 else np.frombuffer(b"".join(batch.column(3).filter(pa.array(met)).to_pylist()), dtype="<i8").reshape(-1, WORDS64)
-        columns = [*(c[met] for c in numbers[:3]), words.view(np.uint64)]
-        cuts, out = np.flatnonzero(np.diff(columns[0])) + 1, []
+        columns = [c[met] for c in columns]
+        cuts = np.flatnonzero(np.diff(columns[0])) + 1
         for part in zip(*(np.split(c, cuts) for c in columns), strict=True):
             if held and held_key != part[0][0]:
-                out += whole()
+                out += forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
                 held = []
             held_key = part[0][0]
-            held.append(tuple(c.copy() for c in part[1:]))
-        yield out
-    if held:
-        yield whole()
-
-
-@gives_back
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, node, root, x, y), sorted: those (bucket, node, root) that few words connect with other roots of their bucket."""
-    for buckets in _buckets(batches):
-        out = [(bucket, nodes[k], roots[k]) for bucket, nodes, roots, words in buckets for members, found in _walks(roots, words, NEAR) if found for k in members]
+            held.append((part[1].copy(), part[2].copy(), np.stack(part[3:], axis=1).view(np.uint64)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["bucket", "node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            out = []
+    if held and (out := forest(*(np.concatenate(c) for c in zip(*held, strict=True)))):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
 @gives_back
 def _near_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, node, root, sig), sorted: links (a, b) that connect the roots of a bucket whose whole fingerprints are near each other."""
-    for buckets in _buckets(batches):
-        out = [(nodes[a], nodes[b]) for _, nodes, roots, words in buckets for _, found in _walks(roots, words, NEAR_WHOLE) for a, b in found]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+    """Rows (a, b, x, y) with both whole fingerprints: the links (a, b) that these bear out."""
+    for batch in rows_of(batches):
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1) for k in (2, 3))
+        yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= NEAR_WHOLE))
+
+
+def borne_out(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored (a, b): those of stored links whose whole fingerprints are near each other, too.
+
+    Few words are near by chance in a share of all pairs that meet, and a larger table has more of these for each node: left
+    to connect, they would join much of it to one group whose members all ask each other. Texts that are somewhat alike stay linked.
+    """
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    met = nodes.select("node", "sig").join(bounded(ends), "node").groupBy("a", "b").agg(F.min("sig").alias("x"), F.max("sig").alias("y"))
+    return store(met.mapInArrow(_near_whole, "a long, b long"), "simhash-links")
 
 
 def stars(nodes: DataFrame, least: float) -> DataFrame:
     """Stored (a, b, close): each group of nodes that near fingerprints connect, as its first and each other.
 
     Blocks are taken in turns; what earlier ones connect is one root, and later ones link only what has different roots.
-    Few words are near by chance in a share of all pairs that meet, and a larger table has more of these for each node: left to
-    connect, they would join much of it to one group whose members all ask each other. So whole fingerprints decide, of what few words leave.
     """
     roots = None
     for low, high in TURNS:
         rows = nodes.join(bounded(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig") if roots is not None else nodes.select("node", F.col("node").alias("root"), "sig")
         rows = rows.mapInArrow(partial(_blocks, low=low, high=high), "bucket long, node long, root long, x long, y long")
-        met = store(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_near, "bucket long, node long, root long"), "simhash-near")
-        rows = nodes.select("node", "sig").join(bounded(met), "node").select("bucket", "node", "root", "sig")
-        found = store(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_near_whole, "a long, b long").distinct(), "simhash-links")
-        release(met)
+        found = store(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_near, "a long, b long").distinct(), "simhash-near")
+        found = borne_out(found, nodes)
         if roots is not None:
             found = found.unionByName(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
         roots = united(found)
@@ -301,7 +296,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, texts of a Jaccard similarity of 0.8 or more over five-word shingles.
 
     By SimHash with more bits than op10's, of which 3 in 64 cannot tell that similarity: fingerprints of BITS * WORDS64
-    bits over the set of shingles, blocks of 16 bits of which one must agree, the Hamming distance in a bucket (of few words, then of all), and
+    bits over the set of shingles, blocks of 16 bits of which one must agree, the Hamming distance in a bucket, that of the whole, and
     the exact similarity of whole texts (:func:`folioflow.llm.minhash.linked`). Rows are told apart by number: of
     a group the row of the smallest doc_id stays (nulls last), among equals the first.
     """
